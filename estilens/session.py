@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
+    # HotSpot does not compile methods above 8000 bytes of bytecode; without this
+    # limit Spark would run such generated stages in the interpreter.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -24,6 +27,10 @@ def local_session(cpus: int | None = None, memory: str = "8g") -> SparkSession:
     settings = {
         **SETTINGS,
         "spark.sql.shuffle.partitions": str(cpus),
+        # The test tables are small: let files and shuffles of a few hundred
+        # kilobytes still spread over the cores.
+        "spark.sql.files.openCostInBytes": "65536",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.driver.memory": memory,
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
