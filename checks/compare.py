@@ -22,10 +22,12 @@ def database(sf_dir: str):
     return con
 
 
+# Column types that must agree, as Spark and DuckDB name them.
+SAME_TYPE = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def cell(value):
-    if isinstance(value, float):
-        return f"{value + 0.0:.9g}"
-    return str(value)
+    return repr(value + 0.0) if isinstance(value, float) else str(value)
 
 
 def normal(columns, rows):
@@ -38,9 +40,15 @@ def compare(tables, con, name):
     rows = [tuple(r) for r in result.collect()]
     left = normal(result.columns, rows)
     cursor = con.execute(ORACLES[name])
-    right = normal([d[0] for d in cursor.description], cursor.fetchall())
+    found = cursor.fetchall()
+    right = normal([d[0] for d in cursor.description], found)
     if left[0] != right[0]:
         return f"COLUMNS {sorted(set(left[0]) ^ set(right[0]))}", len(rows)
+    types = dict(result.dtypes)
+    odd = [(d[0], types[d[0]], str(d[1])) for d in cursor.description
+           if SAME_TYPE.get(types[d[0]]) != str(d[1])]
+    if odd:
+        return f"TYPES {odd}", len(rows)
     if len(left[1]) != len(right[1]):
         return f"ROWS spark={len(left[1])} oracle={len(right[1])}", len(rows)
     if left[1] != right[1]:

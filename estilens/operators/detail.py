@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estilens.functions import codes as C
-from estilens.functions import months as M
 from estilens.functions import numbers as N
 from estilens.functions.sizes import size_bracket, size_gap
 from estilens.keys import PERIOD, SELECTION, SERIES, UNIT_GROUP
 from estilens.operators import periods as P
-from estilens.operators.sample import earlier_release_value, prior_release_value
+from estilens.operators.sample import earlier_release_value, look_back_distances, prior_release_value
 
 # The report a row belongs to, which is found again in other periods.
 REPORT_KEY = ("reptstate", "ui", "reptw", "report")
@@ -79,7 +78,7 @@ def sample_detail(weighted: DataFrame, periods: DataFrame | None = None, link_ba
         *[value.alias(name) for name, value in report_columns().items()],
         C.joined_codes(F.col("pm_comment_1"), F.col("pm_comment_2")).alias("pmcc"),
         C.joined_codes(F.col("cm_comment_1"), F.col("cm_comment_2")).alias("cmcc"),
-        M.release_code(*[F.col(c) for c in PERIOD]).alias("code"),
+        *[value.alias(name) for name, value in look_back_distances().items()],
         F.xxhash64("report_id", "pm_value", "cm_value", "sample_weight", *PERIOD).alias("hash"),
     )
     complete = F.lit(True)

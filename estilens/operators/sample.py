@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from estilens.functions import months as M
 from estilens.functions import numbers as N
@@ -194,7 +195,7 @@ def sample_summary(weighted: DataFrame, published: DataFrame) -> DataFrame:
             F.struct(*[N.sum_or_zero(F.when(is_used, F.col(c))).alias(c) for c in shown]).alias("total"),
             F.struct(*[v.alias(c) for c, v in everything.items()]).alias("all"),
         )
-        .withColumn("code", M.release_code(*[F.col(c) for c in PERIOD]))
+        .withColumns(look_back_distances())
     )
     prior = prior_release_value(F.col("all"), Window.partitionBy(*SERIES).orderBy("code"))
 
@@ -243,33 +244,37 @@ def sample_summary(weighted: DataFrame, published: DataFrame) -> DataFrame:
     )
 
 
-def _value_at(value: Column, in_order, distances: dict[int, Column]) -> Column:
-    """The value exactly so many release codes back, where that distance applies."""
-    found = F.lit(None)
-    for distance, applies in distances.items():
-        at = F.min(value).over(in_order.rangeBetween(-distance, -distance))
-        found = F.when(applies, at).otherwise(found)
-    return found
+def look_back_distances() -> dict[str, Column]:
+    """How many release codes before a row's own release its prior month and its
+    prior closing lie (a month is 10 codes, a closing is 1)."""
+    year, month, closing = (F.col(c) for c in PERIOD)
+    before = M.release_code(*M.prior_month_release(year, month, closing))
+    return {
+        "code": M.release_code(year, month, closing),
+        "pm_distance": M.release_code(year, month, closing) - before,
+        "prior_distance": (closing.cast("int") - M.earlier_closing(month, closing).cast("int")).cast("bigint"),
+    }
 
 
-def prior_release_value(value: Column, in_order) -> Column:
-    """Value of the prior-month release of the row's own release.
+def _value_at(value: Column, in_order: WindowSpec, distance: str, cases: tuple[int, ...]) -> Column:
+    """The value exactly distance codes back; the cases list every distance there is.
 
-    in_order is a window ordered by release_code, so "the month before at its
-    closing" is a fixed distance per case and needs no join with itself: a
-    month is 10 codes, a closing is 1.
+    A fixed distance is a range frame, so looking back needs no join of the
+    table with itself.
     """
-    year, month, closing = (F.col(c) for c in PERIOD)
-    code = M.release_code(year, month, closing)
-    distance = code - M.release_code(*M.prior_month_release(year, month, closing))
-    return _value_at(value, in_order, {d: distance == d for d in range(8, 13)})
+    return F.coalesce(*[
+        F.when(F.col(distance) == n, F.min(value).over(in_order.rangeBetween(-n, -n))) for n in cases
+    ])
+
+
+def prior_release_value(value: Column, in_order: WindowSpec) -> Column:
+    """Value of the release the prior month is taken from; in_order sorts by code."""
+    return _value_at(value, in_order, "pm_distance", (8, 9, 10, 11, 12))
 
 
-def earlier_release_value(value: Column, in_order) -> Column:
+def earlier_release_value(value: Column, in_order: WindowSpec) -> Column:
     """Value of the same month's release before the row's own (none for closing 1)."""
-    month, closing = F.col("month"), F.col("estimate_type_code")
-    distance = closing.cast("int") - M.earlier_closing(month, closing).cast("int")
-    return _value_at(value, in_order, {d: distance == d for d in (1, 2)})
+    return _value_at(value, in_order, "prior_distance", (1, 2))
 
 
 def sample_link(summary: DataFrame) -> DataFrame:
