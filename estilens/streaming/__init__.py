@@ -1,0 +1 @@
+"""Empty on purpose: every source here is a static table, so there are no streams."""
