@@ -35,8 +35,7 @@ def normal(columns, rows):
     return [columns[i] for i in order], sorted(tuple(cell(r[i]) for i in order) for r in rows)
 
 
-def compare(tables, con, name):
-    result = QUERIES[name](tables)
+def compare_rows(result, con, name):
     rows = [tuple(r) for r in result.collect()]
     left = normal(result.columns, rows)
     cursor = con.execute(ORACLES[name])
@@ -67,7 +66,7 @@ def main(sf_dir: str, names: list[str]) -> int:
     for name in names or list(QUERIES):
         start = time.perf_counter()
         try:
-            status, count = compare(tables, con, name)
+            status, count = compare_rows(QUERIES[name](tables), con, name)
         except Exception as error:  # report and go on with the next query
             status, count = f"ERROR {type(error).__name__} {str(error)[:1500]}", 0
         bad += status != "ok"

@@ -44,14 +44,18 @@ def series_history(estimates: DataFrame, months: int = 27, asof_year: str | None
     """The last months of every all-employee series at each month's newest closing.
 
     The newest closing is taken over all datatypes before anything is filtered.
-    asof_year fixes the review year (three calendar years are kept); by default
-    it is each series' latest year.  One exchange on the series key serves every
-    window; a series has at most a row per release and datatype.
+    asof_year fixes the review year (three calendar years are kept, and only
+    their partitions are read); by default it is each series' latest year.  One
+    exchange on the series key serves every window; a series has at most a row
+    per release and datatype.
     """
     by_month = Window.partitionBy(*AREA_SERIES, "year", "month")
     by_series = Window.partitionBy(*AREA_SERIES)
     in_order = by_series.orderBy("year", "month")
     last_year = F.lit(asof_year) if asof_year else F.max("year").over(by_series)
+    if asof_year:
+        # Codes have four digits, so text order is number order.
+        estimates = estimates.filter(F.col("year") > str(int(asof_year) - 3))
 
     rows = (
         adjustment_decomposition(estimates)

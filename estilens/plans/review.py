@@ -35,10 +35,11 @@ def of_series(tables: ReviewTables, state: str, area: str, series: str) -> Revie
 
 
 def review(tables: ReviewTables, requested: DataFrame, k: int = 31, link_base: str = "",
-           stage: bool = False) -> dict[str, DataFrame]:
+           asof_year: str | None = None, stage: bool = False) -> dict[str, DataFrame]:
     """Every table of the review page for the requested releases.
 
-    requested has year, month and estimate_type_code.  With stage, the three
+    requested has year, month and estimate_type_code; asof_year is the year the
+    histories end in (see series_history).  With stage, the three
     tables that several others build on (estimate info, report detail and unit
     rollup) are written once to the shared folder instead of being computed
     again for each of them; that is the setting for full-size runs.
@@ -54,7 +55,7 @@ def review(tables: ReviewTables, requested: DataFrame, k: int = 31, link_base: s
     summary = periods.on_periods(sample.sample_summary(needed, published), requested)
     reports = keep(detail.sample_detail(weighted, requested, link_base), "detail")
     units = keep(detail.ui_rollup(reports, link_base), "units")
-    history = estimates.series_history(tables.estimates)
+    history = estimates.series_history(tables.estimates, asof_year=asof_year)
     comparison = estimates.estimate_comparison(info)
     past = sample_histories.sample_history(weighted, reports)
 

@@ -13,10 +13,10 @@ def stage_root(spark: SparkSession) -> str:
 
     Only a session without one (a test on one machine) gets a temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="estilens-stages-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="estilens-stages-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root
 
 
