@@ -401,20 +401,20 @@ def pm_coverage(t):
 
 @query("SELECT * FROM summary")
 def sample_summary(t):
-    return sample.sample_summary(t.weighted, sample.published_values(t.info))
+    return t.summary
 
 
 @query(f"""SELECT {S.SEL}, round_even(trunc(wcm) / nullif(trunc(wpm), 0), 4) AS link FROM (
   SELECT *, row_number() OVER (PARTITION BY {S.SEL} ORDER BY row_order) AS i FROM summary) WHERE i = 1""")
 def sample_link(t):
-    return sample.sample_link(sample_summary(t))
+    return sample.sample_link(t.summary)
 
 
 # --- detail ------------------------------------------------------------------
 
 @query("SELECT * FROM detail")
 def sample_detail(t):
-    return detail.sample_detail(t.weighted)
+    return t.detail
 
 
 @query(f"""SELECT {S.SEL}, report_id, {S.size('pm_value')} AS pm_size, {S.size('cm_value')} AS cm_size,
@@ -427,7 +427,7 @@ def size_gaps(t):
 
 @query("SELECT * FROM rollup")
 def ui_rollup(t):
-    return detail.ui_rollup(detail.sample_detail(t.weighted))
+    return t.units
 
 
 @query(f"""
@@ -436,14 +436,12 @@ def ui_rollup(t):
       reptstate NULLS FIRST, ui NULLS FIRST, report NULLS FIRST, is_knr) AS i FROM rollup)
   WHERE i <= 3 OR flag = 'X' OR flag <> origflag""")
 def review_shortlist(t):
-    return detail.review_shortlist(ui_rollup(t), k=3)
+    return detail.review_shortlist(t.units, k=3)
 
 
 @query(f"SELECT * FROM detail SEMI JOIN (SELECT * FROM rollup WHERE is_summed) USING ({S.SEL}, {', '.join(UNIT_GROUP)})")
 def group_detail(t):
-    rows = detail.sample_detail(t.weighted)
-    groups = rows.groupBy(*SELECTION, *UNIT_GROUP).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return detail.group_detail(rows, groups)
+    return detail.group_detail(t.detail, t.units.filter("is_summed"))
 
 
 _MARKS = "flag_changed, allowed_flags, dwght_changed, pm_flag_differs, prior_flag_differs, direction"
@@ -457,7 +455,7 @@ _MARKS = "flag_changed, allowed_flags, dwght_changed, pm_flag_differs, prior_fla
     pm_flag IS DISTINCT FROM flag AS pm_flag_differs, prior_flag IS DISTINCT FROM flag AS prior_flag_differs,
     CASE WHEN trunc(wotm) > 0 THEN 'up' WHEN trunc(wotm) < 0 THEN 'down' ELSE '' END AS direction FROM detail""")
 def review_flags(t):
-    return detail.review_flags(detail.sample_detail(t.weighted)).select(*SELECTION, "report", *_columns(_MARKS))
+    return detail.review_flags(t.detail).select(*SELECTION, "report", *_columns(_MARKS))
 
 
 @query(f"""
@@ -474,13 +472,9 @@ def flag_counts(t):
 
 # --- sample history ----------------------------------------------------------
 
-def _history(t):
-    return history.sample_history(t.weighted, detail.sample_detail(t.weighted, t.review_periods))
-
-
 @query("SELECT * FROM sample_history")
 def sample_history(t):
-    return _history(t)
+    return t.past
 
 
 def _plain(rows):
@@ -489,31 +483,31 @@ def _plain(rows):
 
 @query("SELECT * FROM history_summary")
 def history_rollup(t):
-    return _plain(history.history_rollup(_history(t), "summary"))
+    return _plain(history.history_rollup(t.past, "summary"))
 
 
 @query("SELECT * FROM history_detail")
 def history_rollup_reports(t):
-    return _plain(history.history_rollup(_history(t), "detail"))
+    return _plain(history.history_rollup(t.past, "detail"))
 
 
 @query(f"""SELECT {S.history_keys('summary')}, is_knr, year, month, report,
   CASE WHEN flag = 'X' THEN 'black' WHEN flag = 'A' THEN 'red' WHEN dwght BETWEEN 0.3 AND 0.4 THEN 'orange' ELSE 'blue' END AS colour
   FROM sample_history""")
 def history_members(t):
-    return history.history_members(_history(t), "summary")
+    return history.history_members(t.past, "summary")
 
 
 @query("SELECT * FROM segments_summary")
 def month_segments(t):
-    return history.month_segments(history.history_rollup(_history(t), "summary"), "summary")
+    return history.month_segments(history.history_rollup(t.past, "summary"), "summary")
 
 
 # --- what-if -----------------------------------------------------------------
 
 @query("SELECT * FROM inputs")
 def estimate_inputs(t):
-    return whatif.estimate_inputs(sample_summary(t), t.info)
+    return whatif.estimate_inputs(t.summary, t.info)
 
 
 _MOVES = ", ".join(
@@ -534,7 +528,7 @@ _MOVES = ", ".join(
     (est - pm1) / pm1 * 100 AS n_recalc_otm_pct, (est - py1) / py1 * 100 AS n_recalc_oty_pct FROM e""")
 def what_if_reflag(t):
     """Every changed flag is proposed to go back to the original one."""
-    rows = detail.sample_detail(t.weighted)
+    rows = t.detail
     changes = rows.filter(F.col("flag") != F.col("origflag")).select(
         *SELECTION, *detail.REPORT_KEY, F.col("origflag").alias("new_flag"))
     return whatif.what_if_reflag(rows, changes, estimate_inputs(t))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import cached_property
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,9 @@ from estilens.keys import AREA_SERIES, PERIOD, SERIES
 from estilens.operators import estimates as E
 from estilens.operators import periods as P
 from estilens.operators.catalog import series_structure
-from estilens.operators.sample import weighted_sample
+from estilens.operators.detail import sample_detail, ui_rollup
+from estilens.operators.history import sample_history
+from estilens.operators.sample import published_values, sample_summary, weighted_sample
 
 BENCHMARK_YEAR = "2000"
 
@@ -188,6 +191,23 @@ class DerivedTables:
     def info(self) -> DataFrame:
         return E.review_estimates(self.estimates, self.structure, self.periods)
 
+    @cached_property
+    def detail(self) -> DataFrame:
+        return sample_detail(self.weighted)
+
+    @cached_property
+    def units(self) -> DataFrame:
+        return ui_rollup(self.detail)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return sample_summary(self.weighted, published_values(self.info))
+
+    @cached_property
+    def past(self) -> DataFrame:
+        """History of the reports under review."""
+        return sample_history(self.weighted, sample_detail(self.weighted, self.review_periods))
+
     @cached_property
     def small_domain(self) -> DataFrame:
         c, p, n = F.col("c"), F.col("p"), F.col("n")
@@ -255,9 +275,8 @@ class DerivedTables:
 
 
 class StoredTables(DerivedTables):
-    """The same tables read back from Parquet, as a deployment would hold them."""
-
-    STORED = ("sample", "estimates")
+    """The same tables with the given ones read back from Parquet, as a
+    deployment holds its inputs and the stages it has already written."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, stored_dir: str):
         super().__init__(spark, sf_dir)
@@ -265,18 +284,18 @@ class StoredTables(DerivedTables):
 
     @classmethod
     def write(cls, spark: SparkSession, sf_dir: str, stored_dir: str) -> "StoredTables":
-        derived = DerivedTables(spark, sf_dir)
-        for name in cls.STORED:
-            getattr(derived, name).write.parquet(f"{stored_dir}/{name}")
-        return cls(spark, sf_dir, stored_dir)
-
-    def _stored(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.stored_dir}/{name}")
-
-    @cached_property
-    def sample(self) -> DataFrame:
-        return self._stored("sample")
-
-    @cached_property
-    def estimates(self) -> DataFrame:
-        return self._stored("estimates")
+        tables = cls(spark, sf_dir, stored_dir)
+        for name in ("sample", "estimates"):
+            tables.store(name)
+        return tables
+
+    def store(self, name: str) -> None:
+        """Write a table; from now on it is read from there."""
+        path = f"{self.stored_dir}/{name}"
+        getattr(self, name).write.parquet(path)
+        self.__dict__ = {"spark": self.spark, "sf_dir": self.sf_dir, "stored_dir": self.stored_dir,
+                         **{k: v for k, v in self.__dict__.items() if k in self._stored_names()},
+                         name: self.spark.read.parquet(path)}
+
+    def _stored_names(self) -> set[str]:
+        return {p.name for p in Path(self.stored_dir).iterdir()}
