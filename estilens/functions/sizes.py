@@ -18,10 +18,13 @@ SIZE_BRACKETS = (
 )
 
 
-def size_bracket(employment: Column) -> Column:
-    """Bracket number; null for values no bracket holds (negative, 9.5, null)."""
+def size_bracket(employment: Column, brackets: tuple = SIZE_BRACKETS) -> Column:
+    """Bracket number; null for values no bracket holds (negative, 9.5, null).
+
+    A chain of conditions takes the place of a range join with a bracket table.
+    """
     number = F.lit(None).cast("bigint")
-    for size, low, high in reversed(SIZE_BRACKETS):
+    for size, low, high in reversed(brackets):
         number = F.when(employment.between(low, high), F.lit(size).cast("bigint")).otherwise(number)
     return number
 

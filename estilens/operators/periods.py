@@ -98,6 +98,24 @@ def on_periods(rows: DataFrame, periods: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(wanted), list(PERIOD), "left_semi")
 
 
+def near_months(rows: DataFrame, releases: list[tuple[str, str, str]], year_ago: bool = False) -> DataFrame:
+    """Keep the months that the listed releases look at: their own, the one
+    before and, if asked, the same month a year earlier.
+
+    The condition is made of constants, so Spark drops other year and month
+    partitions while planning, before any join runs.
+    """
+    months: dict[str, set[str]] = {}
+    for year, month, _ in releases:
+        index = int(year) * 12 + int(month) - 1
+        for near in (index, index - 1, *([index - 12] if year_ago else [])):
+            months.setdefault(str(near // 12), set()).add(f"{near % 12 + 1:02d}")
+    wanted = F.lit(False)
+    for year, named in sorted(months.items()):
+        wanted |= (F.col("year") == year) & F.col("month").isin(*sorted(named))
+    return rows.filter(wanted)
+
+
 def latest_release(model: DataFrame, probe: dict[str, str]) -> DataFrame:
     """Newest (year, month, closing) of the probe series.
 

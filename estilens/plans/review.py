@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from estilens.keys import AREA_SERIES, PERIOD, SELECTION
 from estilens.operators import catalog, detail, estimates, models, periods, sample, whatif
@@ -34,12 +33,11 @@ def of_series(tables: ReviewTables, state: str, area: str, series: str) -> Revie
     return ReviewTables(*[pick(getattr(tables, f)) for f in tables.__dataclass_fields__])
 
 
-def review(tables: ReviewTables, requested: DataFrame, k: int = 31, link_base: str = "",
+def review(tables: ReviewTables, releases: list[tuple[str, str, str]], k: int = 31, link_base: str = "",
            asof_year: str | None = None, stage: bool = False) -> dict[str, DataFrame]:
-    """Every table of the review page for the requested releases.
+    """Every table of the review page for the given (year, month, closing) releases.
 
-    requested has year, month and estimate_type_code; asof_year is the year the
-    histories end in (see series_history).  With stage, the three
+    asof_year is the year the histories end in (see series_history).  With stage, the three
     tables that several others build on (estimate info, report detail and unit
     rollup) are written once to the shared folder instead of being computed
     again for each of them; that is the setting for full-size runs.
@@ -47,13 +45,16 @@ def review(tables: ReviewTables, requested: DataFrame, k: int = 31, link_base: s
     def keep(rows: DataFrame, name: str) -> DataFrame:
         return staged(rows, name) if stage else rows
 
-    info = keep(estimates.review_estimates(tables.estimates, tables.structure, requested), "info")
+    requested = release_table(tables.estimates.sparkSession, releases)
+    recent = periods.near_months(tables.estimates, releases, year_ago=True)
+    info = keep(estimates.review_estimates(recent, tables.structure, requested), "info")
     published = sample.published_values(info)
     weighted = sample.weighted_sample(tables.matched_sample)
-    needed = periods.on_periods(weighted, periods.detail_sources(requested))
+    recent_sample = periods.near_months(weighted, releases)
+    needed = periods.on_periods(recent_sample, periods.detail_sources(requested))
 
     summary = periods.on_periods(sample.sample_summary(needed, published), requested)
-    reports = keep(detail.sample_detail(weighted, requested, link_base), "detail")
+    reports = keep(detail.sample_detail(recent_sample, requested, link_base), "detail")
     units = keep(detail.ui_rollup(reports, link_base), "units")
     history = estimates.series_history(tables.estimates, asof_year=asof_year)
     comparison = estimates.estimate_comparison(info)
@@ -88,7 +89,6 @@ def write_review(result: dict[str, DataFrame], root: str) -> None:
         writer.parquet(f"{root}/{name}")
 
 
-def one_release(tables: ReviewTables, year: str, month: str, closing: str) -> DataFrame:
-    """A one-row request table."""
-    spark = tables.estimates.sparkSession
-    return spark.range(1).select(*[F.lit(v).alias(c) for c, v in zip(PERIOD, (year, month, closing))])
+def release_table(spark: SparkSession, releases: list[tuple[str, str, str]]) -> DataFrame:
+    """The releases as a small table for the operators."""
+    return spark.createDataFrame(releases, ", ".join(f"{c} string" for c in PERIOD))

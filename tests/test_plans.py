@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from checks.tables import DerivedTables
 from estilens.keys import PERIOD
 from estilens.operators import detail, estimates, sample
-from estilens.plans.review import ReviewTables, of_series, one_release, review, write_review
+from estilens.operators import periods
+from estilens.plans.review import ReviewTables, of_series, review, write_review
 from estilens.plans.stages import stage_root, staged
 from estilens.sources import readers, schemas
 
@@ -26,8 +27,7 @@ def stored(spark, tmp_path_factory):
     tables = DerivedTables(spark, SF_DIR)
     for name in ("sample", "estimates"):
         getattr(tables, name).write.partitionBy("year").parquet(f"{root}/{name}")
-    years = spark.read.option("basePath", root)
-    return {n: years.parquet(f"{root}/{n}").withColumn("year", F.col("year").cast("string")) for n in ("sample", "estimates")}
+    return {n: spark.read.schema(getattr(tables, n).schema).parquet(f"{root}/{n}") for n in ("sample", "estimates")}
 
 
 @needs_data
@@ -57,11 +57,22 @@ def test_filters_and_columns_reach_the_scan(stored):
     assert "naics_code" not in text.split("ReadSchema")[1]
 
 
+@needs_data
+def test_release_months_prune_partitions(stored):
+    near = periods.near_months(stored["sample"], [("2000", "01", "2")])
+    text = plan(near)
+    assert re.search(r"PartitionFilters: \[[^]]*(1999|2000)", text)
+    got = {(r.year, r.month) for r in near.select("year", "month").distinct().collect()}
+    assert got == {("2000", "01"), ("1999", "12")}
+    wider = periods.near_months(stored["sample"], [("2000", "01", "2")], year_ago=True)
+    assert {("1999", "01")} <= {(r.year, r.month) for r in wider.select("year", "month").distinct().collect()}
+
+
 @needs_data
 def test_review_of_one_series_equals_the_review_of_all(spark, tmp_path):
     t = DerivedTables(spark, SF_DIR)
     tables = ReviewTables(t.estimates, t.sample, t.structure, t.small_domain, t.third_gen)
-    asked = one_release(tables, "2000", "06", "2")
+    asked = [("2000", "06", "2")]
     everything = review(tables, asked, k=2, stage=True)
     write_review(everything, str(tmp_path / "out"))
     key = everything["sample_detail_by_ui"].select("state_fips_code", "area_fips_code", "series_code").first()
