@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estilens.llm import decontaminate, substrings
+from estilens.llm import decontaminate, simhash, substrings
 from estilens.llm.common import read_table
 from estilens.llm.sql import ORACLES
 
@@ -25,6 +25,11 @@ def op6_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_simhash(spark, sf_dir):
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_decontamination(spark, sf_dir):
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
