@@ -2,6 +2,44 @@
 
 ORACLES: dict[str, str] = {}
 
+# --- quality rules -------------------------------------------------------------------
+
+ORACLES["op1_quality_rules"] = """
+WITH d AS (
+  SELECT row_number() OVER () AS d, doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM documents
+), starts AS (
+  SELECT d, i, array_to_string(words[i:i + 4], ' ') AS run
+  FROM (SELECT d, words, unnest(generate_series(1, len(words) - 4)) AS i FROM d WHERE len(words) >= 5)
+), again AS (SELECT d, i FROM starts QUALIFY count(*) OVER (PARTITION BY d, run) > 1),
+repeated AS (SELECT d, count(DISTINCT i) AS n FROM (SELECT d, unnest(generate_series(i, i + 4)) AS i FROM again) GROUP BY d),
+each_line AS (
+  SELECT d, k, lines[k] AS line, len(regexp_extract_all(lines[k], '[^\\x20\\x09-\\x0D]+')) AS n,
+    row_number() OVER (PARTITION BY d, lines[k] ORDER BY k) AS copy
+  FROM (SELECT d, lines, unnest(generate_series(1, len(lines))) AS k FROM d)
+), passed AS (
+  SELECT d, sum(length(line) + 1) - 1 AS n_chars FROM each_line
+  WHERE copy = 1 AND 10 * len(regexp_extract_all(line, '[#*$%&|<>]')) <= n
+    AND 10 * len(regexp_extract_all(line, '[!?]{2,}')) <= n
+    AND (n >= 5 OR regexp_matches(line, '[.!?:;…。]'))
+    AND NOT regexp_matches(line, '(?i)all rights reserved|cookie policy|privacy policy|terms of use|terms of service|enable javascript|click here|sign up for our newsletter|skip to content|lorem ipsum')
+  GROUP BY d
+), counted AS (
+  SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(repeated.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+    length(array_to_string(lines, chr(10))) AS before, coalesce(passed.n_chars, 0) AS after
+  FROM d LEFT JOIN repeated USING (d) LEFT JOIN passed USING (d)
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND before - after <= 0.3 * before AS kept,
+  n_lines::BIGINT AS n_lines, (before - after)::BIGINT AS n_lost_chars
+FROM counted"""
+
 # --- substring dedup ----------------------------------------------------------------
 
 ORACLES["op6_substring_dedup"] = """
