@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estilens.llm import decontaminate, quality, simhash, substrings
+from estilens.llm import decontaminate, quality, secrets, simhash, substrings
 from estilens.llm.common import read_table
 from estilens.llm.sql import ORACLES
 
@@ -25,6 +25,11 @@ def op1_quality_rules(spark, sf_dir):
     return quality.assess(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_secret_scans(spark, sf_dir):
+    return secrets.report(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(read_table(spark, sf_dir, "documents"))

@@ -40,6 +40,38 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   n_lines::BIGINT AS n_lines, (before - after)::BIGINT AS n_lost_chars
 FROM counted"""
 
+# --- secret scans --------------------------------------------------------------------
+
+_BEFORE = """(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?"""
+_SECRETS = (
+    ("assign", _BEFORE + "[A-Za-z0-9+/_.=-]+"), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"),
+    ("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]*"), ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("forge", "gh[oprsu]_[A-Za-z0-9]{36,}"),
+)
+_SEARCH = " UNION ALL ".join(
+    f"SELECT d, {k} AS ord, '{kind}' AS kind, regexp_extract_all(text, '{pattern}') AS found, string_split_regex(text, '{pattern}') AS pieces FROM d"
+    for k, (kind, pattern) in enumerate(_SECRETS)
+)
+ORACLES["op5_secret_scans"] = f"""
+WITH d AS (SELECT row_number() OVER () AS d, doc_id, coalesce(text, '') AS text FROM documents),
+searched AS ({_SEARCH}),
+placed AS (
+  SELECT d, ord, kind, found[k] AS hit,
+    list_sum(list_transform(pieces[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x))), 0) AS b
+  FROM (SELECT *, unnest(generate_series(1, len(found))) AS k FROM searched WHERE len(found) > 0)
+), spans AS (
+  SELECT d, ord, kind, b, kind || ':' || b::BIGINT || ':' || (b + length(hit))::BIGINT AS span FROM placed
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_replace(hit, '^{_BEFORE}', '')) >= 6
+    WHEN 'access' THEN length(hit) >= 20 WHEN 'hex' THEN length(hit) >= 24 ELSE true END
+), per_doc AS (
+  SELECT d, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS k, count(*) FILTER (kind = 'hex') AS h,
+    string_agg(span, ',' ORDER BY b, ord) FILTER (ord < 3) AS base, string_agg(span, ',' ORDER BY b, ord) AS spans
+  FROM spans GROUP BY d
+)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per_doc USING (d)"""
+
 # --- substring dedup ----------------------------------------------------------------
 
 ORACLES["op6_substring_dedup"] = """
@@ -55,7 +87,7 @@ gone AS (SELECT DISTINCT d, unnest(generate_series(i, i + 34)) AS i FROM hit),
 lost AS (SELECT d, list(i ORDER BY i) AS at, count(*) AS n FROM gone GROUP BY d)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
   sha256(array_to_string(CASE WHEN n IS NULL THEN words ELSE
-    list_filter(words, lambda x, i: NOT list_contains(at, i)) END, ' ')) AS kept_sha256
+    list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(at, i)), lambda i: words[i]) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN lost USING (d)"""
 
 # --- benchmark decontamination --------------------------------------------------------
