@@ -84,10 +84,10 @@ starts AS (
 ), twice AS (SELECT h, run FROM starts GROUP BY h, run HAVING count(*) > 1),
 hit AS (SELECT s.d, s.i FROM starts s JOIN twice t ON s.h = t.h AND s.run = t.run),
 gone AS (SELECT DISTINCT d, unnest(generate_series(i, i + 34)) AS i FROM hit),
-lost AS (SELECT d, list(i ORDER BY i) AS at, count(*) AS n FROM gone GROUP BY d)
+lost AS (SELECT d, list(i ORDER BY i) AS places, count(*) AS n FROM gone GROUP BY d)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
   sha256(array_to_string(CASE WHEN n IS NULL THEN words ELSE
-    list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(at, i)), lambda i: words[i]) END, ' ')) AS kept_sha256
+    list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(places, i)), lambda i: words[i]) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN lost USING (d)"""
 
 # --- benchmark decontamination --------------------------------------------------------
