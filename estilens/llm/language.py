@@ -140,8 +140,15 @@ class Model:
 def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS, size: int = SAMPLE_BYTES, total: int = TOTAL_BYTES) -> Model:
     """A model from docs(text, lang): of each language the first texts by hash."""
     rows = docs.select("text", "lang").filter("text IS NOT NULL AND lang <> ''").withColumn("h", F.xxhash64("text", F.lit(3)))
-    first = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= texts).select("lang", "h", "n")
+    # Hash ranges that hold enough texts, from their counts: a language's rows never meet in one task.
+    part = F.shiftrightunsigned("h", 52)
+    hashes = rows.select("lang", "h").distinct()
+    counts = hashes.groupBy("lang", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = counts.withColumn("before", before).filter(F.col("before") < texts).groupBy("lang").agg(F.max("part").alias("last"))
+    few = hashes.join(last, "lang").filter(part <= F.col("last"))
+    first = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 1), "h")
+    chosen = few.select("lang", "h", F.row_number().over(first).alias("n")).filter(F.col("n") <= texts)
     # Only the bytes that may be used come to the driver: so many of each language, in order of n.
     need = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "n", F.substring("text", 1, size).alias("text"))
     need = need.groupBy("lang", "n").agg(F.min("text").alias("text"))
