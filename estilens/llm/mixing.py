@@ -29,6 +29,7 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from estilens.llm.common import SPACE, chunks, staged, text_buffer, word_bounds, word_hashes
 
@@ -221,6 +222,8 @@ def _rates(p: np.ndarray, past: np.ndarray, size: float) -> tuple[np.ndarray, np
 
 class Fit(NamedTuple):
     rates: DataFrame
+    pulls: np.ndarray
+    size: float
     domains: tuple[str, ...]
     targets: np.ndarray
     reached: np.ndarray
@@ -279,10 +282,40 @@ def fit_rates(posteriors: DataFrame, targets: dict[str, float] = TARGETS, budget
     rates = posteriors.select("doc_id", "n_tokens", *names).mapInArrow(
         rate, f"doc_id {kind}, n_tokens bigint, " + ", ".join(f"{n} double" for n in names) + ", rate double"
     )
-    return Fit(rates, tuple(n[2:] for n in names), weights, sums_at(pulls, True), len(past))
+    return Fit(rates, pulls, size, tuple(n[2:] for n in names), weights, sums_at(pulls, True), len(past))
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> Fit:
     """Posteriors and rates of all documents."""
     posteriors = staged(domain_posteriors(docs, fit_classifier(docs, labels)), "posteriors")
     return fit_rates(posteriors, targets, budget)
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> DataFrame:
+    """Documents with a positive rate, with n_tokens, posteriors and rate beside their columns.
+
+    The documents are read a second time, which costs less than to join the rates to the texts.
+    """
+    classifier = fit_classifier(docs, labels)
+    fit = fit_rates(staged(domain_posteriors(docs, classifier), "posteriors"), targets, budget)
+    model = docs.sparkSession.sparkContext.broadcast((tuple(classifier), fit.pulls, fit.size))
+    names = ["n_tokens", *[f"p_{d}" for d in classifier.domains], "rate"]
+    own = [c for c in docs.columns if c not in names]
+    at = own.index("text")
+
+    def add(batches):
+        import pyarrow as pa
+
+        known, pulls, size = model.value
+        known = Classifier(*known)
+        for batch in batches:
+            for a, b, tokens, shape, slots, row in describe(batch.column(at)):
+                p = known.posteriors(shape, slots, row)
+                rate = _rates(p, pulls, size)[0].round(6)
+                new = [pa.array(tokens, pa.int64()), *[pa.array(p[:, k]) for k in range(p.shape[1])], pa.array(rate)]
+                rows = pa.RecordBatch.from_arrays([*[c[a:b] for c in batch.columns], *new], [*batch.schema.names, *names])
+                yield rows.filter(pa.array(rate > 0))
+
+    chosen = docs.select(*own)
+    schema = StructType([*chosen.schema, *[StructField(name, LongType() if name == "n_tokens" else DoubleType()) for name in names]])
+    return chosen.mapInArrow(add, schema)

@@ -243,17 +243,38 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "code")
 
 
+def rooted(prints: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
+    """prints(doc_id, fingerprint), written -> (code, first, root): of each distinct
+    fingerprint its smallest doc_id and the smallest fingerprint it is connected with."""
+    codes = staged(prints.groupBy(F.col("fingerprint").alias("code")).agg(F.min("doc_id").alias("first")), "codes")
+    found = codes.join(components(links(codes.select("code"), node_rows)), "code", "left")
+    return staged(found.select("code", "first", F.coalesce("root", "code").alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
     """docs(doc_id, text) -> doc_id, fingerprint (16 hex digits), component_id."""
     prints = staged(fingerprints(docs), "fingerprints")
-    codes = staged(prints.groupBy(F.col("fingerprint").alias("code")).agg(F.min("doc_id").alias("first")), "codes")
-    rooted = codes.join(components(links(codes.select("code"), node_rows)), "code", "left").select(
-        "code", "first", F.coalesce("root", "code").alias("root")
-    )
+    codes = rooted(prints, node_rows)
     # One row per distinct fingerprint: copies meet their group only in the last join.
-    rooted = staged(rooted, "roots")
-    group = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(group, "root").select(F.col("code").alias("fingerprint"), "component_id")
+    group = codes.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = codes.join(group, "root").select(F.col("code").alias("fingerprint"), "component_id")
     return prints.join(named, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id; all columns as given.
+
+    Of rows with that doc_id the one with the smaller checksum stays, of equal rows one.
+    """
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
+    # Rows are known by a checksum: an id may stand for several texts.
+    prints = staged(fingerprints(docs.select(F.struct("doc_id", key.alias("key")).alias("doc_id"), "text")), "fingerprints")
+    prints = prints.select("doc_id.*", "fingerprint")
+    codes = rooted(prints, node_rows)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    best = prints.groupBy(F.col("fingerprint").alias("code")).agg(F.min(order).alias("best"))
+    kept = codes.join(best, "code").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias("key"))
+    rows = docs.select(key.alias("key"), F.struct("*").alias("row"))
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
