@@ -29,9 +29,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from estilens.llm.common import chunks, text_buffer
+from estilens.llm.common import chunks, staged, text_buffer
 
 SAMPLE_TEXTS, SAMPLE_BYTES, TOTAL_BYTES = 200, 20_000, 200_000
+#: More values than this in the column of languages are an error.
+MOST_LANGUAGES = 1000
 SEGMENT, PIECE_BYTES = 512, 1 << 20
 UNKNOWN = "und"
 
@@ -143,10 +145,12 @@ def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS, size: int = SAMPLE_BYTES,
     # Hash ranges that hold enough texts, from their counts: a language's rows never meet in one task.
     part = F.shiftrightunsigned("h", 52)
     hashes = rows.select("lang", "h").distinct()
-    counts = hashes.groupBy("lang", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    counts = staged(hashes.groupBy("lang", part.alias("part")).agg(F.count(F.lit(1)).alias("n")), "language-counts")
+    if (languages := counts.select("lang").distinct().count()) > MOST_LANGUAGES:
+        raise ValueError(f"{languages} languages; MOST_LANGUAGES is {MOST_LANGUAGES}")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = counts.withColumn("before", before).filter(F.col("before") < texts).groupBy("lang").agg(F.max("part").alias("last"))
-    few = hashes.join(last, "lang").filter(part <= F.col("last"))
+    few = hashes.join(F.broadcast(last), "lang").filter(part <= F.col("last"))
     first = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 1), "h")
     chosen = few.select("lang", "h", F.row_number().over(first).alias("n")).filter(F.col("n") <= texts)
     # Only the bytes that may be used come to the driver: so many of each language, in order of n.
