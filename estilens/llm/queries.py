@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estilens.llm import decontaminate, language, mixing, quality, secrets, simhash, substrings
+from estilens.llm import decontaminate, language, mixing, pseudonyms, quality, secrets, simhash, substrings
 from estilens.llm.common import read_table
 from estilens.llm.sql import ORACLES
 
@@ -45,6 +45,11 @@ def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_pii_pseudonyms(spark, sf_dir):
+    return pseudonyms.pseudonymise(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_source_mixing(spark, sf_dir):
     return mixing.mixing_rates(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).rates
