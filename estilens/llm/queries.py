@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estilens.llm import decontaminate, language, mixing, pseudonyms, quality, secrets, simhash, substrings
+from estilens.llm import decontaminate, fixity, language, mixing, pseudonyms, quality, secrets, simhash, substrings
 from estilens.llm.common import read_table
 from estilens.llm.sql import ORACLES
 
@@ -25,6 +25,11 @@ def op1_quality_rules(spark, sf_dir):
     return quality.assess(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_warc_fixity(spark, sf_dir):
+    return fixity.audit_pages(read_table(spark, sf_dir, "pages"))
+
+
 @query
 def op3_language_id(spark, sf_dir):
     return language.identify(read_table(spark, sf_dir, "documents"))

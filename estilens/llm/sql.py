@@ -40,6 +40,37 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   n_lines::BIGINT AS n_lines, (before - after)::BIGINT AS n_lost_chars
 FROM counted"""
 
+# --- WARC fixity ---------------------------------------------------------------------
+
+_ID = "md5(coalesce(url, '') || coalesce(html, ''))"
+ORACLES["op2_warc_fixity"] = f"""
+WITH named AS (
+  SELECT page_id, 'part-' || coalesce((page_id // 512)::VARCHAR, '-1') || '.warc' AS file, {_ID} AS record,
+    coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages
+), records AS (
+  SELECT page_id, file, record, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+    || 'WARC-Record-ID: <urn:uuid:' || record[1:8] || '-' || record[9:12] || '-' || record[13:16] || '-' || record[17:20] || '-' || record[21:32]
+    || '>' || chr(13) || chr(10) || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
+    || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html)
+    || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS body
+  FROM named
+), sizes AS (SELECT file, record, min(page_id) AS page_id, sum(strlen(body)) AS size FROM records GROUP BY file, record),
+places AS (
+  SELECT file, record, coalesce(sum(size) OVER (PARTITION BY file ORDER BY page_id, record
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin FROM sizes
+), two AS (
+  SELECT file, begin, strlen(body)::BIGINT AS size, sha256(body) AS a, sha256('WARC/1.0' || body[9:]) AS bad, coalesce(page_id % 50, 0) AS rest
+  FROM records JOIN places USING (file, record)
+), sides AS (
+  SELECT file, begin, sum(size)::BIGINT AS size_a, CASE count(*) WHEN 1 THEN min(a) ELSE sha256(string_agg(a, ',' ORDER BY a)) END AS hash_a,
+    sum(size) FILTER (rest <> 31)::BIGINT AS size_b,
+    CASE count(*) FILTER (rest <> 31) WHEN 0 THEN NULL WHEN 1 THEN min(CASE rest WHEN 7 THEN bad ELSE a END) FILTER (rest <> 31)
+      ELSE sha256(string_agg(CASE rest WHEN 7 THEN bad ELSE a END, ',' ORDER BY CASE rest WHEN 7 THEN bad ELSE a END) FILTER (rest <> 31)) END AS hash_b
+  FROM two GROUP BY file, begin
+)
+SELECT file, begin, size_a, size_b, hash_a, hash_b, CASE WHEN hash_b IS NULL THEN 'missing_b' ELSE 'changed' END AS kind
+FROM sides WHERE hash_b IS DISTINCT FROM hash_a"""
+
 # --- secret scans --------------------------------------------------------------------
 
 _BEFORE = """(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?"""
