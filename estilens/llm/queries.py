@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estilens.llm import decontaminate, fixity, language, mixing, pseudonyms, quality, secrets, simhash, substrings
+from estilens.llm import decontaminate, fixity, language, licenses, mixing, pseudonyms, quality, secrets, simhash, substrings
 from estilens.llm.common import read_table
 from estilens.llm.sql import ORACLES
 
@@ -35,6 +35,11 @@ def op3_language_id(spark, sf_dir):
     return language.identify(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_license_scans(spark, sf_dir):
+    return licenses.scan_documents(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_secret_scans(spark, sf_dir):
     return secrets.report(read_table(spark, sf_dir, "documents"))

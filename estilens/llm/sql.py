@@ -1,5 +1,7 @@
 """The text queries in DuckDB SQL, where SQL can express them."""
 
+from estilens.llm.licenses import TEMPLATES
+
 ORACLES: dict[str, str] = {}
 
 # --- quality rules -------------------------------------------------------------------
@@ -71,6 +73,50 @@ places AS (
 SELECT file, begin, size_a, size_b, hash_a, hash_b, CASE WHEN hash_b IS NULL THEN 'missing_b' ELSE 'changed' END AS kind
 FROM sides WHERE hash_b IS DISTINCT FROM hash_a"""
 
+# --- license scans -------------------------------------------------------------------
+
+_TEMPLATES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+ORACLES["op4_license_scans"] = f"""
+WITH numbered AS (SELECT row_number() OVER () AS d, doc_id, coalesce(doc_id, -1) AS n, coalesce(source, 'none') AS source, coalesce(text, '') AS text FROM documents),
+files AS (
+  SELECT d, doc_id, text, CASE WHEN n % 10 <> 0 OR (n // 10) % 3 = 2 THEN source || '/' || ((n // 100) % 10) || '/' || ((n // 1000) % 10)
+    WHEN (n // 10) % 3 = 1 THEN source || '/' || ((n // 100) % 10) ELSE source END AS dir,
+    CASE WHEN n % 10 = 0 THEN 'LICENSE-' ELSE 'file-' END || n AS name FROM numbered
+), templates AS (
+  SELECT t, license, word, count(*) AS tf FROM (SELECT t, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word
+    FROM (VALUES {_TEMPLATES}) v(t, license, text)) GROUP BY ALL
+), units AS (
+  SELECT d, 0 AS unit, text AS line FROM files UNION ALL
+  SELECT d, i AS unit, lines[i] AS line FROM (SELECT d, lines, unnest(generate_series(1, len(lines))) AS i FROM (SELECT d, string_split(text, chr(10)) AS lines FROM files))
+), words AS (SELECT d, unit, word, count(*) AS tf FROM (SELECT d, unit, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS word FROM units) GROUP BY ALL),
+df AS (SELECT word, count(*) AS df FROM words WHERE unit = 0 GROUP BY word),
+total AS (SELECT count(*) AS n FROM files),
+idf AS (SELECT word, ln((1 + n) / (1 + coalesce(df, 0))::DOUBLE) + 1 AS idf FROM (SELECT DISTINCT word FROM templates) LEFT JOIN df USING (word), total),
+lengths AS (
+  SELECT d, unit, sqrt(sum(coalesce(tf * idf * tf * idf, tf * (ln(1 + n) + 1) * (ln(1 + n) + 1)))) AS length
+  FROM words LEFT JOIN idf USING (word), total GROUP BY d, unit
+), sizes AS (SELECT t, sqrt(sum(tf * idf * tf * idf)) AS size FROM templates JOIN idf USING (word) GROUP BY t),
+scored AS (
+  SELECT d, unit, license, round(product / length, 6) AS similarity FROM (
+    SELECT w.d, w.unit, t.t, t.license, sum(w.tf * idf * t.tf * idf / size) AS product
+    FROM words w JOIN templates t USING (word) JOIN idf USING (word) JOIN sizes s ON s.t = t.t GROUP BY ALL
+  ) JOIN lengths USING (d, unit)
+), best AS (
+  SELECT d, license, similarity, CASE unit WHEN 0 THEN 'file' ELSE 'header' END AS how FROM scored WHERE similarity >= 0.6
+  QUALIFY row_number() OVER (PARTITION BY d ORDER BY similarity DESC, unit, license) = 1
+), own AS (SELECT d, doc_id, dir, dir || '/' || name AS path, name, license, similarity, how FROM files LEFT JOIN best USING (d)),
+given AS (
+  SELECT dir AS ancestor, license AS i_license, path AS i_path FROM own WHERE license IS NOT NULL AND name LIKE 'LICENSE%'
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, path, license) = 1
+), above AS (
+  SELECT d, i_license, i_path FROM own JOIN given ON dir = ancestor OR starts_with(dir, ancestor || '/')
+  QUALIFY row_number() OVER (PARTITION BY d ORDER BY length(ancestor) DESC) = 1
+)
+SELECT doc_id, path, coalesce(license, i_license) AS license, similarity,
+  CASE WHEN license IS NOT NULL THEN how WHEN i_license IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+  CASE WHEN license IS NULL THEN i_path END AS inherited_from
+FROM own LEFT JOIN above USING (d)"""
+
 # --- secret scans --------------------------------------------------------------------
 
 _BEFORE = """(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?"""
