@@ -41,7 +41,7 @@ BUDGET = 0.8
 SAMPLE, FEATURES, MIN_LABELS = 3000, 400, 5
 #: Hash values of words that are told apart.
 SLOTS = 1 << 20
-STEPS, TOLERANCE = 60, 1e-4
+STEPS, TOLERANCE = 60, 5e-5
 PIECE_BYTES = 1 << 20
 
 _WORD_BREAK = np.array([not (0x61 <= c <= 0x7A or 0x41 <= c <= 0x5A or 0x30 <= c <= 0x39 or c >= 0x80) for c in range(256)])
