@@ -53,6 +53,8 @@ RULES = (
     Rule("forge", 1, "gh[oprsu]_[A-Za-z0-9]{36,}"),
 )
 BASE = ("assign", "access", "hex")
+#: Findings up to this number are sent to all executors (about 100 bytes each).
+SENT_SPANS = 200_000
 
 
 def rule_name(rule: Rule) -> str:
@@ -168,7 +170,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     Findings that overlap or touch get one mark; n_chars, if there, follows the new text.
     """
-    found = summary(scan_history(docs).findings).select("blob", F.col("found").alias("spans"))
+    found = staged(summary(scan_history(docs).findings).select("blob", F.col("found").alias("spans")), "secret-spans")
+    # Texts need not move while the findings are few; more of them meet the texts in a shuffle.
+    if (found.agg(F.sum(F.size("spans"))).first()[0] or 0) <= SENT_SPANS:
+        found = F.broadcast(found)
     rows = docs.select(F.struct("*").alias("row"), blob_name(F.col("text")).alias("blob")).join(found, "blob", "left")
     span = "struct<begin:bigint,end:bigint>"
 
