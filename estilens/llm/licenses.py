@@ -10,8 +10,8 @@ license file in the nearest directory above them (or in their own).
 Only units that can reach the threshold are compared, and this loses none: of each
 template the weightiest words are taken until the others together have less than
 THRESHOLD of its length; a unit without any of them has a smaller cosine (Cauchy and
-Schwarz).  Those words are searched in every text.  What moves afterwards are words
-of such units, and names of files; texts never do.
+Schwarz).  Those words are searched in every text.  Only texts that have one of
+those words move, and the names of files.
 
 Everything is column expressions and joins.  Templates are a parameter, at most
 MOST_WORDS words in all; their words are what is broadcast.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from estilens.llm.common import staged
 
 THRESHOLD = 0.6
-MOST_WORDS = 20_000
+MOST_WORDS = 5_000
 
 #: Fixed texts: how works commonly state their license.
 TEMPLATES = (
@@ -91,7 +91,6 @@ def needed_words(templates: Iterable[dict[str, int]], weight: dict[str, float],
 
 def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """files(path, text) -> key (see file_key), license, similarity and how (file or header)."""
-    spark = files.sparkSession
     vectors = [_counts(text) for _, text in templates]
     vocabulary = sorted({word for counts in vectors for word in counts})
     if sum(map(len, vectors)) > MOST_WORDS:
@@ -99,26 +98,31 @@ def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     weight = rarity(files, vocabulary)
     needed = F.array(*map(F.lit, needed_words(vectors, weight, threshold))).cast("array<string>")
     texts = files.select(file_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.filter(F.arrays_overlap(words_of(F.col("text")), needed))
+    # Only texts with a needed word move, once; everything below stays in the partition of the key.
+    texts = texts.filter(F.arrays_overlap(words_of(F.col("text")), needed)).dropDuplicates(["key"])
     units = texts.select("key", F.posexplode(F.concat(F.array("text"), F.split("text", "\n", -1))).alias("unit", "line"))
     units = units.select("key", "unit", words_of(F.col("line")).alias("words")).filter(F.arrays_overlap("words", needed))
-    words = units.dropDuplicates(["key", "unit"]).select("key", "unit", F.explode("words").alias("word"))
-    counts = words.groupBy("key", "unit", "word").agg(F.count(F.lit(1)).alias("tf"))
-    known = spark.createDataFrame([(w, weight[w]) for w in vocabulary], "word string, idf double")
-    counts = staged(counts.join(F.broadcast(known), "word", "left"), "license-words")
+    counts = units.select("key", "unit", F.explode("words").alias("word")).groupBy("key", "unit", "word").agg(F.count(F.lit(1)).alias("tf"))
+    # Each word's weight and its part in the unit vector of every template.
+    sizes = [math.sqrt(sum((tf * weight[w]) ** 2 for w, tf in v.items())) for v in vectors]
+    known = [
+        F.struct(F.lit(w).alias("word"), F.lit(weight[w]).alias("idf"), F.array(*[F.lit(v.get(w, 0) * weight[w] / size) for v, size in zip(vectors, sizes)]).alias("parts"))
+        for w in vocabulary
+    ]
+    known = files.sparkSession.range(1).select(F.inline(F.array(*known))) if known else None
+    if known is None:
+        return texts.select("key", F.lit("").alias("license"), F.lit(0.0).alias("similarity"), F.lit("").alias("how")).limit(0)
     own = F.col("tf") * F.col("idf")
-    length = F.sqrt(F.sum(F.coalesce(own * own, F.col("tf") * F.lit(weight[""] ** 2))))
-    lengths = counts.groupBy("key", "unit").agg(length.alias("length"))
-    rows = []
-    for k, ((name, _), vector) in enumerate(zip(templates, vectors)):
-        size = math.sqrt(sum((tf * weight[w]) ** 2 for w, tf in vector.items()))
-        rows += [(k, name, w, tf * weight[w] / size) for w, tf in vector.items()]
-    given = spark.createDataFrame(rows, "template int, license string, word string, part double")
-    # A word meets the templates that have it: as many rows as the templates are alike.
-    products = counts.filter("idf IS NOT NULL").join(F.broadcast(given), "word").groupBy("key", "unit", "template", "license").agg(F.sum(own * F.col("part")).alias("product"))
-    cosine = F.round(F.col("product") / F.col("length"), 6)
-    scored = products.join(lengths, ["key", "unit"]).select("key", "unit", "license", cosine.alias("similarity")).filter(F.col("similarity") >= threshold)
-    best = scored.groupBy("key").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "unit", "license")).alias("b"))
+    rarest = F.col("tf") * F.lit(weight[""] ** 2)
+    products = [F.sum(own * F.col("parts")[k]) for k in range(len(templates))]
+    scored = counts.join(F.broadcast(known), "word", "left").groupBy("key", "unit").agg(
+        F.sqrt(F.sum(F.coalesce(own * own, rarest))).alias("length"), F.array(*products).alias("products")
+    )
+    names = F.array(*[F.lit(name) for name, _ in templates])
+    cosines = F.transform("products", lambda x, k: F.struct(
+        (-F.round(x / F.col("length"), 6)).alias("s"), F.col("unit"), F.get(names, k).alias("license")))
+    # A unit has a product with some template, since it has one of the needed words.
+    best = scored.groupBy("key").agg(F.min(F.array_min(F.filter(cosines, lambda x: x["s"] <= -threshold))).alias("b")).filter("b IS NOT NULL")
     how = F.when(F.col("b.unit") == 0, "file").otherwise("header")
     return best.select("key", F.col("b.license").alias("license"), (-F.col("b.s")).alias("similarity"), how.alias("how"))
 
