@@ -71,39 +71,86 @@ def release_calendar(t):
     return periods.release_calendar(latest_release(t), 1995)
 
 
+_TOP = "top AS (SELECT my, mm, mc FROM (SELECT year AS my, month AS mm, closing AS mc FROM cal) ORDER BY my DESC, mm DESC, mc DESC LIMIT 1)"
+
+
+def _offered(closing: str, year: str, month: str) -> str:
+    """A closing if the month has it, else its last one."""
+    rangec = f"CASE WHEN {year} = my AND {month} = mm THEN mc WHEN {month} IN ('10', '11', '12') AND (mc = '3' OR mm < '10') THEN '3' ELSE '2' END"
+    options = f"list_filter(['3', '2', '1'], lambda o: o <= {rangec} AND NOT (o = '2' AND {month} = '12'))"
+    return f"CASE WHEN list_contains({options}, {closing}) THEN {closing} ELSE {options}[1] END"
+
+
 @query(f"""
-  WITH cal AS ({_CALENDAR.strip()}),
-    ym AS (SELECT year, month, list(closing) AS cs, max(default_closing) AS d FROM cal GROUP BY ALL)
+  WITH cal AS ({_CALENDAR.strip()}), {_TOP},
+    ym AS (SELECT year, month, max(default_closing) AS d FROM cal GROUP BY ALL),
+    years AS (SELECT DISTINCT year FROM cal)
   SELECT c.year, c.month, c.closing,
     (SELECT max(closing) FROM cal x WHERE x.year = c.year AND x.month = c.month AND x.closing < c.closing) AS prev_closing,
     (SELECT min(closing) FROM cal x WHERE x.year = c.year AND x.month = c.month AND x.closing > c.closing) AS next_closing,
-    p.year AS prev_year, CASE WHEN list_contains(p.cs, c.closing) THEN c.closing ELSE p.d END AS prev_year_closing,
-    n.year AS next_year, CASE WHEN list_contains(n.cs, c.closing) THEN c.closing ELSE n.d END AS next_year_closing,
-    pm.d AS prev_month_closing, nm.d AS next_month_closing
-  FROM cal c LEFT JOIN ym p ON p.month = c.month AND p.year::INT = c.year::INT - 1
-    LEFT JOIN ym n ON n.month = c.month AND n.year::INT = c.year::INT + 1
+    pm.d AS prev_month_closing, nm.d AS next_month_closing,
+    p.year AS prev_year, CASE WHEN p.year = my AND c.month > mm THEN mm WHEN p.year IS NOT NULL THEN c.month END AS prev_year_month,
+    CASE WHEN p.year IS NOT NULL THEN {_offered('c.closing', 'p.year', 'c.month')} END AS prev_year_closing,
+    n.year AS next_year, CASE WHEN n.year = my AND c.month > mm THEN mm WHEN n.year IS NOT NULL THEN c.month END AS next_year_month,
+    CASE WHEN n.year IS NOT NULL THEN {_offered('c.closing', 'n.year', 'c.month')} END AS next_year_closing
+  FROM cal c CROSS JOIN top LEFT JOIN years p ON p.year::INT = c.year::INT - 1 LEFT JOIN years n ON n.year::INT = c.year::INT + 1
     LEFT JOIN ym pm ON pm.year = c.prev_year AND pm.month = c.prev_month
     LEFT JOIN ym nm ON nm.year = c.next_year AND nm.month = c.next_month""")
 def closing_steps(t):
     return periods.closing_steps(release_calendar(t))
 
 
-_VINTAGES = "SELECT CASE WHEN bmrk_year = (SELECT max(bmrk_year) FROM fx_estimates) THEN 'current' ELSE bmrk_year END AS vintage"
+_ASKED_DATES = """SELECT DISTINCT CASE o_orderkey % 7 WHEN 0 THEN '1990' WHEN 1 THEN NULL WHEN 2 THEN 'x' ELSE year(o_orderdate)::VARCHAR END AS year,
+    CASE o_orderkey % 11 WHEN 0 THEN '13' WHEN 1 THEN NULL WHEN 2 THEN year(o_orderdate)::VARCHAR || lpad(month(o_orderdate)::VARCHAR, 2, '0')
+      WHEN 3 THEN '' ELSE lpad(month(o_orderdate)::VARCHAR, 2, '0') END AS month,
+    CASE o_orderkey % 5 WHEN 4 THEN NULL ELSE (o_orderkey % 5)::VARCHAR END AS closing FROM orders"""
+
+
+@query(f"""
+  WITH cal AS ({_CALENDAR.strip()}), {_TOP}, asked AS ({_ASKED_DATES}), a AS (
+    SELECT *, CASE WHEN length(month) > 2 THEN left(month, 4) ELSE year END AS y, CASE WHEN length(month) > 2 THEN right(month, 2) ELSE month END AS m FROM asked),
+  b AS (SELECT * REPLACE (CASE WHEN m > mm AND y = my THEN mm ELSE m END AS m) FROM a CROSS JOIN top),
+  c AS (SELECT *, CASE WHEN y IN (SELECT year FROM cal) THEN y ELSE my END AS ry FROM b),
+  d AS (SELECT *, CASE WHEN m IN (SELECT month FROM cal) THEN m WHEN ry = my THEN mm ELSE '12' END AS rm FROM c)
+  SELECT year AS asked_year, month AS asked_month, closing AS asked_closing, ry AS year, rm AS month, {_offered('closing', 'ry', 'rm')} AS closing FROM d""")
+def resolve_release(t):
+    c, date = F.col, F.col("o_orderdate")
+    year, month = F.year(date).cast("string"), F.lpad(F.month(date).cast("string"), 2, "0")
+    key = c("o_orderkey")
+    asked = t.read("orders").select(
+        F.when(key % 7 == 0, "1990").when(key % 7 == 1, F.lit(None)).when(key % 7 == 2, "x").otherwise(year).alias("year"),
+        F.when(key % 11 == 0, "13").when(key % 11 == 1, F.lit(None)).when(key % 11 == 2, F.concat(year, month))
+        .when(key % 11 == 3, "").otherwise(month).alias("month"),
+        F.when(key % 5 < 4, (key % 5).cast("string")).alias("closing"),
+    ).distinct()
+    return periods.resolve_release(asked, release_calendar(t))
+
+
+@query(f"""
+  WITH l AS ({_LATEST}) SELECT k AS position, CASE WHEN k < month::INT THEN lpad(m::VARCHAR, 2, '0') ELSE (year::INT - 1)::VARCHAR || lpad(m::VARCHAR, 2, '0') END AS value,
+    lpad(m::VARCHAR, 2, '0') || '-' || {S.MONTH_NAME.format('m')} AS label
+  FROM (SELECT *, (month::INT - 1 - k + 12) % 12 + 1 AS m FROM l CROSS JOIN range(0, 12) r(k))""")
+def month_choices(t):
+    return periods.month_choices(latest_release(t))
+
+
+@query(f"SELECT {S.PER}, view, rank, vintage, held FROM release_vintages")
+def release_vintages(t):
+    return t.release_vintages.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(f"""
-  WITH facts AS ({_VINTAGES}, * FROM fx_estimates), p AS (
-    SELECT bmrkyr, month IN ('10', '11', '12') AND estimate_type_code = '3' AS two FROM reference_periods WHERE month = '11' AND year = '1999'),
-  wanted AS (SELECT CASE WHEN bmrkyr IN (SELECT vintage FROM facts) THEN bmrkyr ELSE 'current' END AS v FROM p
-    UNION SELECT (bmrkyr::INT - 1)::VARCHAR FROM p WHERE two)
-  SELECT vintage, {S.K4}, {S.PER}, published_estimate_value FROM facts WHERE vintage IN (SELECT v FROM wanted)""")
+  WITH facts AS (
+    SELECT vintage, {S.K4}, {S.PER}, published_estimate_value FROM vintaged UNION ALL
+    SELECT CASE WHEN bmrk_year::INT + 1 = (SELECT max(bmrk_year)::INT FROM fx_estimates) THEN 'current' ELSE (bmrk_year::INT + 1)::VARCHAR END,
+      {S.K4}, {S.PER}, published_estimate_value + 1000 FROM vintaged WHERE data_type_code = '01' AND vintage <> 'current'),
+  views AS (SELECT DISTINCT view, rank, vintage FROM release_vintages),
+  newer AS (SELECT DISTINCT view, {S.PER} FROM facts JOIN views USING (vintage) WHERE rank = 0)
+  SELECT view, {S.K4}, {S.PER}, published_estimate_value FROM facts JOIN views USING (vintage)
+  WHERE rank = 0 OR (view, {S.PER}) NOT IN (FROM newer)""")
 def vintage(t):
-    last = F.broadcast(t.estimates.agg(F.max("bmrk_year").alias("vintage")).withColumn("label", F.lit("current")))
-    facts = t.estimates.withColumn("vintage", F.col("bmrk_year")).join(last, "vintage", "left").withColumn(
-        "vintage", F.coalesce("label", "vintage")).drop("label")
-    asked = t.periods.filter((F.col("month") == "11") & (F.col("year") == "1999"))
-    rows = periods.vintage(facts, asked, facts.select("vintage").distinct())
-    return rows.select("vintage", *SERIES, *PERIOD, "published_estimate_value")
+    """Estimates of every release's vintages, where most rows stand in two."""
+    return periods.as_read(t.restated_estimates, t.release_vintages).select("view", *SERIES, *PERIOD, "published_estimate_value")
 
 
 # --- catalog -----------------------------------------------------------------
@@ -152,6 +199,24 @@ def catalog_options(t):
     return catalog.catalog_options(t.wide_catalog, top_only=True)
 
 
+def _options(where: str) -> str:
+    return f"""
+  WITH c AS (SELECT * FROM wide_catalog WHERE {where})
+  SELECT 'state' AS level, '' AS state, '' AS area, '' AS series, state AS value FROM c
+  UNION SELECT 'area', state, '', '', area FROM c UNION SELECT 'series', state, area, '', series FROM c
+  UNION SELECT 'datatype', state, area, series, datatype FROM c"""
+
+
+@query(_options("true"))
+def catalog_options_all(t):
+    return catalog.catalog_options(t.wide_catalog)
+
+
+@query(_options("oot = 'Y'"))
+def catalog_options_oot(t):
+    return catalog.catalog_options(t.wide_catalog, oot_only=True)
+
+
 @query("""
   SELECT state, area, series, area || coalesce('-' || a.name, '') AS area_label,
     substr(series, 1, 2) || '-' || substr(series, 3) || coalesce('-' || max(seriestype) || '-' || s.name, '') AS series_label
@@ -286,7 +351,7 @@ def estimate_info(t):
 
 @query("SELECT * FROM comparison")
 def estimate_comparison(t):
-    return estimates.estimate_comparison(t.info)
+    return estimates.estimate_comparison(t.info).drop("crossed")
 
 
 @query(f"""SELECT {S.K4}, sel_year, sel_month, sel_closing, prior_rows, own_rows FROM (
@@ -299,12 +364,12 @@ def stack_closings(t):
 
 
 @query(f"""
-  SELECT c.*, CASE version WHEN 'hi-tol' THEN coalesce(p, 0) > coalesce(est, 0)
+  SELECT * EXCLUDE (p), CASE version WHEN 'hi-tol' THEN coalesce(p, 0) > coalesce(est, 0)
     WHEN 'lo-tol' THEN coalesce(p, 0) < coalesce(est, 0) ELSE false END AS crossed
-  FROM comparison c LEFT JOIN (SELECT {S.K4}, series_type_code, sel_year, sel_month, sel_closing, est AS p
-    FROM comparison WHERE version = 'pub') USING ({S.K4}, series_type_code, sel_year, sel_month, sel_closing)""")
+  FROM (SELECT *, max(est) FILTER (version = 'pub') OVER (PARTITION BY {S.K4}, series_type_code, sel_year, sel_month, sel_closing) AS p
+    FROM comparison)""")
 def tolerance_crossing(t):
-    return estimates.tolerance_crossing(estimates.estimate_comparison(t.info))
+    return estimates.estimate_comparison(t.info)
 
 
 @query(f"""
@@ -353,14 +418,25 @@ def history_matrix(t):
     return estimates.history_matrix(estimates.series_history(t.estimates))
 
 
-_MONTHS_2001 = [f"{m}-01" for m in ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct")]
+# The last year of the test tables.
+_LABELS = estimates.history_labels(2001)
+
 
+def _column(label: str) -> str:
+    return label.replace("-", "_").lower()
 
-@query(f"""SELECT {S.KS}, rowtitle, {', '.join(f'max(value) FILTER (label = {m!r}) AS "{m.replace("-", "_").lower()}"' for m in _MONTHS_2001)}
+
+@query(f"""SELECT {S.KS}, rowtitle, {', '.join(f'max(value) FILTER (label = {m!r}) AS "{_column(m)}"' for m in _LABELS)}
   FROM ({_MATRIX}) GROUP BY {S.KS}, rowtitle""")
 def history_table(t):
-    table = estimates.history_table(estimates.history_matrix(estimates.series_history(t.estimates)), _MONTHS_2001)
-    return table.withColumnsRenamed({m: m.replace("-", "_").lower() for m in _MONTHS_2001})
+    table = estimates.history_table(estimates.history_matrix(estimates.series_history(t.estimates)), _LABELS)
+    return table.withColumnsRenamed({m: _column(m) for m in _LABELS})
+
+
+@query("SELECT * FROM release_history")
+def release_history(t):
+    """The history of each series as each release shows it."""
+    return estimates.series_history(t.estimates, releases=t.periods)
 
 
 # --- sample ------------------------------------------------------------------
@@ -439,6 +515,15 @@ def review_shortlist(t):
     return detail.review_shortlist(t.units, k=3)
 
 
+@query(f"""
+  SELECT * EXCLUDE (i) FROM (SELECT *, count(*) OVER (PARTITION BY {S.SEL}) AS total_rows,
+    row_number() OVER (PARTITION BY {S.SEL} ORDER BY flag NULLS FIRST, abs(wotm) DESC NULLS FIRST,
+      reptstate NULLS FIRST, ui NULLS FIRST, report NULLS FIRST, is_knr) AS i FROM rollup)
+  WHERE i <= 31 OR flag = 'X' OR flag <> origflag""")
+def review_shortlist_default(t):
+    return detail.review_shortlist(t.units)
+
+
 @query(f"SELECT * FROM detail SEMI JOIN (SELECT * FROM rollup WHERE is_summed) USING ({S.SEL}, {', '.join(UNIT_GROUP)})")
 def group_detail(t):
     return detail.group_detail(t.detail, t.units.filter("is_summed"))
@@ -503,6 +588,11 @@ def month_segments(t):
     return history.month_segments(history.history_rollup(t.past, "summary"), "summary")
 
 
+@query("SELECT * FROM segments_detail")
+def month_segments_reports(t):
+    return history.month_segments(history.history_rollup(t.past, "detail"), "detail")
+
+
 # --- what-if -----------------------------------------------------------------
 
 @query("SELECT * FROM inputs")
@@ -534,6 +624,19 @@ def what_if_reflag(t):
     return whatif.what_if_reflag(rows, changes, estimate_inputs(t))
 
 
+@query(f"""
+  WITH d AS (SELECT {S.SEL}, {', '.join(f"-sum(CASE WHEN flag = '{f}' THEN {v} ELSE 0 END)::DOUBLE AS d_{n}"
+      for n, f, v in (("apm", "A", "pm"), ("acm", "A", "cm"), ("twpm", "T", "wpm"), ("twcm", "T", "wcm")))}, count(*) AS n
+    FROM detail SEMI JOIN (SELECT * FROM rollup WHERE is_summed) USING ({S.SEL}, {', '.join(UNIT_GROUP)}) GROUP BY {S.SEL})
+  SELECT {S.SEL}, {', '.join(f'i.{x} + coalesce(d_{x}, 0) AS {x}' for x in ('apm', 'acm', 'twpm', 'twcm'))}, coalesce(n, 0) AS changed_reports
+  FROM inputs i LEFT JOIN d USING ({S.SEL})""")
+def what_if_units(t):
+    """All reports of every unit row with several reports are proposed to be unused."""
+    units = t.units.filter("is_summed").select(*SELECTION, *UNIT_GROUP, F.lit("X").alias("new_flag"))
+    changes = whatif.unit_changes(t.detail, units)
+    return whatif.what_if_reflag(t.detail, changes, estimate_inputs(t)).select(*SELECTION, *whatif.TOTALS, "changed_reports")
+
+
 # --- models ------------------------------------------------------------------
 
 _ASKED = "SELECT * FROM info WHERE this_closing = sel_closing"
@@ -598,3 +701,9 @@ def two_line_series(t):
 def options_first_seen(t):
     rows = t.read("lineitem").withColumn("group", F.concat("l_returnflag", "l_linestatus"))
     return basic.options_first_seen(rows, "group", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
+
+
+@query("""WITH o AS (SELECT l_returnflag || l_linestatus AS option, min(l_orderkey * 100 + l_linenumber) AS first_seen FROM lineitem GROUP BY ALL)
+  SELECT coalesce(max(option) FILTER (option = 'NF'), arg_min(option, first_seen)) AS option FROM o""")
+def requested_or_first(t):
+    return basic.requested_or_first(options_first_seen(t), "NF")

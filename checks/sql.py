@@ -170,14 +170,15 @@ CTES["tolerated"] = f"""
       CASE WHEN e.data_type_code = '85' THEN a.lower_tolerance ELSE e.lower_tolerance END AS lower_tolerance)
   FROM adjusted e LEFT JOIN (SELECT * FROM fx_estimates WHERE data_type_code = '01') a ON {on('e', 'a', KS + ',' + PER)}"""
 
-CTES["panel"] = f"""
-  SELECT t.*, s.series_type_code, s.ws_flag, {of('r', REQ)}, r.p12m_y,
-    CASE WHEN t.year = r.sel_year AND t.month = r.sel_month THEN 'cm'
-      WHEN t.year = r.pm_y AND t.month = r.pm THEN 'pm' ELSE 'p12m' END AS role
+def _role(name: str, year: str, month: str, closing: str) -> str:
+    return f"""SELECT t.*, s.series_type_code, s.ws_flag, {of('r', REQ)}, r.p12m_y, '{name}' AS role
   FROM tolerated t JOIN (SELECT DISTINCT {K4}, series_type_code, ws_flag FROM structure) s ON {on('t', 's', K4)}
-  JOIN requests r ON (t.year = r.sel_year AND t.month = r.sel_month AND t.estimate_type_code = r.this_closing)
-    OR (t.year = r.pm_y AND t.month = r.pm AND t.estimate_type_code = r.pm_closing)
-    OR (t.year = r.p12m_y AND t.month = r.p12m AND t.estimate_type_code = r.p12m_closing)"""
+  JOIN requests r ON t.year = r.{year} AND t.month = r.{month} AND t.estimate_type_code = r.{closing}"""
+
+
+CTES["panel"] = " UNION ALL ".join((
+    _role("cm", "sel_year", "sel_month", "this_closing"), _role("pm", "pm_y", "pm", "pm_closing"),
+    _role("p12m", "p12m_y", "p12m", "p12m_closing")))
 
 _NULLED = """CASE WHEN role = 'cm' THEN original_estimate_value END AS original_estimate_value,
     CASE WHEN role = 'cm' THEN recalc_estimate_value END AS recalc_estimate_value"""
@@ -260,6 +261,32 @@ CTES["history"] = f"""
   WHERE back <= 27"""
 
 
+CTES["vintaged"] = """
+  SELECT *, CASE WHEN bmrk_year = (SELECT max(bmrk_year) FROM fx_estimates) THEN 'current' ELSE bmrk_year END AS vintage FROM fx_estimates"""
+CTES["release_vintages"] = f"""
+  SELECT {PER}, main || coalesce('+' || earlier, '') AS view, rank, CASE rank WHEN 0 THEN main ELSE earlier END AS vintage,
+    CASE rank WHEN 0 THEN main ELSE earlier END IN (SELECT vintage FROM vintaged) AS held
+  FROM (SELECT *, CASE WHEN bmrkyr IN (SELECT vintage FROM vintaged) THEN bmrkyr ELSE 'current' END AS main,
+      CASE WHEN month IN ('10', '11', '12') AND estimate_type_code = '3' THEN (bmrkyr::INT - 1)::VARCHAR END AS earlier
+    FROM reference_periods) JOIN range(0, 2) k(rank) ON rank = 0 OR earlier IS NOT NULL"""
+CTES["view_vintages"] = "SELECT DISTINCT view, vintage FROM release_vintages"
+
+CTES["release_history"] = f"""
+  SELECT {KS}, sel_year, sel_month, sel_closing, year, month, estimate_type_code AS closing, published_estimate_value, upper_tolerance,
+    lower_tolerance, adjtype, adjsubtype, adjamt, adjreason, est_adj, {cut('original_estimate_value')} AS orig_est,
+    estimate_adjustment AS est_adj_value, nse, sample_treatment AS sample_adj, ratio_adjustment AS ratio_adj,
+    analyst_comment AS est_adj_cmnt, {cut('published_estimate_value')} AS rvalue,
+    {cut('upper_tolerance * before')} AS hitol, {cut('lower_tolerance * before')} AS lotol
+  FROM (SELECT *, lag(published_estimate_value) OVER (PARTITION BY {KS}, sel_year, sel_month, sel_closing ORDER BY year, month) AS before,
+      row_number() OVER (PARTITION BY {KS}, sel_year, sel_month, sel_closing ORDER BY year DESC, month DESC) AS back
+    FROM (SELECT e.*, p.year AS sel_year, p.month AS sel_month, p.estimate_type_code AS sel_closing,
+        max(e.estimate_type_code) OVER (PARTITION BY {of('e', KS)}, p.year, p.month, p.estimate_type_code, e.year, e.month) AS newest
+      FROM parsed e JOIN periods p ON e.year::INT > p.year::INT - 3
+        AND (e.year || e.month < p.year || p.month OR (e.year = p.year AND e.month = p.month AND e.estimate_type_code <= p.estimate_type_code)))
+    WHERE data_type_code = '01' AND estimate_type_code = newest)
+  WHERE back <= 27"""
+
+
 def _measures(label: str) -> str:
     return f"""{label} AS a_typ_flag, count(DISTINCT report_id) + max((report_id IS NULL)::INT) AS rep_count,
     count(DISTINCT selected_ui_number) + max((selected_ui_number IS NULL)::INT) AS ui_count,
@@ -377,16 +404,19 @@ CTES["rollup"] = f"""
       FROM detail GROUP BY {SEL}, {_GROUP})
     WHERE {size('pm')} IS NOT NULL AND {size('cm')} IS NOT NULL)"""
 
-CTES["review_periods"] = "SELECT * FROM periods WHERE month = '06' AND estimate_type_code = '2'"
-CTES["current"] = f"SELECT * FROM detail SEMI JOIN review_periods USING ({PER})"
+CTES["current"] = f"SELECT d.*, v.view FROM detail d JOIN (SELECT DISTINCT {PER}, view FROM release_vintages) v USING ({PER})"
+CTES["viewed_reports"] = f"""
+  SELECT *, max(estimate_type_code) OVER (PARTITION BY view, {K4}, year, month) AS newest FROM (
+    SELECT r.*, v.view FROM reports r JOIN view_vintages v
+      ON v.vintage = CASE WHEN bmrk_year = (SELECT max(bmrk_year) FROM fx_estimates) THEN 'current' ELSE bmrk_year END)"""
 CTES["sample_history"] = f"""
   SELECT {of('r', K4)}, r.year, r.month, r.version, {of('r', _REPORT)}, r.naics, r.selsize, r.weight, r.origdwght, r.dwght, r.drr,
     r.pm, r.cm, r.origflag, r.flag, r.otm, r.wotm, r.rwpm AS wpm, r.rwcm AS wcm, r.is_knr,
     concat_ws(',', r.cm_comment_1, r.cm_comment_2) AS cmcc,
     c.year AS cur_year, c.month AS cur_month, c.estimate_type_code AS cur_closing, c.is_knr AS cm_knr, c.flag AS cm_flag
-  FROM (SELECT *, max(estimate_type_code) OVER (PARTITION BY {K4}, year, month) AS newest FROM reports) r
-  JOIN current c ON {on('r', 'c', K4 + ',report')}
-  WHERE r.estimate_type_code IN ('1', '2', '3') AND r.estimate_type_code = newest"""
+  FROM viewed_reports r JOIN current c ON r.view = c.view AND {on('r', 'c', K4 + ',report')}
+  WHERE r.estimate_type_code IN ('1', '2', '3') AND r.estimate_type_code = newest
+    AND r.year || r.month || r.estimate_type_code <= c.year || c.month || c.estimate_type_code"""
 
 
 def history_keys(row_type: str) -> str:
@@ -399,11 +429,12 @@ for _type in ("summary", "detail"):
     CTES[f"history_{_type}"] = f"""
   SELECT {_keys}, is_knr, year, month, min(report) AS first_report,
     {', '.join(f"arg_min({c}, report) AS {c}" for c in _TEXTS)},
-    {', '.join(f"arg_min({c}::VARCHAR, report) AS {c}" for c in ('weight', 'origdwght', 'dwght'))},
+    {', '.join(f"arg_min({c}::VARCHAR, report) AS {c}" for c in ('selsize', 'weight', 'origdwght', 'dwght'))},
+    arg_min(CASE WHEN flag = 'X' THEN 'black' WHEN flag = 'A' THEN 'red' WHEN dwght BETWEEN 0.3 AND 0.4 THEN 'orange' ELSE 'blue' END, report) AS colour,
     {', '.join(f"sum({c}::DECIMAL(38,3))::DOUBLE AS {c}" for c in ('pm', 'cm', 'otm', 'wotm'))}, count(*) AS report_rows
   FROM sample_history GROUP BY {_keys}, is_knr, year, month"""
     CTES[f"points_{_type}"] = f"""
-  SELECT {_keys}, is_knr, {MONTH_NAME.format('month')} || '''' || right(year, 2) AS segment,
+  SELECT {_keys}, is_knr, colour, {MONTH_NAME.format('month')} || '''' || right(year, 2) AS segment,
     unnest([{{'axis': year::INT * 12 + month::INT - 2, 'value': pm, 'segment_end': 'pm'}},
       {{'axis': year::INT * 12 + month::INT - 1, 'value': cm, 'segment_end': 'cm'}}], recursive := true)
   FROM history_{_type} WHERE pm <> 0 AND cm <> 0"""
@@ -411,7 +442,7 @@ for _type in ("summary", "detail"):
   SELECT {_keys}, unnest(range(min(axis)::BIGINT, max(axis)::BIGINT + 1)) AS axis FROM points_{_type} GROUP BY {_keys}"""
     CTES[f"segments_{_type}"] = f"""
   SELECT {of('a', _keys)}, (a.axis // 12)::VARCHAR AS axis_year, lpad((a.axis % 12 + 1)::VARCHAR, 2, '0') AS axis_month,
-    {MONTH_NAME.format('(a.axis % 12 + 1)')} || ' ' || (a.axis // 12)::VARCHAR AS axis_label, segment, is_knr, segment_end, value
+    {MONTH_NAME.format('(a.axis % 12 + 1)')} || ' ' || (a.axis // 12)::VARCHAR AS axis_label, segment, is_knr, colour, segment_end, value
   FROM axis_{_type} a LEFT JOIN points_{_type} p ON {on('a', 'p', _keys + ', axis')}"""
 
 CTES["inputs"] = f"""
@@ -446,7 +477,7 @@ def query(body: str) -> str:
             if name not in needed and _mentions(text, name):
                 needed.add(name)
                 pending.append(CTES[name])
-    ctes = [f"{name} AS ({CTES[name]})" for name in names if name in needed]
+    ctes = [f"{name} AS MATERIALIZED ({CTES[name]})" for name in names if name in needed]
     own = body.strip()
     if own.startswith("WITH "):
         return ",\n".join(["WITH " + ctes[0], *ctes[1:], own[5:]]) if ctes else own

@@ -177,10 +177,27 @@ class DerivedTables:
         """Every release with closing 1 to 3."""
         return self.estimates.select(*PERIOD).filter(F.col("estimate_type_code") != "4").distinct()
 
+    def _vintaged(self, rows: DataFrame) -> DataFrame:
+        """Each benchmark year is an archive, the last one the current files."""
+        last = F.broadcast(self.estimates.agg(F.max("bmrk_year").alias("last_year")))
+        rows = rows.join(last, F.col("bmrk_year") == F.col("last_year"), "left")
+        return rows.withColumn("vintage", F.when(F.col("last_year").isNotNull(), P.CURRENT).otherwise(F.col("bmrk_year"))).drop("last_year")
+
+    @cached_property
+    def vintaged_estimates(self) -> DataFrame:
+        return self._vintaged(self.estimates)
+
+    @cached_property
+    def restated_estimates(self) -> DataFrame:
+        """All-employee rows stand in two vintages, with another value in the newer one."""
+        rows = self.vintaged_estimates.filter((F.col("data_type_code") == "01") & (F.col("vintage") != P.CURRENT))
+        later = rows.withColumn("bmrk_year", (F.col("bmrk_year").cast("bigint") + 1).cast("string")).drop("vintage")
+        return self.vintaged_estimates.unionByName(
+            self._vintaged(later).withColumn("published_estimate_value", F.col("published_estimate_value") + 1000))
+
     @cached_property
-    def review_periods(self) -> DataFrame:
-        """Final releases of each June: the points histories are looked at from."""
-        return self.periods.filter((F.col("month") == "06") & (F.col("estimate_type_code") == "2"))
+    def release_vintages(self) -> DataFrame:
+        return P.vintages_needed(self.periods, self.vintaged_estimates.select("vintage"))
 
     @cached_property
     def panel(self) -> DataFrame:
@@ -205,8 +222,9 @@ class DerivedTables:
 
     @cached_property
     def past(self) -> DataFrame:
-        """History of the reports under review."""
-        return sample_history(self.weighted, sample_detail(self.weighted, self.review_periods))
+        """History of all reports, looked at from each release in its vintages."""
+        weighted = P.as_read(self._vintaged(self.weighted), self.release_vintages)
+        return sample_history(weighted, sample_detail(weighted, P.viewed(self.release_vintages)))
 
     @cached_property
     def small_domain(self) -> DataFrame:

@@ -12,5 +12,15 @@ UNIT_GROUP = ("reptstate", "ui", "flag", "is_knr")
 # which is the asked one or the one released before it.
 REQUEST = ("sel_year", "sel_month", "sel_closing", "this_closing")
 
+# Set on facts of several data vintages: which vintages a row is read from (see
+# periods.as_read).  A requested release has one view, so it is no key of results.
+VIEW = "view"
+
+
+def keyed(rows, *columns: str) -> list[str]:
+    """The columns, after the view if the rows have one."""
+    return [*([VIEW] if VIEW in rows.columns else []), *columns]
+
+
 ALL_EMPLOYEES = "01"
 SERVICE_SECTOR = "85"

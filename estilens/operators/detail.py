@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from estilens.functions import codes as C
 from estilens.functions import numbers as N
 from estilens.functions.sizes import size_bracket, size_gap
-from estilens.keys import PERIOD, SELECTION, SERIES, UNIT_GROUP
+from estilens.keys import PERIOD, SELECTION, SERIES, UNIT_GROUP, keyed
 from estilens.operators import periods as P
 from estilens.operators.sample import earlier_release_value, look_back_distances, prior_release_value
 
@@ -55,7 +55,7 @@ def _unit_links(base: str) -> dict[str, Column]:
     state, ui, report = (F.coalesce(c, F.lit("")) for c in ("reptstate", "ui", "report"))
     return {
         "ui_url": F.format_string(f"{base}?q=%s;%s;00000;9999;", state, ui),
-        "report_url": F.format_string(f"{base}?q=%s;%s", state, F.substring(report, 3, 1_000_000)),
+        "report_url": F.format_string(f"{base}?q=%s;%s", state, F.substring(report, F.lit(3), F.length(report))),
     }
 
 
@@ -74,7 +74,7 @@ def sample_detail(weighted: DataFrame, periods: DataFrame | None = None, link_ba
     if periods is not None:
         weighted = P.on_periods(weighted, P.detail_sources(periods))
     rows = weighted.select(
-        *SELECTION,
+        *keyed(weighted, *SELECTION),
         *[value.alias(name) for name, value in report_columns().items()],
         C.joined_codes(F.col("pm_comment_1"), F.col("pm_comment_2")).alias("pmcc"),
         C.joined_codes(F.col("cm_comment_1"), F.col("cm_comment_2")).alias("cmcc"),
@@ -85,7 +85,7 @@ def sample_detail(weighted: DataFrame, periods: DataFrame | None = None, link_ba
     for name in REPORT_KEY:
         complete &= F.col(name).isNotNull()
     rows = rows.withColumn("spread", F.when(~complete, F.col("hash")))
-    in_order = Window.partitionBy(*SERIES, *REPORT_KEY, "spread").orderBy("code")
+    in_order = Window.partitionBy(*keyed(weighted, *SERIES), *REPORT_KEY, "spread").orderBy("code")
     rows = rows.withColumns({
         "before": prior_release_value(F.struct("flag", "dwght"), in_order),
         "earlier": earlier_release_value(F.struct("flag"), in_order),
@@ -105,7 +105,7 @@ def sample_detail(weighted: DataFrame, periods: DataFrame | None = None, link_ba
         .withColumn("szgap", size_gap(F.col("pm_size"), F.col("cm_size"), F.col("selsize")))
         .withColumns({"history_url": _history_link(F.lit("detail")), **_unit_links(link_base)})
         .select(
-            *SELECTION, *REPORT_KEY, "naics", "selsize", "pm_size", "cm_size", "szgap",
+            *keyed(weighted, *SELECTION), *REPORT_KEY, "naics", "selsize", "pm_size", "cm_size", "szgap",
             "weight", "pm_dwght", "origdwght", "dwght", "drr", "pm", "cm",
             "pm_flag", "prior_flag", "origflag", "flag", "pmcc", "cmcc",
             "otm", "wotm", "wpm", "wcm", "is_knr", "history_url", "ui_url", "report_url",

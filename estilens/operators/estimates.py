@@ -10,7 +10,7 @@ from estilens.functions import codes as C
 from estilens.functions import comments
 from estilens.functions import months as M
 from estilens.functions import numbers as N
-from estilens.keys import ALL_EMPLOYEES, AREA_SERIES, REQUEST, SERIES, SERVICE_SECTOR
+from estilens.keys import ALL_EMPLOYEES, AREA_SERIES, PERIOD, REQUEST, SERIES, SERVICE_SECTOR, VIEW, keyed
 from estilens.operators import periods as P
 
 # Datatypes whose tolerances are rounded to hundreds.
@@ -40,26 +40,38 @@ def parse_adjustment_comments(estimates: DataFrame) -> DataFrame:
     return estimates.withColumns(parts).withColumn("est_adj", label)
 
 
-def series_history(estimates: DataFrame, months: int = 27, asof_year: str | None = None) -> DataFrame:
+def series_history(estimates: DataFrame, months: int = 27, releases: DataFrame | None = None) -> DataFrame:
     """The last months of every all-employee series at each month's newest closing.
 
+    With releases, there is a history for each of them, keyed by sel_year,
+    sel_month and sel_closing: three calendar years up to the year of the release,
+    and nothing released for a later month or closing.  Without, there is one per
+    series that ends with its latest year.
+
     The newest closing is taken over all datatypes before anything is filtered.
-    asof_year fixes the review year (three calendar years are kept, and only
-    their partitions are read); by default it is each series' latest year.  One
-    exchange on the series key serves every window; a series has at most a row
-    per release and datatype.
+    One exchange on the series (and release) serves every window; such a group has
+    at most a row per month, closing and datatype of three years.
     """
-    by_month = Window.partitionBy(*AREA_SERIES, "year", "month")
-    by_series = Window.partitionBy(*AREA_SERIES)
+    group = list(AREA_SERIES)
+    if releases is not None:
+        group += ["sel_year", "sel_month", "sel_closing"]
+        asked = releases.select(
+            *keyed(releases), *[F.col(c).alias(s) for c, s in zip(PERIOD, group[-3:])],
+            F.explode(F.transform(F.array(*map(F.lit, range(3))), lambda n: (F.col("year").cast("bigint") - n).cast("string"))).alias("row_year"),
+        ).withColumnRenamed("row_year", "year")
+        # A release meets the rows of its three years; the table of releases follows the calendar.
+        estimates = estimates.join(asked, keyed(asked, "year")).filter(
+            M.release_code(F.col("year"), F.col("month"), F.col("estimate_type_code"))
+            <= M.release_code(F.col("sel_year"), F.col("sel_month"), F.col("sel_closing"))
+        )
+    by_month = Window.partitionBy(*group, "year", "month")
+    by_series = Window.partitionBy(*group)
     in_order = by_series.orderBy("year", "month")
-    last_year = F.lit(asof_year) if asof_year else F.max("year").over(by_series)
-    if asof_year:
-        # Codes have four digits, so text order is number order.
-        estimates = estimates.filter(F.col("year") > str(int(asof_year) - 3))
+    last_year = F.col("sel_year") if releases is not None else F.max("year").over(by_series)
 
     rows = (
         adjustment_decomposition(estimates)
-        .repartition(*AREA_SERIES)
+        .repartition(*group)
         .withColumn("newest", F.max("estimate_type_code").over(by_month))
         .withColumn("last_year", last_year)
         .filter(
@@ -75,7 +87,7 @@ def series_history(estimates: DataFrame, months: int = 27, asof_year: str | None
         .filter(F.col("held") - F.col("position") < months)
     )
     return parse_adjustment_comments(rows).select(
-        *AREA_SERIES, "year", "month",
+        *group, "year", "month",
         F.col("estimate_type_code").alias("closing"),
         "published_estimate_value", "upper_tolerance", "lower_tolerance",
         "adjtype", "adjsubtype", "adjamt", "adjreason", "est_adj",
@@ -98,16 +110,16 @@ def year_ago_values(estimates: DataFrame) -> DataFrame:
         F.struct("estimate_type_code", N.to_long(F.col("published_estimate_value")).alias("value")),
     )
     return (
-        estimates.groupBy(*AREA_SERIES, "year", "month")
+        estimates.groupBy(*keyed(estimates, *AREA_SERIES), "year", "month")
         .agg(F.max("estimate_type_code").alias("newest"), F.max(own).alias("own"))
         .filter(F.col("own.estimate_type_code") == F.col("newest"))
-        .select(*AREA_SERIES, "year", "month", F.col("own.value").cast("double").alias("py"))
+        .select(*keyed(estimates, *AREA_SERIES), "year", "month", F.col("own.value").cast("double").alias("py"))
     )
 
 
 def inherit_tolerance(estimates: DataFrame) -> DataFrame:
     """Service-sector rows take the tolerances of the all-employee row beside them."""
-    beside = Window.partitionBy(*AREA_SERIES, "year", "month", "estimate_type_code")
+    beside = Window.partitionBy(*keyed(estimates, *AREA_SERIES), "year", "month", "estimate_type_code")
 
     def tolerance(name: str) -> Column:
         employees = F.max(F.when(F.col("data_type_code") == ALL_EMPLOYEES, F.col(name))).over(beside)
@@ -119,16 +131,17 @@ def inherit_tolerance(estimates: DataFrame) -> DataFrame:
 def period_panel(estimates: DataFrame, structure: DataFrame, requests: DataFrame) -> DataFrame:
     """Rows of each request: its own month, the month before and the year before.
 
-    requests comes from release_requests.  It is bounded by the calendar, so it
-    is sent to the executors and the estimates are not moved; structure (whose
-    benchmark year is deliberately not a key) goes where its size says.
+    requests comes from release_requests, and has a view if the estimates have
+    one.  It follows the calendar, so Spark sends it to the executors and the
+    estimates are not moved; structure (whose benchmark year is deliberately not
+    a key) goes where its size says as well.
     """
     kinds = structure.select(*SERIES, "series_type_code", "ws_flag").distinct()
-    wanted = requests.select(*REQUEST, "role", "p12m_y",
+    wanted = requests.select(*keyed(requests, *REQUEST), "role", "p12m_y",
                              F.col("row_year").alias("year"), F.col("row_month").alias("month"),
                              F.col("row_closing").alias("estimate_type_code"))
     return estimates.join(
-        F.broadcast(wanted), ["year", "month", "estimate_type_code"]
+        wanted, keyed(estimates, *PERIOD)
     ).join(kinds, list(SERIES))
 
 
@@ -175,7 +188,7 @@ def change_metrics(panel: DataFrame, year_ago: DataFrame) -> DataFrame:
     rows = (
         panel.withColumn("pm", before)
         .filter(F.col("role") == "cm")
-        .join(past, [*AREA_SERIES, "p12m_y", "month"], "left")
+        .join(past, [*keyed(past, *AREA_SERIES), "p12m_y", "month"], "left")
         .withColumn("cm", F.col("published_estimate_value"))
     )
     values = {"": "cm", "orig_": "original_estimate_value", "recalc_": "recalc_estimate_value"}
@@ -224,12 +237,12 @@ def review_estimates(estimates: DataFrame, structure: DataFrame, periods: DataFr
     """estimate_info for the requested releases and the closings before them."""
     requests = P.release_requests(periods)
     sources = requests.select(
-        F.col("row_year").alias("year"), F.col("row_month").alias("month"),
+        *keyed(requests), F.col("row_year").alias("year"), F.col("row_month").alias("month"),
         F.col("row_closing").alias("estimate_type_code"))
     # Drop unneeded months before the tolerance window moves any row.
     raw = adjustment_decomposition(inherit_tolerance(P.on_periods(estimates, sources)))
-    past_months = requests.select(F.col("p12m_y").alias("year"), F.col("sel_month").alias("month")).distinct()
-    past = estimates.join(F.broadcast(past_months), ["year", "month"], "left_semi")
+    past_months = requests.select(*keyed(requests), F.col("p12m_y").alias("year"), F.col("sel_month").alias("month")).distinct()
+    past = estimates.join(past_months, keyed(estimates, "year", "month"), "left_semi")
     return estimate_info(period_panel(raw, structure, requests), year_ago_values(past))
 
 
@@ -243,21 +256,29 @@ def estimate_comparison(info: DataFrame) -> DataFrame:
     """Published, tolerance, recalculated and original rows of each request.
 
     Rows of the prior closing are named p-... and have no tolerance rows.
-    Percentages divide by the prior month.  Every input row unfolds in place,
-    so nothing is shuffled.
+    Percentages divide by the prior month.  crossed marks the tolerance row that
+    the published estimate has crossed.  Every input row unfolds in place, so
+    nothing is shuffled.
     """
     asked = F.col("this_closing") == F.col("sel_closing")
     pm = N.to_long(F.col("pm"))
     empty = F.lit(None).cast("bigint")
 
-    def row(version, est, pm_shown, otm=empty, oty=empty):
+    published = F.coalesce(N.to_long(F.col("cm")), F.lit(0))
+
+    def row(version, est, pm_shown, otm=empty, oty=empty, crossed=F.lit(False)):
         name = F.when(asked, version).otherwise(f"p-{version}")
         return F.struct(
             name.alias("version"), est.alias("est"), pm_shown.alias("pm"),
             otm.alias("otm"), oty.alias("oty"),
             N.ratio(otm, pm).alias("otm_pct"), N.ratio(oty, pm).alias("oty_pct"),
+            crossed.alias("crossed"),
         )
 
+    def bound(version, name, passed):
+        value = N.to_long(F.col(name))
+        return row(version, value, empty, crossed=passed(published, F.coalesce(value, F.lit(0))))
+
     def measured(version, value, prefix, pm_shown):
         cut = {c: N.to_long(F.col(c)) for c in (value, f"{prefix}otm_change", f"{prefix}oty_change")}
         return row(version, cut[value], pm_shown, cut[f"{prefix}otm_change"], cut[f"{prefix}oty_change"])
@@ -268,8 +289,8 @@ def estimate_comparison(info: DataFrame) -> DataFrame:
         measured("orig", "original_estimate_value", "orig_", empty),
     ]
     bounds = [
-        row("hi-tol", N.to_long(F.col("hi_tolerance")), empty),
-        row("lo-tol", N.to_long(F.col("lo_tolerance")), empty),
+        bound("hi-tol", "hi_tolerance", lambda value, limit: value > limit),
+        bound("lo-tol", "lo_tolerance", lambda value, limit: value < limit),
     ]
     rows = F.when(asked, F.array(*versions, *bounds)).otherwise(F.array(*versions))
     order = F.array_position(F.array(*[F.lit(v) for v in COMPARISON_ORDER]), F.col("v.version"))
@@ -279,19 +300,6 @@ def estimate_comparison(info: DataFrame) -> DataFrame:
     )
 
 
-def tolerance_crossing(comparison: DataFrame) -> DataFrame:
-    """Mark the tolerance row that the published estimate has crossed."""
-    table = Window.partitionBy(*SERIES, "series_type_code", "sel_year", "sel_month", "sel_closing")
-    published = F.coalesce(F.max(F.when(F.col("version") == "pub", F.col("est"))).over(table), F.lit(0))
-    bound = F.coalesce("est", F.lit(0))
-    return comparison.withColumn(
-        "crossed",
-        F.when(F.col("version") == "hi-tol", published > bound)
-        .when(F.col("version") == "lo-tol", published < bound)
-        .otherwise(False),
-    )
-
-
 # Short names of datatypes and closings.
 DATATYPE_NAMES = {"01": "AE", "85": "ESS"}
 CLOSING_NAMES = {"1": "P", "2": "F", "3": "R"}
@@ -336,6 +344,11 @@ def series_info(info: DataFrame, link_base: str = "") -> DataFrame:
     )
 
 
+def _history_group(history: DataFrame) -> list[str]:
+    """What one history is about: a series, looked at from a release if there are several."""
+    return [*AREA_SERIES, *[c for c in ("sel_year", "sel_month", "sel_closing") if c in history.columns]]
+
+
 def line_split(history: DataFrame) -> DataFrame:
     """Benchmark (closing 4) and estimate lines of each series' history.
 
@@ -344,11 +357,12 @@ def line_split(history: DataFrame) -> DataFrame:
     """
     benchmark = F.when(F.col("closing") == "4", F.col("rvalue"))
     estimate = F.when(F.col("closing") != "4", F.col("rvalue"))
-    in_order = Window.partitionBy(*AREA_SERIES).orderBy(F.col("year").cast("int"), F.col("month").cast("int"))
+    group = _history_group(history)
+    in_order = Window.partitionBy(*group).orderBy(F.col("year").cast("int"), F.col("month").cast("int"))
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bridge = (F.count(estimate).over(so_far) == 0) & F.lead(estimate).over(in_order).isNotNull()
     return history.select(
-        *AREA_SERIES, "year", "month",
+        *group, "year", "month",
         M.month_year_label(F.col("year"), F.col("month")).alias("label"),
         benchmark.alias("benchmark"),
         F.when(bridge, benchmark).otherwise(estimate).alias("estimate"),
@@ -369,30 +383,31 @@ def history_matrix(history: DataFrame, months: int = 18) -> DataFrame:
     Values are text because the estimate adjustment may be a label.  Original
     and published estimates carry their change from the month before.
     """
-    by_series = Window.partitionBy(*AREA_SERIES)
+    group = _history_group(history)
+    by_series = Window.partitionBy(*group)
     in_order = by_series.orderBy(F.col("year").cast("int"), F.col("month").cast("int"))
     measures = F.explode(F.array(*[
         F.struct(F.lit(title).alias("rowtitle"), F.col(name).cast("string").alias("value"))
         for title, name in HISTORY_MEASURES.items()
     ]))
-    by_measure = Window.partitionBy(*AREA_SERIES, "rowtitle")
+    by_measure = Window.partitionBy(*group, "rowtitle")
     number = F.coalesce(F.col("value").try_cast("bigint"), F.lit(0))
     shown = ~F.coalesce(F.col("value"), F.lit("")).isin("0", "0.0")
     before = F.lag(number).over(by_measure.orderBy("position"))
     return (
-        history.repartition(*AREA_SERIES)
+        history.repartition(*group)
         .withColumns({
             "position": F.row_number().over(in_order),
             "held": F.count(F.lit(1)).over(by_series),
         })
         .filter(F.col("held") - F.col("position") < months)
         .withColumn("m", measures)
-        .select(*AREA_SERIES, "year", "month", "position", "m.*")
+        .select(*group, "year", "month", "position", "m.*")
         .withColumn("any_shown", F.max(shown).over(by_measure))
         .withColumn("before", before)
         .filter("any_shown")
         .select(
-            *AREA_SERIES, "rowtitle", "year", "month",
+            *group, "rowtitle", "year", "month",
             F.concat(M.month_name(F.col("month")), F.lit("-"), M.short_year(F.col("year"))).alias("label"),
             "value",
             F.when(
@@ -403,10 +418,20 @@ def history_matrix(history: DataFrame, months: int = 18) -> DataFrame:
     )
 
 
+def history_labels(year: int) -> list[str]:
+    """The months that histories ending in a year can show: those of that year and
+    of the year before."""
+    return [f"{name}-{y % 100:02d}" for y in (year - 1, year) for name in M.MONTH_NAMES]
+
+
 def history_table(matrix: DataFrame, labels: list[str]) -> DataFrame:
-    """The same table with months as columns; the months are given, not searched for."""
+    """The same table with months as columns; the months are given, not searched for.
+
+    Two values for one cell are an error.
+    """
+    twice = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("a month occurs twice in a history")).cast("string"))
     return (
-        matrix.groupBy(*AREA_SERIES, "rowtitle")
+        matrix.groupBy(*_history_group(matrix), "rowtitle")
         .pivot("label", labels)
-        .agg(F.max("value"))
+        .agg(F.coalesce(twice, F.max("value")))
     )

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estilens.functions import months as M
-from estilens.keys import SERIES
+from estilens.keys import SERIES, keyed
 from estilens.operators.detail import report_columns
 
 # The release a history is looked at from.
@@ -14,14 +14,16 @@ CURRENT = ("cur_year", "cur_month", "cur_closing")
 
 
 def sample_history(weighted: DataFrame, detail: DataFrame) -> DataFrame:
-    """All months of the reports in detail, at each month's newest closing.
+    """All months of the reports in detail up to their release, at each month's newest closing.
 
-    The newest closing counts closing 4, so months that have reached it drop
-    out.  It comes from an aggregate that combines on the map side (one row per
-    series and month) and a semi join, which Spark can split where one month is
-    large; no window holds a month's reports.
+    A report is followed within the view of its release.  Nothing comes from after the release.  The newest closing
+    counts closing 4, so months that have reached it drop out.  It comes from an
+    aggregate that combines on the map side (one row per series and month) and a
+    semi join, which Spark can split where one month is large; no window holds a
+    month's reports.
     """
-    month = [*SERIES, "year", "month"]
+    keys = keyed(weighted, *SERIES)
+    month = [*keys, "year", "month"]
     newest = (
         weighted.groupBy(*month).agg(F.max("estimate_type_code").alias("estimate_type_code"))
         .filter(F.col("estimate_type_code").isin("1", "2", "3"))
@@ -29,19 +31,22 @@ def sample_history(weighted: DataFrame, detail: DataFrame) -> DataFrame:
     c = F.col
     codes = F.array_join(F.array_compact(F.array("cm_comment_1", "cm_comment_2")), ",")
     current = detail.select(
-        *SERIES,
+        *[k for k in keys if k in detail.columns],
         c("year").alias("cur_year"), c("month").alias("cur_month"),
         c("estimate_type_code").alias("cur_closing"),
         "report", c("is_knr").alias("cm_knr"), c("flag").alias("cm_flag"),
     )
+    released = M.release_code(c("year"), c("month"), c("estimate_type_code"))
     return (
         weighted.join(newest, [*month, "estimate_type_code"], "left_semi")
         .select(
-            *SERIES, "year", "month", "version",
+            *month, "version",
             *[value.alias(name) for name, value in report_columns().items()],
-            codes.alias("cmcc"),
+            codes.alias("cmcc"), released.alias("released"),
         )
-        .join(current, [*SERIES, "report"])
+        .join(current, [*keys, "report"])
+        .filter(c("released") <= M.release_code(c("cur_year"), c("cur_month"), c("cur_closing")))
+        .drop("released", *keyed(weighted))
     )
 
 
@@ -63,7 +68,7 @@ def _history_keys(row_type: str) -> list[str]:
 def history_rollup(history: DataFrame, row_type: str) -> DataFrame:
     """History added up by month for unit rows ("summary") or single reports.
 
-    Sums are exact decimals.  Text fields are those of the first report.  The
+    Sums are exact decimals.  Text fields and the colour are those of the first report.  The
     reports behind a row are in history_members, one row each, so a unit may
     have any number of them.
     """
@@ -72,9 +77,10 @@ def history_rollup(history: DataFrame, row_type: str) -> DataFrame:
         name: F.sum(F.col(name).cast("decimal(38,3)")).cast("decimal(38,3)")
         for name in ("pm", "cm", "otm", "wotm")
     }
-    texts = ("reptw", "naics", "version", "origflag", "flag", "cmcc", "weight", "origdwght", "dwght")
+    texts = ("reptw", "naics", "version", "selsize", "origflag", "flag", "cmcc", "weight", "origdwght", "dwght")
     first = F.min(F.struct(F.col("report").alias("first_report"),
-                           *[F.col(t).cast("string").alias(t) for t in texts]))
+                           *[F.col(t).cast("string").alias(t) for t in texts],
+                           history_colour(F.col("flag"), F.col("dwght")).alias("colour")))
     return (
         history.groupBy(*keys)
         .agg(
@@ -98,7 +104,8 @@ def month_segments(rollup: DataFrame, row_type: str) -> DataFrame:
 
     Every month between the first and last point of a history gets a row;
     months no segment touches have null points.  Rows with a missing or zero
-    end are no segment.
+    end are no segment.  A point brings the empty months up to the next one with
+    it, so points are computed once; the window holds one history's points.
     """
     keys = _history_keys(row_type)
     pm, cm = F.col("pm").cast("double"), F.col("cm").cast("double")
@@ -108,20 +115,20 @@ def month_segments(rollup: DataFrame, row_type: str) -> DataFrame:
         F.struct(F.col("at").alias("axis"), cm.alias("value"), F.lit("cm").alias("end")),
     ))
     label = F.concat(M.month_name(F.col("month")), F.lit("'"), M.short_year(F.col("year")))
+    following = F.lead("axis").over(Window.partitionBy(*keys).orderBy("axis", "end", "is_knr"))
     points = (
         rollup.filter(F.col("month").try_cast("int").between(1, 12) & (pm != 0) & (cm != 0))
         .withColumns({"at": index, "segment": label})
-        .select(*keys, "is_knr", "segment", ends.alias("e"))
-        .select(*keys, "is_knr", "segment", "e.*")
+        .select(*keys, "is_knr", "segment", "colour", ends.alias("e"))
+        .select(*keys, "is_knr", "segment", "colour", F.col("e.axis").alias("axis"), F.col("e.value").alias("value"), F.col("e.end").alias("end"))
+        .withColumn("following", following)
     )
-    axis = (
-        points.groupBy(*keys)
-        .agg(F.min("axis").alias("low"), F.max("axis").alias("high"))
-        .select(*keys, F.explode(F.sequence("low", "high")).alias("axis"))
-    )
-    month, year = M.index_month(F.col("axis")), M.index_year(F.col("axis"))
-    return axis.join(points, [*keys, "axis"], "left").select(
+    own = F.col("place") == F.col("axis")
+    places = F.when(F.col("following") > F.col("axis") + 1, F.sequence("axis", F.col("following") - 1)).otherwise(F.array("axis"))
+    month, year = M.index_month(F.col("place")), M.index_year(F.col("place"))
+    return points.withColumn("place", F.explode(places)).select(
         *keys, year.alias("axis_year"), month.alias("axis_month"),
         F.concat(M.month_name(month), F.lit(" "), year).alias("axis_label"),
-        "segment", "is_knr", F.col("end").alias("segment_end"), "value",
+        *[F.when(own, F.col(c)).alias(n) for c, n in (
+            ("segment", "segment"), ("is_knr", "is_knr"), ("end", "segment_end"), ("value", "value"), ("colour", "colour"))],
     )

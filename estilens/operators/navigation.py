@@ -76,7 +76,8 @@ def closest_code(requests: DataFrame, options: DataFrame, keys: list[str]) -> Da
         lambda n: F.substring(F.col("option"), F.lit(1), n),
     )
     first_with = (
-        options.filter(F.col("option") != "")
+        # A catalog has many rows per option: unfold each option once.
+        options.filter(F.col("option") != "").select(*keys, "option").distinct()
         .select(*keys, "option", F.explode(prefixes).alias("prefix"))
         .groupBy(*keys, "prefix")
         .agg(F.min("option").alias("option"))

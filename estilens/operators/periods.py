@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estilens.functions import months as M
-from estilens.keys import PERIOD, REQUEST
+from estilens.keys import PERIOD, REQUEST, VIEW, keyed
 
 # Fixed value: months whose re-estimates straddle two benchmark years.
 TWO_VINTAGE_MONTHS = ("10", "11", "12")
@@ -19,7 +19,7 @@ def reference_periods(periods: DataFrame) -> DataFrame:
     pm_year, pm_month, pm_closing = M.prior_month_release(year, month, closing)
     ya_year, ya_month, ya_closing = M.year_ago_release(year, month, closing)
     return periods.select(
-        *PERIOD,
+        *keyed(periods, *PERIOD),
         pm_year.alias("pm_y"),
         pm_month.alias("pm"),
         pm_closing.alias("pm_closing"),
@@ -59,13 +59,14 @@ def release_requests(periods: DataFrame, with_prior_closing: bool = True) -> Dat
         role("p12m", "p12m_y", "p12m", "p12m_closing"),
     ))
     return asked.select(
+        *keyed(asked),
         F.col("year").alias("sel_year"),
         F.col("month").alias("sel_month"),
         F.col("estimate_type_code").alias("sel_closing"),
         "this_closing",
         "p12m_y",
         roles.alias("r"),
-    ).select(*REQUEST, "p12m_y", "r.*")
+    ).select(*keyed(asked, *REQUEST), "p12m_y", "r.*")
 
 
 def detail_sources(periods: DataFrame) -> DataFrame:
@@ -76,12 +77,12 @@ def detail_sources(periods: DataFrame) -> DataFrame:
         return F.struct(*[F.col(c).alias(k) for c, k in zip((year, month, closing), PERIOD)])
 
     return (
-        p.select(F.explode(F.array(
+        p.select(*keyed(p), F.explode(F.array(
             source(*PERIOD),
             source("pm_y", "pm", "pm_closing"),
             source("year", "month", "prior_closing"),
         )).alias("s"))
-        .select("s.*")
+        .select(*keyed(p), "s.*")
         .filter(F.col("estimate_type_code").isNotNull())
         .distinct()
     )
@@ -90,12 +91,12 @@ def detail_sources(periods: DataFrame) -> DataFrame:
 def on_periods(rows: DataFrame, periods: DataFrame) -> DataFrame:
     """Keep the rows of the given periods.
 
-    The period table holds at most one row per month and closing of the
-    calendar, however large the facts are, so sending it to every executor is
-    safe; it also prunes year and month partitions at run time.
+    Where both have views, rows are kept in the views of their periods.  Spark
+    sends the period table to every executor if its measured size allows (as for
+    a calendar), which also prunes year and month partitions at run time.
     """
-    wanted = periods.select(*PERIOD).distinct()
-    return rows.join(F.broadcast(wanted), list(PERIOD), "left_semi")
+    keys = [c for c in keyed(rows, *PERIOD) if c in periods.columns]
+    return rows.join(periods.select(*keys).distinct(), keys, "left_semi")
 
 
 def near_months(rows: DataFrame, releases: list[tuple[str, str, str]], year_ago: bool = False) -> DataFrame:
@@ -191,67 +192,122 @@ def release_calendar(latest: DataFrame, start_year: int) -> DataFrame:
 
 
 def vintages_needed(periods: DataFrame, available: DataFrame) -> DataFrame:
-    """Vintages each release is read from: its benchmark year's archive when
-    there is one, else the current files, plus the archive before it for
-    re-estimates of October to December.
+    """Vintages each release is read from, one row each: its benchmark year's
+    archive when there is one, else the current files, plus the archive before it
+    for re-estimates of October to December.
 
-    available has one column, vintage, with one row per stored vintage.
+    available has one column, vintage, with one row per stored vintage.  view names
+    the release's vintages together, rank orders them from the newest, and held
+    says whether the vintage is stored.
     """
-    p = reference_periods(periods)
+    p = reference_periods(periods.select(*PERIOD))
     straddles = F.col("month").isin(*TWO_VINTAGE_MONTHS) & (F.col("estimate_type_code") == "3")
-    before = F.when(straddles, M.years_before(F.col("bmrkyr")))
-    archives = F.broadcast(available.select(F.col("vintage").alias("archive")).distinct())
-    wanted = p.join(archives, F.col("bmrkyr") == F.col("archive"), "left").select(
-        *PERIOD,
-        F.explode(F.array_compact(F.array(
-            F.coalesce("archive", F.lit(CURRENT)), before,
-        ))).alias("vintage"),
+    stored = available.select(F.col("vintage").alias("archive")).distinct()
+    main = F.coalesce("archive", F.lit(CURRENT))
+    names = F.array_compact(F.array(main, F.when(straddles, M.years_before(F.col("bmrkyr")))))
+    wanted = p.join(stored, F.col("bmrkyr") == F.col("archive"), "left").select(
+        *PERIOD, F.array_join(names, "+").alias(VIEW), F.posexplode(names).alias("rank", "vintage")
+    )
+    return wanted.join(stored, F.col("vintage") == F.col("archive"), "left").select(
+        *PERIOD, VIEW, "rank", "vintage", F.col("archive").isNotNull().alias("held")
     )
-    return wanted.join(archives, F.col("vintage") == F.col("archive"), "left_semi")
 
 
-def vintage(facts: DataFrame, periods: DataFrame, available: DataFrame) -> DataFrame:
-    """Rows of the vintages that the requested releases are read from.
+def require_held(needed: DataFrame) -> None:
+    """Fail if a release needs a vintage that is not stored."""
+    missing = needed.filter(~F.col("held")).select("vintage").distinct().orderBy("vintage").limit(20).collect()
+    if missing:
+        raise ValueError(f"vintages not stored: {', '.join(r['vintage'] for r in missing)}")
+
+
+def viewed(needed: DataFrame) -> DataFrame:
+    """The releases with their views."""
+    return needed.select(*PERIOD, VIEW).distinct()
+
+
+def as_read(facts: DataFrame, needed: DataFrame) -> DataFrame:
+    """Facts as the releases read them: a row for each view its vintage belongs to.
 
-    facts carries a vintage column (a partition column on disk, so whole
-    vintages are pruned).  Both small tables are bounded by the calendar.
+    facts carries a vintage column (a partition column on disk, so vintages that
+    no release needs are pruned).  In a view of two vintages a month and closing
+    that both hold is taken from the newer one.  The tables of views and of the
+    periods that vintages hold follow the calendar.
     """
-    wanted = vintages_needed(periods, available).select("vintage").distinct()
-    return facts.join(F.broadcast(wanted), "vintage", "left_semi")
+    views = needed.select(VIEW, "rank", "vintage").distinct()
+    rows = facts.join(views, "vintage")
+    two = views.filter("rank > 0").select(VIEW, F.col("rank").alias("older"))
+    newer = views.filter("rank = 0").join(two, VIEW).select(VIEW, "vintage", F.col("older").alias("rank"))
+    taken = facts.select("vintage", *PERIOD).distinct().join(newer, "vintage").select(VIEW, "rank", *PERIOD)
+    return rows.join(taken, [VIEW, "rank", *PERIOD], "left_anti").drop("rank", "vintage")
 
 
-def newest_periods(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The latest release (closings 1 to 3) held for each key."""
+def _highest_closing(year: Column, month: Column, newest: Column) -> Column:
+    """The last closing a month has, given the newest release (year, month, closing)."""
     return (
-        rows.filter(F.col("estimate_type_code").isin("1", "2", "3"))
-        .groupBy(*keys)
-        .agg(F.max(F.struct(*PERIOD)).alias("p"))
-        .select(*keys, "p.*")
+        F.when((year == newest["year"]) & (month == newest["month"]), newest["closing"])
+        .when((month >= "10") & ((newest["closing"] == "3") | (newest["month"] < "10")), "3")
+        .otherwise("2")
     )
 
 
-def closing_steps(calendar: DataFrame) -> DataFrame:
-    """Previous and next closing, and the closing to take in the previous and
-    next month and year, for each release of the calendar.
+def _offered_closing(closing: Column, highest: Column, month: Column) -> Column:
+    """The closing if the month has it, else its last one; December has no closing 2."""
+    skipped = month == "12"
+    has = closing.isin("1", "2", "3") & (closing <= highest) & ~(skipped & (closing == "2"))
+    return F.when(has, closing).when(skipped & (highest == "2"), "1").otherwise(highest)
+
+
+def resolve_release(requests: DataFrame, calendar: DataFrame) -> DataFrame:
+    """The release shown for each requested year, month and closing, all of them text.
 
-    A calendar holds a few hundred rows; windows are keyed by month, or by
-    year and month.
+    A month of six digits carries its year.  A month of the newest year that has not
+    come yet is the newest month.  An unknown year becomes the newest one; an unknown
+    month becomes the newest month there, and December in other years; an unknown
+    closing becomes the last one the month has.
     """
-    by_closing = Window.partitionBy("year", "month").orderBy(F.col("closing").cast("int"))
-    by_year = Window.partitionBy("month").orderBy(F.col("year").cast("int"))
-    years = calendar.groupBy("year", "month").agg(
-        F.array_sort(F.collect_set("closing")).alias("closings"),
-        F.max("default_closing").alias("newest"),
-    )
-    target = F.struct("year", "closings", "newest")
-    years = years.select(
-        "year", "month",
-        F.lag(target).over(by_year).alias("p"), F.lead(target).over(by_year).alias("n"),
+    newest = calendar.agg(F.max(F.struct("year", "month", "closing")).alias("n")).select("n").scalar()
+    first = calendar.agg(F.min("year").alias("y")).select("y").scalar()
+    long = F.length("month") > 2
+    asked_year = F.when(long, F.substring("month", 1, 4)).otherwise(F.col("year"))
+    asked_month = F.when(long, F.right("month", F.lit(2))).otherwise(F.col("month"))
+    rows = requests.select(
+        F.col("year").alias("asked_year"), F.col("month").alias("asked_month"), F.col("closing").alias("asked_closing"),
+        asked_year.alias("y"), asked_month.alias("m"),
+    ).withColumn("m", F.when((F.col("m") > newest["month"]) & (F.col("y") == newest["year"]), newest["month"]).otherwise(F.col("m")))
+    known_year = F.col("y").rlike("^[0-9]{4}$") & F.col("y").between(first, newest["year"])
+    rows = rows.withColumn("year", F.when(known_year, F.col("y")).otherwise(newest["year"]))
+    known_month = F.col("m").rlike("^(0[1-9]|1[0-2])$")
+    in_newest = F.when(F.col("year") == newest["year"], newest["month"]).otherwise("12")
+    rows = rows.withColumn("month", F.when(known_month, F.col("m")).otherwise(in_newest))
+    highest = _highest_closing(F.col("year"), F.col("month"), newest)
+    return rows.select(
+        "asked_year", "asked_month", "asked_closing", "year", "month",
+        _offered_closing(F.col("asked_closing"), highest, F.col("month")).alias("closing"),
     )
 
-    def closing_in(side):
-        kept = F.array_contains(F.col(f"{side}.closings"), F.col("closing"))
-        return F.when(kept, F.col("closing")).otherwise(F.col(f"{side}.newest"))
+
+def month_choices(latest: DataFrame) -> DataFrame:
+    """The twelve months offered for the newest year, newest first; those of the year
+    before carry their year in the value."""
+    back = F.explode(F.sequence(F.lit(0), F.lit(11)))
+    rows = latest.select(M.month_index(F.col("year"), F.col("month")).alias("newest"), "year", back.alias("position"))
+    at = F.col("newest") - F.col("position")
+    month, year = M.index_month(at), M.index_year(at)
+    value = F.when(year == F.col("year"), month).otherwise(F.concat(year, month))
+    return rows.select(F.col("position").cast("bigint").alias("position"), value.alias("value"),
+                       F.concat(month, F.lit("-"), M.month_name(month)).alias("label"))
+
+
+def closing_steps(calendar: DataFrame) -> DataFrame:
+    """Previous and next closing, and the month and closing to take in the previous
+    and next month and year, for each release of the calendar.
+
+    In the newest year a step ends at the newest month.  A calendar holds a few
+    hundred rows; its window is keyed by month.
+    """
+    newest = calendar.agg(F.max(F.struct("year", "month", "closing")).alias("n")).select("n").scalar()
+    first = calendar.agg(F.min("year").alias("y")).select("y").scalar()
+    by_closing = Window.partitionBy("year", "month").orderBy(F.col("closing").cast("int"))
 
     def month_newest(side):
         return calendar.select(
@@ -266,13 +322,18 @@ def closing_steps(calendar: DataFrame) -> DataFrame:
     )
     for side in ("prev", "next"):
         steps = steps.join(month_newest(side), [f"{side}_year", f"{side}_month"], "left")
-    return (
-        steps.drop("prev_year", "prev_month", "next_year", "next_month")
-        .join(years, ["year", "month"])
-        .select(
-            "year", "month", "closing", "prev_closing", "next_closing",
-            "prev_month_closing", "next_month_closing",
-            F.col("p.year").alias("prev_year"), F.when(F.col("p").isNotNull(), closing_in("p")).alias("prev_year_closing"),
-            F.col("n.year").alias("next_year"), F.when(F.col("n").isNotNull(), closing_in("n")).alias("next_year_closing"),
-        )
+    steps = steps.drop("prev_year", "prev_month", "next_year", "next_month")
+    for side, distance in (("prev", -1), ("next", 1)):
+        year = (F.col("year").cast("bigint") + distance).cast("string")
+        there = year.between(first, newest["year"])
+        later = (year == newest["year"]) & (F.col("month") > newest["month"])
+        closing = _offered_closing(F.col("closing"), _highest_closing(year, F.col("month"), newest), F.col("month"))
+        steps = steps.withColumns({
+            f"{side}_year": F.when(there, year),
+            f"{side}_year_month": F.when(there, F.when(later, newest["month"]).otherwise(F.col("month"))),
+            f"{side}_year_closing": F.when(there, closing),
+        })
+    return steps.select(
+        "year", "month", "closing", "prev_closing", "next_closing", "prev_month_closing", "next_month_closing",
+        *[f"{side}_year{part}" for side in ("prev", "next") for part in ("", "_month", "_closing")],
     )

@@ -12,7 +12,7 @@ from pyspark.sql.window import WindowSpec
 
 from estilens.functions import months as M
 from estilens.functions import numbers as N
-from estilens.keys import PERIOD, SELECTION, SERIES
+from estilens.keys import PERIOD, SELECTION, SERIES, keyed
 
 # Display order of the summary rows.
 SUMMARY_ORDER = ("T", "A", "Sum", "Coverage", "Pm-Covg", "Inc", "Dec", "Const", "U", "X")
@@ -41,11 +41,9 @@ def weighted_sample(sample: DataFrame) -> DataFrame:
     )
 
 
-def _measures() -> list[Column]:
+def _sums() -> list[Column]:
     c = F.col
     return [
-        N.distinct_count(c("report_id")).alias("rep_count"),
-        N.distinct_count(c("selected_ui_number")).alias("ui_count"),
         N.sum_or_zero(c("pm_value")).alias("pm_sum"),
         N.sum_or_zero(c("cm_value")).alias("cm_sum"),
         N.whole_sum(c("wpm")).alias("wpm_whole"),
@@ -55,6 +53,34 @@ def _measures() -> list[Column]:
     ]
 
 
+_SUMS = ("pm_sum", "cm_sum", "wpm_whole", "wpm_fraction", "wcm_whole", "wcm_fraction")
+
+
+def _labelled(weighted: DataFrame, labels: Column) -> DataFrame:
+    """Reports, units and sums per selection and label; a row counts under each of its labels.
+
+    The sample moves once, by selection and report, so that a large selection stays
+    spread out.  Reports and sums then combine where they are; of units only one row
+    per partition, label and unit moves, and of all of them one per label.  Several
+    distinct counts in one aggregate would multiply the rows before the shuffle.
+    """
+    keys = keyed(weighted, *SELECTION)
+    rows = (
+        weighted.select(*keys, "report_id", "selected_ui_number", "pm_value", "cm_value", "wpm", "wcm", labels.alias("labels"))
+        .repartition(*keys, "report_id")
+        .withColumn("label", F.explode("labels"))
+        .groupBy(*keys, "label", "report_id", "selected_ui_number").agg(*_sums())
+    )
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    # Null reports and units count as one more value each.
+    reports = rows.groupBy(*keys, "label", "report_id").agg(*[F.sum(c).alias(c) for c in _SUMS]).select(
+        *keys, "label", one.alias("rep_count"), none.alias("ui_count"), *_SUMS)
+    units = rows.select(*keys, "label", "selected_ui_number").distinct().select(
+        *keys, "label", none.alias("rep_count"), one.alias("ui_count"), *[none.alias(c) for c in _SUMS])
+    counts = ("rep_count", "ui_count", *_SUMS)
+    return reports.unionByName(units).groupBy(*keys, "label").agg(*[F.sum(c).alias(c) for c in counts])
+
+
 def _shown(flag: Column) -> dict[str, Column]:
     c = F.col
     return {
@@ -79,18 +105,21 @@ def _direction() -> Column:
 
 def flag_summary(weighted: DataFrame) -> DataFrame:
     """Reports, units, sums and weighted sums per flag of each selection."""
-    keys = [*SELECTION, "a_typ_flag"]
-    return (
-        weighted.groupBy(*keys).agg(*_measures())
-        .withColumns(_shown(F.col("a_typ_flag")))
-        .select(*_summary_columns(keys))
-    )
+    return _summary(weighted, F.array("a_typ_flag"))
 
 
 def sign_summary(weighted: DataFrame) -> DataFrame:
     """The same measures for A and T rows by direction of change."""
-    used = weighted.filter(F.col("a_typ_flag").isin("A", "T"))
-    return flag_summary(used.withColumn("a_typ_flag", _direction()))
+    return _summary(weighted.filter(F.col("a_typ_flag").isin("A", "T")), F.array(_direction()))
+
+
+def _summary(weighted: DataFrame, labels: Column) -> DataFrame:
+    keys = keyed(weighted, *SELECTION)
+    return (
+        _labelled(weighted, labels).withColumnRenamed("label", "a_typ_flag")
+        .withColumns(_shown(F.col("a_typ_flag")))
+        .select(*_summary_columns([*keys, "a_typ_flag"]))
+    )
 
 
 def sample_total(flags: DataFrame) -> DataFrame:
@@ -110,7 +139,7 @@ def published_values(info: DataFrame) -> DataFrame:
     return (
         info.filter(F.col("this_closing") == F.col("sel_closing"))
         .select(
-            *SERIES, *PERIOD,
+            *keyed(info, *SERIES), *PERIOD,
             N.to_long(F.col("pm")).alias("pm_est"), N.to_long(F.col("cm")).alias("pub_est"),
         )
         .distinct()
@@ -138,7 +167,7 @@ def pm_coverage(weighted: DataFrame, published: DataFrame) -> DataFrame:
     """
     zero = F.lit(0).cast("bigint")
     totals = (
-        weighted.groupBy(*SELECTION).agg(*_measures()[2:])
+        weighted.groupBy(*SELECTION).agg(*_sums())
         .withColumns(_shown(F.lit("")))
         .select(*SERIES, *[F.col(c).alias(f"src_{c}") for c in PERIOD],
                 "pm_emp", "cm_emp", "pm_weighted_emp", "cm_weighted_emp")
@@ -160,33 +189,36 @@ def sample_summary(weighted: DataFrame, published: DataFrame) -> DataFrame:
     """All summary rows of every selection, from one pass over the sample.
 
     Each report is counted once under its flag and, if used, once under its
-    direction.  What leaves that aggregate is a handful of rows per selection.
-    They meet the published values in one exchange on the series, which also
-    serves the look back to the prior month; nothing reads the sample again.
+    direction (see _labelled).  What leaves that is a handful of rows per
+    selection.  They meet the published values in one exchange on the series,
+    which also serves the look back to the prior month; nothing reads the sample
+    again.
     """
     used = F.col("a_typ_flag").isin("A", "T")
-    marks = F.posexplode(F.array(F.col("a_typ_flag"), F.when(used, _direction())))
+
+    def mark(by_sign: int, label: Column) -> Column:
+        return F.struct(F.lit(by_sign).alias("by_sign"), label.alias("label"))
+
+    flag = mark(0, F.col("a_typ_flag"))
     labelled = (
-        weighted.select(*SELECTION, "report_id", "selected_ui_number", "pm_value", "cm_value",
-                        "wpm", "wcm", marks.alias("by_sign", "label"))
-        .filter((F.col("by_sign") == 0) | F.col("label").isNotNull())
-        .groupBy(*SELECTION, "by_sign", "label")
-        .agg(*_measures())
+        _labelled(weighted, F.when(used, F.array(flag, mark(1, _direction()))).otherwise(F.array(flag)))
+        .withColumns({"by_sign": F.col("label.by_sign"), "label": F.col("label.label")})
         .withColumns(_shown(F.col("label")))
     )
+    keys, series = keyed(weighted, *SELECTION), keyed(weighted, *SERIES)
 
     shown = _summary_columns([])
     is_flag = F.col("by_sign") == 0
     is_used = is_flag & F.col("label").isin("A", "T")
     everything = {
         c: F.sum(F.when(is_flag, F.col(c)))
-        for c in ("pm_sum", "cm_sum", "wpm_whole", "wpm_fraction", "wcm_whole", "wcm_fraction")
+        for c in _SUMS
     }
     row = F.when(F.col("by_sign").isNotNull(), F.struct(F.col("label").alias("sample"), *shown))
     per_selection = (
         labelled.unionByName(published.withColumn("published", F.lit(True)), allowMissingColumns=True)
-        .repartition(*SERIES)
-        .groupBy(*SELECTION)
+        .repartition(*series)
+        .groupBy(*keys)
         .agg(
             F.max("published").alias("published"),
             F.max("pm_est").alias("pm_est"),
@@ -197,7 +229,7 @@ def sample_summary(weighted: DataFrame, published: DataFrame) -> DataFrame:
         )
         .withColumns(look_back_distances())
     )
-    prior = prior_release_value(F.col("all"), Window.partitionBy(*SERIES).orderBy("code"))
+    prior = prior_release_value(F.col("all"), Window.partitionBy(*series).orderBy("code"))
 
     def share(part: Column, base: str) -> Column:
         return N.ratio(part, F.col(base))

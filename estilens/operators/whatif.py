@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estilens.functions import numbers as N
-from estilens.keys import PERIOD, SELECTION, SERIES
+from estilens.keys import PERIOD, SELECTION, SERIES, UNIT_GROUP
 
 TOTALS = ("apm", "acm", "twpm", "twcm")
 
@@ -30,12 +30,22 @@ def estimate_inputs(summary: DataFrame, info: DataFrame) -> DataFrame:
     return asked.join(totals, list(SELECTION))
 
 
+def unit_changes(detail: DataFrame, units: DataFrame) -> DataFrame:
+    """Changes of whole units as changes of their reports.
+
+    units holds the selection, the unit's group and new_flag.
+    """
+    keys = [*SELECTION, *UNIT_GROUP]
+    return detail.join(units.select(*keys, "new_flag").distinct(), keys).select(*SELECTION, "reptstate", "ui", "reptw", "report", "new_flag")
+
+
 def what_if_reflag(detail: DataFrame, changes: DataFrame, inputs: DataFrame) -> DataFrame:
     """New estimate of each selection if the given reports changed flag.
 
     changes holds the selection, reptstate, ui, reptw, report and new_flag.
     Each changed report leaves the totals of its flag and joins those of the
-    new one; X counts nowhere.  Selections without changes keep their totals.
+    new one; X counts nowhere.  Selections without changes keep their totals.  A
+    report named twice changes once; two different flags for it are an error.
     """
     c = F.col
     keys = [*SELECTION, "reptstate", "ui", "reptw", "report"]
@@ -46,6 +56,10 @@ def what_if_reflag(detail: DataFrame, changes: DataFrame, inputs: DataFrame) ->
         leaves = F.when(c("flag") == flag, value).otherwise(F.lit(0))
         return F.sum(joins - leaves).cast("double")
 
+    twice = F.raise_error(F.lit("two new flags for one report")).cast("string")
+    changes = changes.groupBy(*keys).agg(
+        F.when(F.min("new_flag") == F.max("new_flag"), F.max("new_flag")).when(F.max("new_flag").isNotNull(), twice).alias("new_flag")
+    )
     deltas = (
         detail.select(*keys, "flag", *[v.alias(n) for n, v in whole.items()])
         .join(changes.select(*keys, "new_flag"), keys)

@@ -5,16 +5,21 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from estilens.keys import AREA_SERIES, PERIOD, SELECTION
+from estilens.keys import AREA_SERIES, PERIOD, SELECTION, VIEW
 from estilens.operators import catalog, detail, estimates, models, periods, sample, whatif
 from estilens.operators import history as sample_histories
-from estilens.plans.stages import staged
+from estilens.plans.stages import run_root, staged
 
 
 @dataclass(frozen=True)
 class ReviewTables:
-    """Inputs of a review.  Estimates and sample may hold any number of months."""
+    """Inputs of a review.  Estimates and sample may hold any number of months.
+
+    With a vintage column (archive years and "current") each release is read from
+    its own vintages.  Models then have one too, "archive" or "current".
+    """
 
     estimates: DataFrame
     matched_sample: DataFrame
@@ -34,35 +39,53 @@ def of_series(tables: ReviewTables, state: str, area: str, series: str) -> Revie
 
 
 def review(tables: ReviewTables, releases: list[tuple[str, str, str]], k: int = 31, link_base: str = "",
-           asof_year: str | None = None, stage: bool = False) -> dict[str, DataFrame]:
+           stage: bool = False) -> dict[str, DataFrame]:
     """Every table of the review page for the given (year, month, closing) releases.
 
-    asof_year is the year the histories end in (see series_history).  With stage, the three
-    tables that several others build on (estimate info, report detail and unit
-    rollup) are written once to the shared folder instead of being computed
-    again for each of them; that is the setting for full-size runs.
+    Histories have one part per release and end with it.  With stage, the tables
+    that several others build on (estimate info, sample summary, report detail and
+    unit rollup) are written once to a folder of this run below the shared one,
+    instead of being computed again for each of them; that is the setting for
+    full-size runs.
     """
-    def keep(rows: DataFrame, name: str) -> DataFrame:
-        return staged(rows, name) if stage else rows
+    spark = tables.estimates.sparkSession
+    root = run_root(spark) if stage else None
 
-    requested = release_table(tables.estimates.sparkSession, releases)
-    recent = periods.near_months(tables.estimates, releases, year_ago=True)
+    def keep(rows: DataFrame, name: str) -> DataFrame:
+        return staged(rows, name, root) if stage else rows
+
+    requested = release_table(spark, releases)
+    all_estimates, matched, model_of = tables.estimates, tables.matched_sample, None
+    if "vintage" in all_estimates.columns:
+        needed = periods.vintages_needed(requested, all_estimates.select("vintage").distinct())
+        periods.require_held(needed)
+        held = matched.select("vintage").distinct().withColumn("in_sample", F.lit(True))
+        periods.require_held(needed.join(held, "vintage", "left").withColumn("held", F.coalesce("in_sample", F.lit(False))))
+        requested = periods.viewed(needed)
+        all_estimates, matched = periods.as_read(all_estimates, needed), periods.as_read(matched, needed)
+        archived = F.when(F.col("vintage") == periods.CURRENT, periods.CURRENT).otherwise("archive")
+        model_of = needed.filter("rank = 0").select(*PERIOD, archived.alias("vintage"))
+
+    recent = periods.near_months(all_estimates, releases, year_ago=True)
     info = keep(estimates.review_estimates(recent, tables.structure, requested), "info")
     published = sample.published_values(info)
-    weighted = sample.weighted_sample(tables.matched_sample)
+    weighted = sample.weighted_sample(matched)
     recent_sample = periods.near_months(weighted, releases)
-    needed = periods.on_periods(recent_sample, periods.detail_sources(requested))
+    needed_sample = periods.on_periods(recent_sample, periods.detail_sources(requested))
 
-    summary = periods.on_periods(sample.sample_summary(needed, published), requested)
+    summary = periods.on_periods(sample.sample_summary(needed_sample, published), requested)
+    summary = keep(summary, "summary")
     reports = keep(detail.sample_detail(recent_sample, requested, link_base), "detail")
     units = keep(detail.ui_rollup(reports, link_base), "units")
-    history = estimates.series_history(tables.estimates, asof_year=asof_year)
-    comparison = estimates.estimate_comparison(info)
+    history = estimates.series_history(all_estimates, releases=requested)
     past = sample_histories.sample_history(weighted, reports)
 
+    def models_of(rows: DataFrame) -> DataFrame:
+        return rows if model_of is None else rows.join(model_of, [*PERIOD, "vintage"], "left_semi").drop("vintage")
+
     result = {
         "series_info": estimates.series_info(info, link_base),
-        "estimate_comparison": estimates.tolerance_crossing(comparison),
+        "estimate_comparison": estimates.estimate_comparison(info),
         "sample_summary": summary,
         "sample_link": sample.sample_link(summary),
         "sample_detail": detail.review_flags(reports),
@@ -74,10 +97,10 @@ def review(tables: ReviewTables, releases: list[tuple[str, str, str]], k: int =
         "sample_history": past,
     }
     if tables.small_domain is not None:
-        result["small_domain_model"] = models.small_domain_model(tables.small_domain, info)
+        result["small_domain_model"] = models.small_domain_model(models_of(tables.small_domain), info)
     if tables.third_gen is not None:
-        result["third_gen_model"] = models.third_gen_model(tables.third_gen, info)
-    return result
+        result["third_gen_model"] = models.third_gen_model(models_of(tables.third_gen), info)
+    return {name: rows.drop(VIEW) for name, rows in result.items()}
 
 
 def write_review(result: dict[str, DataFrame], root: str) -> None:

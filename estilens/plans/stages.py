@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir.
-
-    Only a session without one (a test on one machine) gets a temporary folder.
-    """
+    """The shared folder the cluster names in spark.checkpoint.dir (or a checkpoint folder set before)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="estilens-stages-"))
-        root = spark.sparkContext.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return root
 
 
+def run_root(spark: SparkSession, root: str | None = None) -> str:
+    """A folder of its own for the tables of one run, below the shared one: one folder to remove afterwards."""
+    return f"{root or stage_root(spark)}/run-{uuid.uuid4().hex}"
+
+
 def staged(rows: DataFrame, name: str, root: str | None = None) -> DataFrame:
     """Write a table that several later steps read, and read it back.
 

@@ -6,16 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from estilens.functions.sizes import SIZE_BRACKETS
-from estilens.operators.periods import TWO_VINTAGE_MONTHS
-
-
-def read_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """A Parquet table; with a schema, the files are not opened to infer one."""
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(path)
+from estilens.operators.periods import CURRENT
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -28,32 +21,20 @@ def read_lookup(spark: SparkSession, path: str, schema: StructType, key: str, va
     return read_csv(spark, path, schema).groupBy(key).agg(F.max(value).alias(value))
 
 
-def size_classes(spark: SparkSession) -> DataFrame:
-    """The size brackets as a table."""
-    schema = StructType([StructField(n, LongType()) for n in ("size", "min", "max")])
-    return spark.createDataFrame([list(b) for b in SIZE_BRACKETS], schema)
-
+def read_vintages(spark: SparkSession, root: str, table: str, vintages: list[str]) -> DataFrame:
+    """The stored vintages of a table, <table>_archive_<year> and <table>_current, as one
+    table with a vintage column; columns are matched by name.
 
-def vintage_paths(spark: SparkSession, root: str, table: str, bmrkyr: str, month: str,
-                  closing: str) -> list[str]:
-    """Files a release is read from: <table>_archive_<year> if it is there, else
-    <table>_current, and the archive before it for re-estimates of Oct to Dec."""
-    def archive(year: int) -> str:
-        return f"{root}/{table}_archive_{year}"
+    A vintage that isn't there is an error when its folder is read.
+    """
+    def one(vintage: str) -> DataFrame:
+        path = f"{root}/{table}_current" if vintage == CURRENT else f"{root}/{table}_archive_{vintage}"
+        return spark.read.parquet(path).withColumn("vintage", F.lit(vintage))
 
-    path = spark._jvm.org.apache.hadoop.fs.Path(archive(int(bmrkyr)))
-    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    paths = [archive(int(bmrkyr)) if there else f"{root}/{table}_current"]
-    if month in TWO_VINTAGE_MONTHS and closing == "3":
-        paths.insert(0, archive(int(bmrkyr) - 1))
-    return paths
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(v) for v in vintages])
 
 
-def read_vintage(spark: SparkSession, root: str, table: str, bmrkyr: str, month: str,
-                 closing: str) -> DataFrame:
-    """Union of the vintages of one release, matched by column name."""
-    paths = vintage_paths(spark, root, table, bmrkyr, month, closing)
-    return reduce(
-        lambda a, b: a.unionByName(b, allowMissingColumns=True),
-        [spark.read.parquet(path) for path in paths],
-    )
+def read_models(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """A model table and its one archive, <table>_current and <table>_archive, with a vintage column."""
+    parts = [spark.read.parquet(f"{root}/{table}_{v}").withColumn("vintage", F.lit(v)) for v in ("archive", CURRENT)]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True)

@@ -9,8 +9,11 @@ from estilens.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(8)
+def spark(tmp_path_factory):
+    session = local_session(8)
+    # A cluster names this folder in spark.checkpoint.dir.
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
+    return session
 
 
 @pytest.fixture(scope="session")

@@ -116,6 +116,13 @@ def test_shortlist_equals_brute_force_with_a_hot_selection(spark):
     assert got == expected
 
 
+def test_display_order(spark):
+    rows = D.sample_detail(weighted(spark, [report(rept="1", flag="T", pm=10, cm=20), report(rept="2", flag="T", pm=10, cm=90),
+                                            report(rept="3", flag="A", pm=5, cm=6), report(rept="4", flag="T", pm=90, cm=10)]))
+    # Flags in order, then the largest change in either direction, then ids.
+    assert [r.report for r in rows.orderBy(*D.display_order()).collect()] == ["013", "012", "014", "011"]
+
+
 def test_group_detail_returns_the_rows_behind_a_group(spark):
     rows = D.sample_detail(weighted(spark, [report(rept="1"), report(rept="2"), report(rept="3", ui="U2")]))
     groups = D.ui_rollup(rows).filter("is_summed")

@@ -11,7 +11,7 @@ from estilens.keys import PERIOD
 from estilens.operators import detail, estimates, sample
 from estilens.operators import periods
 from estilens.plans.review import ReviewTables, of_series, review, write_review
-from estilens.plans.stages import stage_root, staged
+from estilens.plans.stages import run_root, stage_root, staged
 from estilens.sources import readers, schemas
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -89,6 +89,7 @@ def test_stages_are_written_under_the_stage_root(spark):
     root = stage_root(spark)
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert root == stage_root(spark) and (not named or root == named)
+    assert run_root(spark).startswith(root) and run_root(spark) != run_root(spark)
     rows = staged(spark.range(5), "five")
     assert rows.count() == 5
     assert all(root.removeprefix("file:").rstrip("/") in f for f in rows.inputFiles())
@@ -107,19 +108,43 @@ def test_lookup_has_one_row_per_key(spark, tmp_path):
 
 
 def test_vintage_files(spark, tmp_path):
-    for name in ("estimates_archive_2019", "estimates_archive_2020", "estimates_current"):
+    for name in ("estimates_archive_2019", "estimates_archive_2020", "estimates_current", "third_archive", "third_current"):
         spark.createDataFrame([(name,)], "file string").write.parquet(str(tmp_path / name))
+    rows = readers.read_vintages(spark, str(tmp_path), "estimates", ["2019", "2020", "current"]).collect()
+    assert {(r.file, r.vintage) for r in rows} == {
+        ("estimates_archive_2019", "2019"), ("estimates_archive_2020", "2020"), ("estimates_current", "current")}
+    rows = readers.read_models(spark, str(tmp_path), "third").collect()
+    assert {(r.file, r.vintage) for r in rows} == {("third_archive", "archive"), ("third_current", "current")}
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.read_vintages(spark, str(tmp_path), "estimates", ["2018"]).count()
 
-    def files(*release):
-        return {r.file.removeprefix("estimates_") for r in readers.read_vintage(
-            spark, str(tmp_path), "estimates", *release).collect()}
 
-    assert files("2020", "06", "2") == {"archive_2020"}
-    assert files("2021", "06", "3") == {"current"}
-    assert files("2021", "10", "3") == {"current", "archive_2020"}
-    assert files("2020", "12", "3") == {"archive_2020", "archive_2019"}
-
-
-def test_size_classes_cover_the_brackets(spark):
-    assert readers.size_classes(spark).count() == 8
-    assert set(PERIOD) <= set(schemas.ESTIMATES.names)
+@needs_data
+def test_review_of_two_vintages_equals_two_reviews_of_one(spark):
+    """Releases of two benchmark years whose rows stand in both, with other values."""
+    t = DerivedTables(spark, SF_DIR)
+    asked = [("2000", "06", "2"), ("2001", "06", "2")]
+
+    def two(rows, *values):
+        one = rows.filter(F.col("year").isin("1999", "2000", "2001")).drop("bmrk_year")
+        other = one.withColumns({v: F.col(v) * 2 + 1000 for v in values})
+        return one.withColumn("vintage", F.lit("1999")).unionByName(other.withColumn("vintage", F.lit("2000")))
+
+    estimates_of = two(t.estimates, "published_estimate_value", "upper_tolerance")
+    sample_of = two(t.sample, "cm_value")
+    tables = ReviewTables(estimates_of, sample_of, t.structure)
+    whole = review(tables, asked)
+    for (year, *rest), v in zip(asked, ("1999", "2000")):
+        single = ReviewTables(*(x.filter(F.col("vintage") == v).drop("vintage") for x in (estimates_of, sample_of)), t.structure)
+        part = review(single, [(year, *rest)])
+        for name in ("series_info", "estimate_comparison", "sample_summary", "sample_detail", "series_history", "sample_history", "estimate_inputs"):
+            key = next(c for c in ("sel_year", "cur_year", "year") if c in part[name].columns)
+            rows = sorted(map(str, part[name].collect()))
+            assert rows and rows == sorted(map(str, whole[name].filter(F.col(key) == year).select(*part[name].columns).collect())), name
+
+
+def test_a_vintage_that_is_not_stored_is_an_error(spark):
+    table = spark.createDataFrame([("2020", "11", "3", v) for v in ("2020", "current")], "year string, month string, estimate_type_code string, vintage string")
+    needed = periods.vintages_needed(table.select("year", "month", "estimate_type_code").distinct(), table.select("vintage"))
+    with pytest.raises(ValueError, match="2019"):
+        periods.require_held(needed)
