@@ -1,6 +1,10 @@
 """Time the review steps over all series: one JSON line on stdout.
 
-The input tables are derived from the test data and written once ("derive").
+The input tables, navigation catalog and code requests among them, are derived
+from the test data and written once ("derive").  All steps run over all series and
+all releases, but for review_one_series: one release of one series through the
+whole review, over tables partitioned by year and month, as the published page
+request does.
 Each step then runs from Parquet to its last row (a write to the noop sink),
 building on the stages before it, which are stored the way a full-size review
 stores them.  Every step runs twice in the same session; "queries" has the
@@ -15,8 +19,9 @@ import sys
 import tempfile
 import time
 
-from checks.registry import QUERIES
+from checks.registry import QUERIES, SERIES_PROBE
 from checks.tables import StoredTables
+from estilens.plans.review import ReviewTables, of_series, review
 from estilens.session import local_session
 
 # Steps in the order of the published page request, then the rest of a review.
@@ -31,6 +36,23 @@ LEAVES = {"estimate_info": "info", "sample_summary": "summary", "sample_detail":
           "ui_rollup": "units", "sample_history": "past"}
 
 
+def one_series(tables: StoredTables):
+    """The review of one series and release over tables split by month."""
+    months = {}
+    for name in ("estimates", "sample"):
+        path = f"{tables.stored_dir}/by_month_{name}"
+        rows = getattr(tables, name)
+        rows.write.partitionBy("year", "month").parquet(path)
+        months[name] = tables.spark.read.schema(rows.schema).parquet(path)
+    whole = ReviewTables(months["estimates"], months["sample"], tables.structure, tables.small_domain, tables.third_gen)
+    asked = of_series(whole, *SERIES_PROBE.values())
+
+    def run():
+        for rows in review(asked, [("2001", "06", "2")]).values():
+            rows.write.format("noop").mode("overwrite").save()
+    return run
+
+
 def timed(action) -> float:
     start = time.perf_counter()
     action()
@@ -42,7 +64,7 @@ def main(names: list[str]) -> None:
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
     spark = local_session(cpus, os.environ.get("BENCH_MEMORY", "12g"))
     tables = StoredTables(spark, sf_dir, tempfile.mkdtemp(prefix="estilens-bench-"))
-    derive = timed(lambda: [tables.store(name) for name in ("sample", "estimates", "structure")])
+    derive = timed(lambda: [tables.store(name) for name in ("sample", "estimates", "structure", "wide_catalog", "code_requests")])
     first: dict[str, float] = {}
     again: dict[str, float] = {}
     for name in names or STEPS:
@@ -52,6 +74,9 @@ def main(names: list[str]) -> None:
         again[name] = timed(run)
         if name in LEAVES:
             tables.store(LEAVES[name])
+    if not names:
+        run = one_series(tables)
+        first["review_one_series"], again["review_one_series"] = timed(run), timed(run)
     print(json.dumps({
         "metric": "review_all_series_total",
         "value": round(sum(again.values()), 3),
@@ -60,7 +85,8 @@ def main(names: list[str]) -> None:
         "first_run": first,
         "derive": derive,
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
-        "rows": {"sample": tables.sample.count(), "estimates": tables.estimates.count()},
+        "releases": tables.periods.count(),
+        "rows": {name: getattr(tables, name).count() for name in ("sample", "estimates", "wide_catalog", *(LEAVES[s] for s in names or LEAVES if s in LEAVES))},
     }))
 
 

@@ -245,18 +245,6 @@ def series_navigation(t):
     return navigation.series_navigation(t.wide_catalog)
 
 
-def _code_requests(t):
-    """Codes asked for in each area: part keys as text, many of them not offered."""
-    c = F.col
-    return (
-        t.read("lineitem").join(t.read("supplier"), c("l_suppkey") == c("s_suppkey"))
-        .join(t.read("part"), c("l_partkey") == c("p_partkey"))
-        .select(F.lpad(c("s_nationkey").cast("string"), 2, "0").alias("state"),
-                F.lpad((c("p_size") * 100).cast("string"), 5, "0").alias("area"),
-                F.concat((c("l_orderkey") % 50).cast("string"), (c("l_partkey") % 7).cast("string")).alias("code"))
-    )
-
-
 _REQUESTED = """SELECT DISTINCT lpad(s_nationkey::VARCHAR, 2, '0') AS state, lpad((p_size * 100)::VARCHAR, 5, '0') AS area,
     (l_orderkey % 50)::VARCHAR || (l_partkey % 7)::VARCHAR AS code
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey"""
@@ -270,7 +258,7 @@ _REQUESTED = """SELECT DISTINCT lpad(s_nationkey::VARCHAR, 2, '0') AS state, lpa
   SELECT state, area, code, first(option ORDER BY n DESC, option) AS chosen FROM m GROUP BY state, area, code""")
 def closest_code(t):
     options = t.wide_catalog.select("state", "area", F.col("series").alias("option"))
-    return navigation.closest_code(_code_requests(t), options, ["state", "area"])
+    return navigation.closest_code(t.code_requests, options, ["state", "area"])
 
 
 @query(f"""
@@ -281,7 +269,7 @@ def closest_code(t):
   FROM r LEFT JOIN o ON r.state = o.state AND r.area = o.area GROUP BY ALL""")
 def highest_or_requested(t):
     options = t.wide_catalog.select("state", "area", F.substring("series", 1, 2).alias("option"))
-    asked = _code_requests(t).withColumn("code", F.substring("code", 1, 2))
+    asked = t.code_requests.withColumn("code", F.substring("code", 1, 2))
     return navigation.highest_or_requested(asked, options, ["state", "area"])
 
 

@@ -266,6 +266,18 @@ class DerivedTables:
             F.when(c("l_returnflag") == "A", "Y").otherwise("N").alias("oot"),
         ).distinct()
 
+    @cached_property
+    def code_requests(self) -> DataFrame:
+        """Codes asked for in each area: part keys as text, many of them not offered."""
+        c = F.col
+        return (
+            self.read("lineitem").join(self.read("supplier"), c("l_suppkey") == c("s_suppkey"))
+            .join(self.read("part"), c("l_partkey") == c("p_partkey"))
+            .select(F.lpad(c("s_nationkey").cast("string"), 2, "0").alias("state"),
+                    F.lpad((c("p_size") * 100).cast("string"), 5, "0").alias("area"),
+                    F.concat((c("l_orderkey") % 50).cast("string"), (c("l_partkey") % 7).cast("string")).alias("code"))
+        )
+
     @cached_property
     def report_lines(self) -> DataFrame:
         """The teaching sample: reports (parts) under parents (suppliers)."""
