@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import sql as S
-from checks.tables import DerivedTables
+from checks.tables import LAST_YEAR, DerivedTables
 from estilens.functions import codes as C
 from estilens.functions.sizes import size_bracket, size_gap
 from estilens.keys import PERIOD, SELECTION, SERIES, UNIT_GROUP
@@ -142,7 +142,7 @@ def release_vintages(t):
 @query(f"""
   WITH facts AS (
     SELECT vintage, {S.K4}, {S.PER}, published_estimate_value FROM vintaged UNION ALL
-    SELECT CASE WHEN bmrk_year::INT + 1 = (SELECT max(bmrk_year)::INT FROM fx_estimates) THEN 'current' ELSE (bmrk_year::INT + 1)::VARCHAR END,
+    SELECT CASE WHEN bmrk_year = '2000' THEN 'current' ELSE (bmrk_year::INT + 1)::VARCHAR END,
       {S.K4}, {S.PER}, published_estimate_value + 1000 FROM vintaged WHERE data_type_code = '01' AND vintage <> 'current'),
   views AS (SELECT DISTINCT view, rank, vintage FROM release_vintages),
   newer AS (SELECT DISTINCT view, {S.PER} FROM facts JOIN views USING (vintage) WHERE rank = 0)
@@ -406,8 +406,7 @@ def history_matrix(t):
     return estimates.history_matrix(estimates.series_history(t.estimates))
 
 
-# The last year of the test tables.
-_LABELS = estimates.history_labels(2001)
+_LABELS = estimates.history_labels(int(LAST_YEAR))
 
 
 def _column(label: str) -> str:

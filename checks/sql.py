@@ -262,7 +262,7 @@ CTES["history"] = f"""
 
 
 CTES["vintaged"] = """
-  SELECT *, CASE WHEN bmrk_year = (SELECT max(bmrk_year) FROM fx_estimates) THEN 'current' ELSE bmrk_year END AS vintage FROM fx_estimates"""
+  SELECT *, CASE WHEN bmrk_year = '2001' THEN 'current' ELSE bmrk_year END AS vintage FROM fx_estimates"""
 CTES["release_vintages"] = f"""
   SELECT {PER}, main || coalesce('+' || earlier, '') AS view, rank, CASE rank WHEN 0 THEN main ELSE earlier END AS vintage,
     CASE rank WHEN 0 THEN main ELSE earlier END IN (SELECT vintage FROM vintaged) AS held
@@ -408,7 +408,7 @@ CTES["current"] = f"SELECT d.*, v.view FROM detail d JOIN (SELECT DISTINCT {PER}
 CTES["viewed_reports"] = f"""
   SELECT *, max(estimate_type_code) OVER (PARTITION BY view, {K4}, year, month) AS newest FROM (
     SELECT r.*, v.view FROM reports r JOIN view_vintages v
-      ON v.vintage = CASE WHEN bmrk_year = (SELECT max(bmrk_year) FROM fx_estimates) THEN 'current' ELSE bmrk_year END)"""
+      ON v.vintage = CASE WHEN bmrk_year = '2001' THEN 'current' ELSE bmrk_year END)"""
 CTES["sample_history"] = f"""
   SELECT {of('r', K4)}, r.year, r.month, r.version, {of('r', _REPORT)}, r.naics, r.selsize, r.weight, r.origdwght, r.dwght, r.drr,
     r.pm, r.cm, r.origflag, r.flag, r.otm, r.wotm, r.rwpm AS wpm, r.rwcm AS wcm, r.is_knr,

