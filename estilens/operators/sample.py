@@ -60,25 +60,30 @@ def _labelled(weighted: DataFrame, labels: Column) -> DataFrame:
     """Reports, units and sums per selection and label; a row counts under each of its labels.
 
     The sample moves once, by selection and report, so that a large selection stays
-    spread out.  Reports and sums then combine where they are; of units only one row
-    per partition, label and unit moves, and of all of them one per label.  Several
-    distinct counts in one aggregate would multiply the rows before the shuffle.
+    spread out.  A report's sums and its units, one as a rule, come together where its
+    rows are; then only one row per partition, label and unit moves, and of all of
+    them one per label.  Several distinct counts in one aggregate would multiply the
+    rows before the shuffle.
     """
     keys = keyed(weighted, *SELECTION)
-    rows = (
+    # Null reports and units count as one more value each.
+    reports = (
         weighted.select(*keys, "report_id", "selected_ui_number", "pm_value", "cm_value", "wpm", "wcm", labels.alias("labels"))
         .repartition(*keys, "report_id")
         .withColumn("label", F.explode("labels"))
-        .groupBy(*keys, "label", "report_id", "selected_ui_number").agg(*_sums())
+        .groupBy(*keys, "label", "report_id")
+        .agg(*_sums(), F.collect_set(F.struct("selected_ui_number")).alias("units"))
+    )
+    first = F.col("place") == 0
+    counts = {"rep_count": F.lit(1).cast("bigint"), **{c: F.col(c) for c in _SUMS}}
+    units = (
+        reports.select(*keys, "label", F.posexplode("units").alias("place", "unit"), *_SUMS)
+        .groupBy(*keys, "label", "unit")
+        .agg(*[F.sum(F.when(first, value).otherwise(F.lit(0))).alias(c) for c, value in counts.items()])
+    )
+    return units.groupBy(*keys, "label").agg(
+        F.count(F.lit(1)).alias("ui_count"), *[F.sum(c).alias(c) for c in counts]
     )
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    # Null reports and units count as one more value each.
-    reports = rows.groupBy(*keys, "label", "report_id").agg(*[F.sum(c).alias(c) for c in _SUMS]).select(
-        *keys, "label", one.alias("rep_count"), none.alias("ui_count"), *_SUMS)
-    units = rows.select(*keys, "label", "selected_ui_number").distinct().select(
-        *keys, "label", none.alias("rep_count"), one.alias("ui_count"), *[none.alias(c) for c in _SUMS])
-    counts = ("rep_count", "ui_count", *_SUMS)
-    return reports.unionByName(units).groupBy(*keys, "label").agg(*[F.sum(c).alias(c) for c in counts])
 
 
 def _shown(flag: Column) -> dict[str, Column]:
