@@ -41,7 +41,8 @@ BUDGET = 0.8
 SAMPLE, FEATURES, MIN_LABELS = 3000, 400, 5
 #: Hash values of words that are told apart.
 SLOTS = 1 << 20
-STEPS, TOLERANCE = 60, 5e-5
+#: A fit ends when residuals move by less than TOLERANCE of all tokens and less than OWN_TOLERANCE of their domain's.
+STEPS, TOLERANCE, OWN_TOLERANCE = 200, 5e-5, 5e-4
 PIECE_BYTES = 1 << 20
 
 _WORD_BREAK = np.array([not (0x61 <= c <= 0x7A or 0x41 <= c <= 0x5A or 0x30 <= c <= 0x39 or c >= 0x80) for c in range(256)])
@@ -242,6 +243,8 @@ def fit_rates(posteriors: DataFrame, targets: dict[str, float] = TARGETS, budget
     squares = [F.sum(t * F.col(a) * F.col(b)) for a in names for b in names]
     sums = [float(x or 0) for x in posteriors.agg(F.sum(t), *squares).first()]
     total, square = max(sums[0], 1.0), np.array(sums[1:]).reshape(k, k)
+    # Posteriors add up to one: a row of the squares sums to the domain's tokens.
+    still = np.minimum(OWN_TOLERANCE * np.maximum(square.sum(axis=1) / total, 1e-9), TOLERANCE)
     weights = np.array([max(targets.get(n[2:], 0.0), 0.0) for n in names])
     weights = weights / weights.sum() if weights.sum() else np.full(k, 1 / k)
     wanted = weights * budget
@@ -266,7 +269,7 @@ def fit_rates(posteriors: DataFrame, targets: dict[str, float] = TARGETS, budget
         residual = sums_at(np.array(past).reshape(-1, k), False) - wanted
         past.append(residual)
         # At the optimum the residuals stand still, also where no rates meet the targets.
-        if len(past) > 3 and np.abs(np.diff(past[-4:], axis=0)).max() < TOLERANCE:
+        if len(past) > 3 and (np.abs(np.diff(past[-4:], axis=0)) < still).all():
             break
     pulls = np.array(past).reshape(-1, k)
     kind = posteriors.schema["doc_id"].dataType.simpleString()

@@ -65,6 +65,21 @@ def test_rates_meet_targets_and_equal_a_plain_solver(spark):
     assert np.abs(reached - wanted).max() <= best + 5e-3  # half a percent of the tokens
 
 
+def test_a_small_domain_reaches_its_target(spark):
+    rng = np.random.default_rng(7)
+    for toxic in (4, 8):  # of 4,000
+        kind = np.array([0] * toxic + [2] * 480 + [1] * (3520 - toxic))
+        p = np.array([[0.97, 0.02, 0.01], [1e-4, 0.98, 0.0199], [1e-3, 0.05, 0.949]])[kind]
+        p = np.clip(p + rng.normal(0, 0.003, p.shape), 1e-5, 1)
+        p /= p.sum(axis=1, keepdims=True)
+        rows = [(i, int(rng.integers(100, 400)), *map(float, x)) for i, x in enumerate(p)]
+        table = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint, p_toxic double, p_clean double, p_poor double")
+        fit = mixing.fit_rates(staged(table, "p"))
+        rates = {r["doc_id"]: r["rate"] for r in fit.rates.collect()}
+        assert fit.steps < mixing.STEPS and [rates[i] for i in range(toxic)] == [0] * toxic
+        assert abs(fit.reached[1] - 0.95 * 0.8) < 1e-3 and abs(fit.reached[2] - 0.05 * 0.8) < 1e-3
+
+
 def test_edges(spark, frame, edge_rows):
     rows, kinds = made(80)
     rows = edge_rows + [(1000 + k, t) for k, t in rows]
