@@ -13,7 +13,8 @@ or day and month before the year).
 
 One pass over each row, without a shuffle.  Defined results: a null text stays null
 and has no findings; repeated rows get equal results; a value that fails its check
-is left alone; where two kinds match at one place the first of KINDS wins; an empty
+is left alone, after its shorter ends were tried (a phone number prefers its country's
+length); a number and a neighbour that are valid as one remain one; where two kinds match at one place the first of KINDS wins; an empty
 table gives an empty result.  Only doc_id and text are read, so other columns cannot
 clash.
 """
@@ -41,10 +42,14 @@ PATTERNS = {
     "iban": re.compile(r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z]\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "card": re.compile(r"\d(?<![\d.]\d)(?:[ -]?\d){12,18}(?![\d])"),
     "ssn": re.compile(r"\d(?<![\d-]\d)\d\d-\d\d-\d{4}(?![\d-])"),
-    "phone": re.compile(r"(?:\+(?<![\w+]\+)[1-9]\d{0,2}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![\d])|\((?<![\w(]\()\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|\d(?<![\d.+-]\d)\d\d[.-]\d{3}[.-]\d{4}(?![\d-]))"),
+    "phone": re.compile(r"(?:\+(?<![\w+]\+)[1-9]\d{0,2}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![\d])|\((?<![\w(]\()\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|\d(?<![\d.+-]\d)(?:(?<=1)[ .-]\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}|\d\d[ .-]\d{3}[ .-]\d{4})(?![\d-]))"),
     "ip": re.compile(r"\d(?<![\d.]\d)\d{0,2}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)"),
     "date": re.compile(r"\d(?<![\d./-]\d)(?:\d{3}([-/.])\d{1,2}\1\d{1,2}|\d?([-/.])\d{1,2}\2\d{4})(?![\d/-]|\.\d)"),
 }
+#: Digits of a number after the country's, for countries with one length.
+_PHONE_DIGITS = {"1": 10, "7": 10, "33": 9, "34": 9, "41": 9, "45": 8, "47": 8, "48": 9, "61": 9, "86": 11, "91": 10}
+#: Kinds whose match may take in what stands behind it.
+_SHORTER = ("iban", "card", "phone")
 _NAME_BEFORE = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?\Z")
 
 
@@ -153,7 +158,7 @@ class Pseudonyms:
     def _phone(self, found: str, back: bool) -> str | None:
         digits = re.sub(r"\D", "", found)
         # Of an international number the country's first digit stays.
-        keep = 1 if found[0] == "+" else 0
+        keep = 1 if found[0] == "+" or len(digits) == 11 else 0
         if not 7 <= len(digits) - keep <= 14:
             return None
         national = digits[keep:]
@@ -193,12 +198,33 @@ class Pseudonyms:
             if not swapped or datetime.date.fromordinal(place + _FIRST_DAY).day > 12:
                 return place
 
+    def _ends(self, kind: str, text: str, begin: int, end: int):
+        """Ends of a match where a number or word ends, the likeliest first, then the longest."""
+        ends = [end, *(e for e in range(end - 1, begin, -1) if text[e - 1].isalnum() and not text[e].isalnum() and PATTERNS[kind].fullmatch(text, begin, e))]
+        if kind == "phone" and text[begin] == "+":
+            def usual(e):
+                digits = re.sub(r"\D", "", text[begin:e])
+                return any(digits.startswith(c) and len(digits) == len(c) + n for c, n in _PHONE_DIGITS.items())
+            ends.sort(key=lambda e: not usual(e))
+        return ends
+
+    def _matches(self, kind: str, text: str):
+        """Places of a kind; of those that may be too long the part that is valid."""
+        at = 0
+        while match := PATTERNS[kind].search(text, at):
+            begin, end = match.span()
+            if kind in _SHORTER:
+                end = next((e for e in self._ends(kind, text, begin, end) if self.replace(kind, text[begin:e]) is not None), None)
+            # Where nothing is valid, one may begin further on.
+            at = end or begin + 1
+            if end:
+                yield begin, end
+
     def text(self, text: str, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
         """The text with pseudonyms, and what was replaced (begin, end, kind)."""
         found = []
         for order, kind in enumerate(KINDS):
-            for match in PATTERNS[kind].finditer(text):
-                begin, end = match.span()
+            for begin, end in self._matches(kind, text):
                 if kind == "email":
                     name = _NAME_BEFORE.search(text, max(0, begin - 64), begin)
                     if not name:

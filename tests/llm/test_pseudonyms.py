@@ -42,6 +42,20 @@ def test_round_trip_and_formats():
     assert all(x in new for x in ("300.1.1.1", "2021-13-45", "v1.2.3.4.5", "666-45-6789", "GB83WEST12345698765432", "1234567812345678"))
 
 
+@pytest.mark.parametrize("text, values", [
+    ("+1 (826) 555-4081 190.137.223.5 x", ["+1 (826) 555-4081", "190.137.223.5"]),
+    ("+1 (843) 555-7672 12", ["+1 (843) 555-7672"]),
+    ("4111 1111 1111 1111 123", ["4111 1111 1111 1111"]),
+    ("4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"]),
+    ("77 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+    ("ES91 2100 0418 4502 0005 1332 BIC", ["ES91 2100 0418 4502 0005 1332"]),
+    ("call 1-800-555-1234 or 555 123 4567", ["1-800-555-1234", "555 123 4567"]),
+])
+def test_numbers_beside_each_other(text, values):
+    new, spans = Pseudonyms(b"key").text(text)
+    assert [text[a:b] for a, b, _ in spans] == values and all(v not in new for v in values)
+
+
 def test_different_values_get_different_pseudonyms():
     names = Pseudonyms(b"key")
     days = [(datetime.date(1900, 1, 1) + datetime.timedelta(days=k)).isoformat() for k in range(0, 73049, 31)]
