@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estilens.llm import decontaminate, jaccard, mixing, quality, secrets
+from estilens.llm import decontaminate, mixing, quality, secrets, simhash
 from estilens.llm.common import read_table, staged
 
 
@@ -14,8 +14,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word Jaccard of 0.8) stays."""
-    return jaccard.keep_one(docs)
+    """One document of each group of near copies stays: three-word shingles, 64 bits, at most three of them differ."""
+    return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
