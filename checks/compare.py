@@ -23,7 +23,7 @@ def database(sf_dir: str):
 
 
 # Column types that must agree, as Spark and DuckDB name them.
-SAME_TYPE = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+SAME_TYPE = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def cell(value):
