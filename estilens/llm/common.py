@@ -30,11 +30,11 @@ def shared_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def staged(rows: DataFrame, name: str) -> DataFrame:
+def staged(rows: DataFrame, name: str, by: str = "") -> DataFrame:
     """Write a table that later steps read, and read it back: cuts the lineage
-    and outlives lost executors."""
+    and outlives lost executors.  Filters on the column by select folders."""
     path = f"{shared_root(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    rows.write.partitionBy(*[by] if by else []).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estilens.llm import decontaminate, fixity, language, licenses, mixing, pseudonyms, quality, secrets, simhash, substrings
+from estilens.llm import (
+    decontaminate, exact, fixity, language, licenses, mixing, pseudonyms, quality, ranking, resampling, secrets, simhash, substrings,
+)
 from estilens.llm.common import read_table
 from estilens.llm.sql import ORACLES
 
@@ -68,3 +70,18 @@ def op9_source_mixing(spark, sf_dir):
 @query
 def op10_decontamination(spark, sf_dir):
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_exact_dedup(spark, sf_dir):
+    return exact.duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_ranked_search(spark, sf_dir):
+    return ranking.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_importance_resampling(spark, sf_dir):
+    return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

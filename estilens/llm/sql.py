@@ -191,3 +191,72 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
   coalesce(len(names), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(names, ','), '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM docs LEFT JOIN words_hit USING (d) LEFT JOIN found USING (d)"""
+
+# --- exact dedup ----------------------------------------------------------------------
+
+ORACLES["op11_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
+
+# --- ranked lexical search --------------------------------------------------------------
+
+_TERMS = f"regexp_extract_all({_FOLD}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+ORACLES["op12_ranked_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS terms FROM documents),
+q AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS terms FROM benchmark),
+asked AS (SELECT DISTINCT q, unnest(terms) AS term FROM q),
+corpus AS (SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_all FROM d WHERE len(terms) > 0),
+tf AS (
+  SELECT d, n, term, count(*)::BIGINT AS tf FROM (SELECT d, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weight AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term), corpus
+), impact AS (
+  SELECT d, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // n_all)))) AS impact
+  FROM tf JOIN weight USING (term), corpus
+), scored AS (SELECT q, d, sum(impact)::BIGINT AS score FROM asked JOIN impact USING (term) GROUP BY q, d),
+best AS (
+  SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank
+  FROM scored JOIN d USING (d) WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM best JOIN q USING (q) WHERE rank <= 10"""
+
+# --- importance resampling --------------------------------------------------------------
+
+# CRC-32 byte by byte: each byte's table entry follows from eight shifts.
+_ENTRY = "list_reduce([b::UBIGINT, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)"
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(0, strlen(word)), "
+    "lambda i: ('0x' || substr(hex(encode(word)), (2 * i + 1)::BIGINT, 2))::UBIGINT)), "
+    "lambda c, b: xor(c >> 8, entries[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)"
+)
+
+ORACLES["op13_importance_resampling"] = f"""
+WITH table_of AS (SELECT list({_ENTRY} ORDER BY b) AS entries FROM (SELECT unnest(generate_series(0, 255)) AS b)),
+d AS (SELECT row_number() OVER () AS d, doc_id, {_WORDS} AS words FROM documents),
+dw AS (SELECT d, word, count(*)::BIGINT AS n FROM (SELECT d, unnest(words) AS word FROM d) GROUP BY ALL),
+bw AS (SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest({_WORDS}) AS word FROM benchmark) GROUP BY word),
+place AS (
+  SELECT word, ({_CRC} % 10000)::INTEGER AS bucket
+  FROM (SELECT DISTINCT word FROM (SELECT word FROM dw UNION ALL SELECT word FROM bw)), table_of
+), s AS (SELECT bucket, sum(n)::BIGINT AS s FROM dw JOIN place USING (word) GROUP BY bucket),
+t AS (SELECT bucket, sum(n)::BIGINT AS t FROM bw JOIN place USING (word) GROUP BY bucket),
+totals AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::BIGINT AS s_all, coalesce((SELECT sum(t) FROM t), 0)::BIGINT AS t_all),
+gain AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * (s_all + 10000))::DOUBLE / ((s + 1) * (t_all + 10000))))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket), totals
+), weighed AS (
+  SELECT d, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM dw JOIN place USING (word) JOIN gain USING (bucket) GROUP BY d
+), scored AS (
+  SELECT d, doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+    (('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN weighed USING (d)
+), placed AS (
+  SELECT d, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM placed) THEN rank END::BIGINT AS rank
+FROM scored LEFT JOIN placed USING (d)"""

@@ -5,7 +5,8 @@ from texts import prose
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: Names that operators use for their own columns.
-CLASHING = ("block", "key", "row", "kept", "n_words", "fingerprint", "spans", "blob", "rate", "h", "path_", "p_clean", "code", "q", "clean")
+CLASHING = ("block", "key", "row", "kept", "n_words", "fingerprint", "spans", "blob", "rate", "h", "path_", "p_clean", "code", "q", "clean",
+            "digest", "salt", "sha", "hot", "n", "m", "length", "bucket", "score", "rank", "weight", "id")
 
 
 @pytest.fixture(scope="session")
