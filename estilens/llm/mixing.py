@@ -1,24 +1,28 @@
 """Mixing to target weights with soft membership.
 
-A classifier fitted on labelled documents gives every document a posterior over
-domains.  Document rates r >= 0 are then fitted so that the expected tokens of each
-domain, the sum over documents of rate * tokens * posterior, come to the target
-weights times a budget: least squares by projected gradient with momentum.  The
-gradient of a document depends on the corpus only through one residual per domain,
-so a step is one pass that sums a few numbers per partition; a document's rate
-follows from its posteriors and the residuals so far, and is never stored or moved.
+A classifier fitted on labelled documents gives every document a soft membership in
+each domain: its posteriors, raised to the power SHARPNESS, so that slight doubts about
+very many documents do not add up to a domain.  Document rates r >= 0 are then fitted
+so that the expected tokens of each domain, the sum over documents of rate * tokens *
+membership, come to the target weights times a budget: least squares, each domain's
+residual measured by its own size, by projected gradient with momentum.  A small pull
+to the common rate (PULL) makes the solution unique and equal for equal memberships,
+and no rate exceeds MOST_RATE.  The gradient of a document depends on the corpus only
+through one residual per domain, so a step is one pass that sums a few numbers per
+partition; rates are written every ROUND steps, so a step replays few of them.
 
 Bounds: the classifier is fitted on at most SAMPLE labelled documents (the first in
 the order of a hash, over all labels) in one task, with at most FEATURES selected
-words; posteriors, tokens and all sums cover every document and every word of it.
+words; memberships, tokens and all sums cover every document and every word of it.
 
-Defined results: a null or empty text has no tokens, a posterior like a text
+Defined results: a null or empty text has no tokens, a membership like a text
 without known words, and a rate; labels that are null, contradict each other or
-name no document are not used; a domain with under MIN_LABELS examples is left out
-and its target shared out over the others; with no domain left everything is one
-domain, "any"; repeated rows are documents of their own; an empty table gives an
-empty result.  Only doc_id and text are read for the fit; in mix(), columns of the
-input that have the name of a new one are replaced.
+name no document are not used; a domain with under MIN_LABELS examples cannot be
+learned: its target is shared out over the others, and summary() names it, as it does
+targets that no rates meet; with no domain left everything is one domain, "any";
+repeated rows are documents of their own; an empty table gives an empty result.  Only
+doc_id and text are read for the fit; in mix(), columns of the input that have the
+name of a new one are replaced.
 """
 
 from __future__ import annotations
@@ -41,8 +45,13 @@ BUDGET = 0.8
 SAMPLE, FEATURES, MIN_LABELS = 3000, 400, 5
 #: Hash values of words that are told apart.
 SLOTS = 1 << 20
-#: A fit ends when residuals move by less than TOLERANCE of all tokens and less than OWN_TOLERANCE of their domain's.
-STEPS, TOLERANCE, OWN_TOLERANCE = 200, 5e-5, 5e-4
+#: A fit ends when a step moves the mean rate of no domain by more than TOLERANCE.
+STEPS, TOLERANCE = 200, 1e-4
+#: Rates are written after so many steps.
+ROUND = 20
+SHARPNESS, PULL, MOST_RATE = 2.0, 3e-4, 20.0
+#: A word is selected if chance explains its share in a domain with less than this probability, over all words tried.
+CHANCE = 0.05
 PIECE_BYTES = 1 << 20
 
 _WORD_BREAK = np.array([not (0x61 <= c <= 0x7A or 0x41 <= c <= 0x5A or 0x30 <= c <= 0x39 or c >= 0x80) for c in range(256)])
@@ -88,6 +97,8 @@ class Classifier(NamedTuple):
     domains: tuple[str, ...]
     slots: np.ndarray
     weights: np.ndarray  # (shape + selected words + 1) x domains
+    #: Domains that had too few examples.
+    unlearned: tuple[str, ...] = ()
 
     def posteriors(self, shape: np.ndarray, slots: np.ndarray, row: np.ndarray) -> np.ndarray:
         n = len(shape)
@@ -100,7 +111,7 @@ class Classifier(NamedTuple):
         pairs = np.unique(row[known] * len(self.slots) + feature[known])  # presence, not counts
         scores = shape @ self.weights[:SHAPE] + self.weights[-1]
         np.add.at(scores, pairs // max(len(self.slots), 1), self.weights[SHAPE:-1][pairs % max(len(self.slots), 1)])
-        return _softmax(scores)
+        return _softmax(SHARPNESS * scores)
 
 
 def _softmax(scores: np.ndarray) -> np.ndarray:
@@ -108,19 +119,39 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
     return odds / odds.sum(axis=1, keepdims=True)
 
 
-def _fit(domain: np.ndarray, k: int, shape: np.ndarray, present: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Softmax regression on the shape and on the words that tell domains apart best."""
-    n = len(domain)
-    counts = np.zeros((k, SLOTS), np.float32)
+def _likelihood(k: np.ndarray, n: int, share: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of k successes in n at their own share against another."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        hit = np.where(k > 0, k * np.log(k / (n * share)), 0)
+        miss = np.where(k < n, (n - k) * np.log((n - k) / (n * (1 - share))), 0)
+    return hit + miss
+
+
+def telling_words(domain: np.ndarray, k: int, present: list[np.ndarray]) -> np.ndarray:
+    """Slots of words that stand in more documents of a domain than chance explains:
+    by the likelihood ratio, which holds for small counts, at a level for all words tried."""
+    n, sizes = len(domain), np.bincount(domain, minlength=k)
+    counts = np.zeros((k, SLOTS), np.float64)
     for d, slots in zip(domain, present):
         counts[d, slots] += 1
-    total, sizes = counts.sum(axis=0), np.bincount(domain, minlength=k)
-    share = total / n
-    spread = np.sqrt(np.maximum(sizes[:, None] * share * (1 - share), 1e-9))
-    unusual = ((counts - sizes[:, None] * share) / spread).max(axis=0)
-    unusual[total < 3] = 0
-    chosen = np.argsort(-unusual, kind="stable")[:FEATURES]
-    chosen = np.sort(chosen[unusual[chosen] > 5])
+    total = counts.sum(axis=0)
+    tried = np.flatnonzero((total > 2) & (total < n))
+    if not len(tried):
+        return tried
+    share, least = total[tried] / n, 2 * np.log(len(tried) * k / CHANCE)
+    ratio = np.zeros(len(tried))
+    for d in range(k):
+        own, rest = counts[d, tried], total[tried] - counts[d, tried]
+        if sizes[d] < n:
+            both = 2 * (_likelihood(own, sizes[d], share) + _likelihood(rest, n - sizes[d], share))
+            ratio = np.maximum(ratio, np.where(own * n > total[tried] * sizes[d], both, 0))
+    best = np.argsort(-ratio, kind="stable")[:FEATURES]
+    return np.sort(tried[best[ratio[best] > least]])
+
+
+def _fit(domain: np.ndarray, k: int, shape: np.ndarray, present: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax regression on the shape and on the words that tell domains apart best."""
+    n, chosen = len(domain), telling_words(domain, k, present)
     place = np.full(SLOTS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     x = np.zeros((n, SHAPE + len(chosen) + 1))
@@ -186,8 +217,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     fitted = rows.groupBy().applyInArrow(fit, "domains string, slots binary, weights binary").first()
     domains = tuple(json.loads(fitted["domains"])) if fitted else ()
     if not domains:
-        return Classifier(("any",), np.zeros(0, np.int64), np.zeros((SHAPE + 1, 1)))
-    return Classifier(domains, np.frombuffer(fitted["slots"], np.int64), np.frombuffer(fitted["weights"]).reshape(-1, len(domains)))
+        return Classifier(("any",), np.zeros(0, np.int64), np.zeros((SHAPE + 1, 1)), DOMAINS)
+    slots, weights = np.frombuffer(fitted["slots"], np.int64), np.frombuffer(fitted["weights"]).reshape(-1, len(domains))
+    return Classifier(domains, slots, weights, tuple(d for d in DOMAINS if d not in domains))
 
 
 def domain_posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
@@ -211,87 +243,108 @@ def domain_posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, n_tokens bigint, " + ", ".join(f"{n} double" for n in names))
 
 
-def _rates(p: np.ndarray, past: np.ndarray, size: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the steps so far, and the point where the next gradient is taken."""
-    now = before = np.ones(len(p))
-    ahead = now
-    for k, pull in enumerate(past):
-        before, now = now, np.maximum(ahead - size * (p @ pull), 0)
+def _rates(p: np.ndarray, pulls: np.ndarray, common: float, since: int = 0, now=None, ahead=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rates after some steps, the point where the next gradient is taken, and how far the last step moved."""
+    now = np.full(len(p), common) if now is None else now
+    ahead, moved = now if ahead is None else ahead, np.zeros(len(p))
+    for k, pull in enumerate(pulls, since):
+        before = now
+        # No eigenvalue of the scaled squares exceeds one.
+        now = np.clip(ahead - (p @ pull + PULL * (ahead - common)) / (1 + PULL), 0, MOST_RATE)
+        moved = np.abs(now - ahead)
         ahead = now + k / (k + 3) * (now - before)
-    return now, ahead
+    return now, ahead, moved
 
 
 class Fit(NamedTuple):
     rates: DataFrame
     pulls: np.ndarray
-    size: float
+    budget: float
     domains: tuple[str, ...]
     targets: np.ndarray
     reached: np.ndarray
     steps: int
+    unlearned: tuple[str, ...] = ()
+
+    def summary(self, tolerance: float = 0.01) -> list[tuple[str, float, float | None, str]]:
+        """Per domain its target and what was reached, as shares of all tokens, and what is amiss."""
+        out = []
+        for name, target, reached in zip(self.domains, (self.targets * self.budget).tolist(), self.reached.tolist()):
+            out.append((name, target, reached, "" if abs(reached - target) <= tolerance else "no rates meet the targets"))
+        return out + [(name, 0.0, None, "too few labelled documents") for name in self.unlearned]
 
 
 def fit_rates(posteriors: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET, steps: int = STEPS) -> Fit:
     """posteriors (written) -> a rate for each document.
 
-    Steps are scaled by tokens (a document's rate moves by its posterior times the
-    residuals), so short and long documents with equal posteriors get equal rates.
+    Steps are scaled by tokens (a document's rate moves by its memberships times the
+    residuals), so short and long documents with equal memberships get equal rates.
     """
     names = [c for c in posteriors.columns if c.startswith("p_")]
     k = len(names)
     t = F.col("n_tokens").cast("double")
-    squares = [F.sum(t * F.col(a) * F.col(b)) for a in names for b in names]
-    sums = [float(x or 0) for x in posteriors.agg(F.sum(t), *squares).first()]
-    total, square = max(sums[0], 1.0), np.array(sums[1:]).reshape(k, k)
-    # Posteriors add up to one: a row of the squares sums to the domain's tokens.
-    still = np.minimum(OWN_TOLERANCE * np.maximum(square.sum(axis=1) / total, 1e-9), TOLERANCE)
+    sums = [float(x or 0) for x in posteriors.agg(F.sum(t), *[F.sum(t * F.col(a)) for a in names]).first()]
+    total, sizes = max(sums[0], 1.0), np.maximum(np.array(sums[1:]) / max(sums[0], 1.0), 1e-9)
     weights = np.array([max(targets.get(n[2:], 0.0), 0.0) for n in names])
     weights = weights / weights.sum() if weights.sum() else np.full(k, 1 / k)
     wanted = weights * budget
-    size = 1 / max(np.linalg.eigvalsh(square / total)[-1], 1e-9)
+    kind = posteriors.schema["doc_id"].dataType.simpleString()
+    state, since = posteriors.select("doc_id", "n_tokens", *names), 0
+    past: list[np.ndarray] = []
+
+    def replay(batch, pulls):
+        p = np.stack([batch.column(i + 2).to_numpy(zero_copy_only=False) for i in range(k)], axis=1)
+        kept = [batch.column(i + k + 2).to_numpy(zero_copy_only=False) for i in range(2)] if since else [None, None]
+        return p, *_rates(p, pulls, budget, since, *kept)
 
-    def sums_at(past, final):
+    def sums_at(pulls, final=False):
         def add(batches):
             import pyarrow as pa
 
-            reached = np.zeros(k)
+            reached, drift = np.zeros(k), np.zeros(k)
             for batch in batches:
-                p = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(k)], axis=1)
-                rate = _rates(p, past, size)[0 if final else 1]
-                reached += (rate * batch.column(0).to_numpy(zero_copy_only=False)) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in reached.tolist()], names)
+                p, now, ahead, moved = replay(batch, pulls)
+                tokens = batch.column(1).to_numpy(zero_copy_only=False)
+                reached += ((now if final else ahead) * tokens) @ p
+                drift += (moved * tokens) @ p
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in [*reached, *drift]], [*names, *[f"d{n}" for n in names]])
+
+        columns = [*names, *[f"d{n}" for n in names]]
+        parts = state.mapInArrow(add, ", ".join(f"{c} double" for c in columns))
+        found = np.array([float(x or 0) for x in parts.agg(*[F.sum(c) for c in columns]).first()]) / total
+        return found[:k], found[k:] / sizes
+
+    def with_rates(pulls, *columns):
+        def add(batches):
+            import pyarrow as pa
 
-        parts = posteriors.select("n_tokens", *names).mapInArrow(add, ", ".join(f"{n} double" for n in names))
-        return np.array([float(x or 0) for x in parts.agg(*[F.sum(n) for n in names]).first()]) / total
+            for batch in batches:
+                p, now, ahead, _ = replay(batch, pulls)
+                own = [batch.column(i) for i in range(k + 2)]
+                # Sums over partitions agree to the last digits only.
+                new = {"rate": now.round(6), "now": now, "ahead": ahead}
+                yield pa.RecordBatch.from_arrays([*own, *[pa.array(new[c]) for c in columns]], ["doc_id", "n_tokens", *names, *columns])
+
+        return state.mapInArrow(add, f"doc_id {kind}, n_tokens bigint, " + ", ".join(f"{c} double" for c in (*names, *columns)))
 
-    past: list[np.ndarray] = []
     for _ in range(steps):
-        residual = sums_at(np.array(past).reshape(-1, k), False) - wanted
-        past.append(residual)
-        # At the optimum the residuals stand still, also where no rates meet the targets.
-        if len(past) > 3 and (np.abs(np.diff(past[-4:], axis=0)) < still).all():
+        reached, drift = sums_at(np.array(past[since:]).reshape(-1, k))
+        if len(past) > max(since, 1) and (drift < TOLERANCE).all():
             break
-    pulls = np.array(past).reshape(-1, k)
-    kind = posteriors.schema["doc_id"].dataType.simpleString()
-
-    def rate(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            p = np.stack([batch.column(i + 2).to_numpy(zero_copy_only=False) for i in range(k)], axis=1)
-            # Sums over partitions agree to the last digits only.
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_rates(p, pulls, size)[0].round(6))], [*batch.schema.names, "rate"])
-
-    rates = posteriors.select("doc_id", "n_tokens", *names).mapInArrow(
-        rate, f"doc_id {kind}, n_tokens bigint, " + ", ".join(f"{n} double" for n in names) + ", rate double"
-    )
-    return Fit(rates, pulls, size, tuple(n[2:] for n in names), weights, sums_at(pulls, True), len(past))
+        past.append((reached - wanted) / sizes)
+        if len(past) - since == ROUND:
+            written = staged(with_rates(np.array(past[since:]), "now", "ahead"), "rates")
+            state, since = written, len(past)
+    pulls = np.array(past[since:]).reshape(-1, k)
+    rates = with_rates(pulls, "rate")
+    return Fit(rates, np.array(past).reshape(-1, k), budget, tuple(n[2:] for n in names), weights, sums_at(pulls, True)[0], len(past))
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> Fit:
-    """Posteriors and rates of all documents."""
-    posteriors = staged(domain_posteriors(docs, fit_classifier(docs, labels)), "posteriors")
-    return fit_rates(posteriors, targets, budget)
+    """Memberships and rates of all documents."""
+    classifier = fit_classifier(docs, labels)
+    fit = fit_rates(staged(domain_posteriors(docs, classifier), "posteriors"), targets, budget)
+    return fit._replace(unlearned=classifier.unlearned)
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> DataFrame:
@@ -301,7 +354,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     """
     classifier = fit_classifier(docs, labels)
     fit = fit_rates(staged(domain_posteriors(docs, classifier), "posteriors"), targets, budget)
-    model = docs.sparkSession.sparkContext.broadcast((tuple(classifier), fit.pulls, fit.size))
+    model = docs.sparkSession.sparkContext.broadcast((tuple(classifier), fit.pulls, budget))
     names = ["n_tokens", *[f"p_{d}" for d in classifier.domains], "rate"]
     own = [c for c in docs.columns if c not in names]
     at = own.index("text")
@@ -309,12 +362,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     def add(batches):
         import pyarrow as pa
 
-        known, pulls, size = model.value
+        known, pulls, common = model.value
         known = Classifier(*known)
         for batch in batches:
             for a, b, tokens, shape, slots, row in describe(batch.column(at)):
                 p = known.posteriors(shape, slots, row)
-                rate = _rates(p, pulls, size)[0].round(6)
+                rate = _rates(p, pulls, common)[0].round(6)
                 new = [pa.array(tokens, pa.int64()), *[pa.array(p[:, k]) for k in range(p.shape[1])], pa.array(rate)]
                 rows = pa.RecordBatch.from_arrays([*[c[a:b] for c in batch.columns], *new], [*batch.schema.names, *names])
                 yield rows.filter(pa.array(rate > 0))

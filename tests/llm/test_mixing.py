@@ -97,3 +97,27 @@ def test_edges(spark, frame, edge_rows):
     alone = mixing.mixing_rates(docs, labels.limit(0))
     assert alone.domains == ("any",) and alone.rates.count() == len(rows)
     assert mixing.mixing_rates(docs.limit(0), labels).rates.count() == 0
+
+
+def test_whole_query_against_plain_descent_and_targets_out_of_reach(spark, frame):
+    rows, kinds = made(80)
+    docs, labels = frame(rows), labels_of(spark, kinds, lambda k: True)
+    fit = mixing.mixing_rates(docs, labels)
+    got = sorted(fit.rates.collect(), key=lambda r: r["doc_id"])
+    p = np.array([[r[f"p_{d}"] for d in fit.domains] for r in got])
+    tokens = np.array([r["n_tokens"] for r in got])
+    assert tokens.tolist() == [len(t.split()) for _, t in sorted(rows)]
+    share, size = tokens / tokens.sum(), tokens @ p / tokens.sum()
+    plain = np.full(len(got), mixing.BUDGET)
+    for _ in range(5000):
+        off = ((plain * share) @ p - fit.targets * mixing.BUDGET) / size
+        plain = np.clip(plain - 0.9 * (p @ off + mixing.PULL * (plain - mixing.BUDGET)), 0, mixing.MOST_RATE)
+    rate = np.array([r["rate"] for r in got])
+    # A fit ends while single rates still move a little; the totals of domains no longer do.
+    assert np.abs((rate * share) @ p - (plain * share) @ p).max() < 1e-3 and np.allclose(rate, plain, rtol=0.05, atol=0.1)
+    assert [why for *_, why in fit.summary()] == [""] * 3
+    # More than MOST_RATE times the toxic tokens there are.
+    wanted = mixing.mixing_rates(docs, labels, {"toxic": 1.0}, 8.0)
+    assert dict((name, why) for name, _, _, why in wanted.summary())["toxic"] == "no rates meet the targets"
+    few = mixing.mixing_rates(docs, labels.filter("toxic = 0 OR doc_id < 8"))
+    assert few.domains == ("clean", "poor") and few.summary()[-1] == ("toxic", 0.0, None, "too few labelled documents")
