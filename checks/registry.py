@@ -12,7 +12,7 @@ from checks.tables import LAST_YEAR, DerivedTables
 from estilens.functions import codes as C
 from estilens.functions.sizes import size_bracket, size_gap
 from estilens.keys import PERIOD, SELECTION, SERIES, UNIT_GROUP
-from estilens.operators import basic, catalog, detail, estimates, history, models, navigation, periods, sample, whatif
+from estilens.operators import basic, catalog, detail, estimates, history, intervals, models, navigation, periods, sample, whatif
 
 QUERIES: dict[str, Callable[[DerivedTables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -488,6 +488,57 @@ def size_gaps(t):
                            size_gap(pm, cm, F.col("selection_size")).alias("szgap"))
 
 
+# Squares of part sizes: brackets that overlap, and gaps where a size is left out.
+_BRACKETS = """SELECT DISTINCT p_size AS size, (p_size * p_size)::BIGINT AS low, (p_size * p_size + 3 * p_size)::BIGINT AS high
+  FROM part WHERE p_size % 5 <> 0 AND p_size % 7 <> 0"""
+
+
+def _brackets(t):
+    size = F.col("p_size").cast("bigint")
+    return t.read("part").filter((size % 5 != 0) & (size % 7 != 0)).select(
+        size.alias("size"), (size * size).alias("low"), (size * size + 3 * size).alias("high")).distinct()
+
+
+@query(f"""
+  WITH b AS ({_BRACKETS})
+  SELECT {S.SEL}, report_id, pm_value, size::BIGINT AS size, low, high FROM fx_sample LEFT JOIN b ON pm_value BETWEEN low AND high""")
+def bracket_join(t):
+    """Every bracket of a report's employment, from a table of brackets."""
+    return intervals.in_intervals(t.sample.select(*SELECTION, "report_id", "pm_value"), "pm_value", _brackets(t), "low", "high", "left")
+
+
+@query(f"""
+  WITH b AS ({_BRACKETS}), s AS (
+    SELECT {S.SEL}, report_id, selection_size::BIGINT AS selsize, (SELECT max(size) FROM b WHERE pm_value BETWEEN low AND high)::BIGINT AS pm_size,
+      (SELECT max(size) FROM b WHERE cm_value BETWEEN low AND high)::BIGINT AS cm_size FROM fx_sample)
+  SELECT {S.SEL}, report_id, pm_size, cm_size, greatest(greatest(pm_size, cm_size) - selsize, 0) AS szgap FROM s""")
+def size_gaps_by_table(t):
+    rows = t.sample.select(*SELECTION, "report_id", F.col("pm_value").alias("pm"), F.col("cm_value").alias("cm"), F.col("selection_size").alias("selsize"))
+    return intervals.sizes_by_table(rows, _brackets(t)).drop("pm", "cm", "selsize")
+
+
+_PLACE = f"""row_number() OVER (PARTITION BY {S.SEL} ORDER BY flag NULLS FIRST, abs(wotm) DESC NULLS FIRST, reptstate NULLS FIRST,
+  ui NULLS FIRST, report NULLS FIRST, is_knr) AS row_index"""
+
+
+@query(f"SELECT {S.SEL}, report, flag, {_PLACE} FROM detail")
+def detail_order(t):
+    """The place of each report in the display order of its selection."""
+    return detail.numbered(t.detail, t.root).select(*SELECTION, "report", "flag", "row_index")
+
+
+@query(f"SELECT {S.SEL}, {', '.join(UNIT_GROUP)}, {_PLACE} FROM rollup")
+def rollup_order(t):
+    return detail.numbered(t.units, t.root).select(*SELECTION, *UNIT_GROUP, "row_index")
+
+
+@query(f"""
+  SELECT {S.SEL}, {', '.join(UNIT_GROUP)}, {_PLACE} FROM (
+    SELECT *, {_PLACE.replace('row_index', 'i')} FROM rollup) WHERE i <= 3 OR flag = 'X' OR flag <> origflag""")
+def shortlist_order(t):
+    return detail.numbered(detail.review_shortlist(t.units, k=3), t.root).select(*SELECTION, *UNIT_GROUP, "row_index")
+
+
 @query("SELECT * FROM rollup")
 def ui_rollup(t):
     return t.units

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import cached_property
 from pathlib import Path
 
@@ -16,6 +17,7 @@ from estilens.operators.catalog import series_structure
 from estilens.operators.detail import sample_detail, ui_rollup
 from estilens.operators.history import sample_history
 from estilens.operators.sample import published_values, sample_summary, weighted_sample
+from estilens.plans.stages import run_root
 
 BENCHMARK_YEAR = "2000"
 # The last year of the test tables.
@@ -37,6 +39,17 @@ class DerivedTables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def root(self) -> str:
+        """A folder of this run for tables that queries write, below the shared one.
+
+        A local session that names no shared folder gets a temporary one.
+        """
+        context = self.spark.sparkContext
+        if not (self.spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()) and context.master.startswith("local["):
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="estilens-"))
+        return run_root(self.spark)
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 

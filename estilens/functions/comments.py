@@ -23,20 +23,19 @@ def adjustment_parts(comment: Column) -> dict[str, Column]:
 
 def adjustment_label(kind: Column, amount: Column, subtype: Column, reason: Column,
                      sample_adjustment: Column) -> Column:
-    """Short text such as 'MS-m: 912'; the plain adjustment when nothing parsed."""
-    label = (
-        F.when(
-            reason.isin("MS", "SI") & (kind == "OT"),
-            F.concat(reason, F.lit("-"), F.lower(F.substring(subtype, 3, 1)), F.lit(": "), amount),
-        )
-        .when(
-            kind == "RW",
-            F.concat(F.lit("RW-"), F.lower(F.substring(subtype, 1, 1)), F.lit(": "), amount),
-        )
-        .when(kind == "Manual", F.concat(F.lit("RW-m: "), amount))
-        .otherwise(F.concat(kind, F.lit(": "), amount))
-    )
-    return F.coalesce(label, sample_adjustment.cast("bigint").cast("string"))
+    """Short text such as 'MS-m: 912'; the plain adjustment when nothing parsed.
+
+    The text is a name and the amount.  An adjustment over the month that has a reason
+    of its own is named by it, reweighting of both sorts by RW, the rest by their type.
+    Behind RW and a reason stands the letter of the subtype that tells variants apart.
+    """
+    by_reason = F.coalesce((kind == "OT") & reason.isin("MS", "SI"), F.lit(False))
+    reweighted = kind.isin("RW", "Manual")
+    name = F.when(by_reason, reason).when(reweighted, F.lit("RW")).otherwise(kind)
+    place = F.when(by_reason, 3).when(kind == "RW", 1)
+    letter = F.when(kind == "Manual", F.lit("m")).otherwise(F.lower(F.substring(subtype, place, F.lit(1))))
+    full = F.when(by_reason | reweighted, F.concat(name, F.lit("-"), letter)).otherwise(name)
+    return F.coalesce(F.concat(full, F.lit(": "), amount), sample_adjustment.cast("bigint").cast("string"))
 
 
 def moved_to_first_link(estimator: Column, comment: Column) -> Column:

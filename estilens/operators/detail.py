@@ -10,6 +10,7 @@ from estilens.functions import numbers as N
 from estilens.functions.sizes import size_bracket, size_gap
 from estilens.keys import PERIOD, SELECTION, SERIES, UNIT_GROUP, keyed
 from estilens.operators import periods as P
+from estilens.operators.ranks import with_rank
 from estilens.operators.sample import earlier_release_value, look_back_distances, prior_release_value
 
 # The report a row belongs to, which is found again in other periods.
@@ -123,6 +124,12 @@ def display_order(*keys: str) -> list[Column]:
     ]
 
 
+def numbered(rows: DataFrame, root: str | None = None) -> DataFrame:
+    """Report or unit rows with their place in the display order of their selection."""
+    order = [*display_order(), *([F.col("is_knr")] if "is_knr" in rows.columns else [])]
+    return with_rank(rows, order, SELECTION, "row_index", root=root)
+
+
 def ui_rollup(detail: DataFrame, link_base: str = "") -> DataFrame:
     """Reports added up per unit, flag and knr mark.
 
