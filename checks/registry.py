@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from checks import sql as S
 from checks.tables import LAST_YEAR, DerivedTables
 from estilens.functions import codes as C
 from estilens.functions.sizes import size_bracket, size_gap
 from estilens.keys import PERIOD, SELECTION, SERIES, UNIT_GROUP
-from estilens.operators import basic, catalog, detail, estimates, history, intervals, models, navigation, periods, sample, whatif
+from estilens.operators import basic, catalog, detail, estimates, history, intervals, models, navigation, periods, ranks, sample, whatif
+from estilens.sources import readers
 
 QUERIES: dict[str, Callable[[DerivedTables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -420,6 +422,24 @@ def history_table(t):
     return table.withColumnsRenamed({m: _column(m) for m in _LABELS})
 
 
+_CELLS = ", ".join(f"max(value) FILTER (back = {k}) AS m{k:02d}" for k in range(1, 19))
+
+
+@query(f"""
+  WITH m AS (
+    SELECT *, bool_or(coalesce(value, '') NOT IN ('0', '0.0')) OVER (PARTITION BY {S.KS}, sel_year, sel_month, sel_closing, rowtitle) AS keep FROM (
+      SELECT {S.KS}, sel_year, sel_month, sel_closing, unnest(['Orig Est', 'Sample Adj', 'NSE', 'Est Adj', 'Ratio Adj', 'Pub Est']) AS rowtitle,
+        {S.MONTH_NAME.format('month')} || '-' || right(year, 2) AS label, back,
+        unnest([orig_est::VARCHAR, sample_adj::VARCHAR, nse::VARCHAR, est_adj, ratio_adj::VARCHAR, rvalue::VARCHAR]) AS value
+      FROM (SELECT *, row_number() OVER (PARTITION BY {S.KS}, sel_year, sel_month, sel_closing ORDER BY year DESC, month DESC) AS back FROM release_history)
+      WHERE back <= 18))
+  SELECT {S.KS}, sel_year, sel_month, sel_closing, rowtitle, string_agg(label, ',' ORDER BY back) AS month_labels, {_CELLS}
+  FROM m WHERE keep GROUP BY {S.KS}, sel_year, sel_month, sel_closing, rowtitle""")
+def history_by_position(t):
+    """The history table of every release, each with its own months as columns."""
+    return estimates.history_by_position(estimates.series_history(t.estimates, releases=t.periods))
+
+
 @query("SELECT * FROM release_history")
 def release_history(t):
     """The history of each series as each release shows it."""
@@ -741,6 +761,55 @@ def options_first_seen(t):
     return basic.options_first_seen(rows, "group", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
 
 
+_ORDERS = "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderpriority string"
+
+
+def _orders_csv(t, line):
+    """The orders as CSV files, in the order of their keys, in a folder of this run."""
+    path = f"{t.root}/orders_csv"
+    rows = t.read("orders").repartitionByRange(6, "o_orderkey").sortWithinPartitions("o_orderkey")
+    rows.select(line).write.mode("overwrite").text(path)
+    return path
+
+
+def _csv_line():
+    """Every 17th line lacks a field, every 19th has one too many, every 23rd a word for a number."""
+    key = F.col("o_orderkey")
+    price = F.when(key % 23 == 0, "much").otherwise(F.col("o_totalprice").cast("string"))
+    fields = [key.cast("string"), F.col("o_custkey").cast("string"), price, F.when(key % 17 != 0, F.col("o_orderpriority")), F.when(key % 19 == 0, "more")]
+    return F.concat_ws(",", *fields).alias("line")
+
+
+_BROKEN = "(o_orderkey % 23 = 0 OR (o_orderkey % 17 = 0) <> (o_orderkey % 19 = 0))"
+
+
+@query(f"""SELECT o_orderkey, o_custkey, o_totalprice::DOUBLE AS o_totalprice, CASE WHEN o_orderkey % 17 = 0 THEN 'more' ELSE o_orderpriority END AS o_orderpriority
+  FROM orders WHERE NOT {_BROKEN}""")
+def csv_rows(t):
+    """Lines of a CSV that fit its schema; a line that lacks a field and has one too many does."""
+    schema = _parse_datatype_string(_ORDERS)
+    return readers.ingest_csv(t.spark, _orders_csv(t, _csv_line()), schema, header=False, root=t.root).rows
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 23 = 0 THEN 'number' WHEN o_orderkey % 17 = 0 THEN 'few' ELSE 'many' END AS why FROM orders WHERE {_BROKEN}""")
+def csv_rejects(t):
+    schema = _parse_datatype_string(_ORDERS)
+    rejects = readers.ingest_csv(t.spark, _orders_csv(t, _csv_line()), schema, header=False, root=t.root).rejects
+    fields = F.split("record", ",")
+    why = F.when(F.array_contains(fields, "much"), "number").when(F.size(fields) < 4, "few").otherwise("many")
+    return rejects.select(fields[0].cast("bigint").alias("o_orderkey"), why.alias("why"))
+
+
+@query("""SELECT option, row_number() OVER (ORDER BY first_key) AS place FROM (
+  SELECT o_orderpriority || '/' || (o_custkey % 10) AS option, min(o_orderkey) AS first_key FROM orders GROUP BY ALL)""")
+def options_in_file_order(t):
+    """Options of CSV files in the order in which the files have them."""
+    option = F.concat(F.col("o_orderpriority"), F.lit("/"), (F.col("o_custkey") % 10).cast("string"))
+    rows = t.spark.read.schema("option string").csv(_orders_csv(t, option.alias("line")))
+    options = basic.options_first_seen(readers.with_file_place(rows), "option", F.col("file_place"))
+    return ranks.with_rank(options, [F.col("first_seen")], name="place", root=t.root).select("option", "place")
+
+
 @query("""WITH o AS (SELECT l_returnflag || l_linestatus AS option, min(l_orderkey * 100 + l_linenumber) AS first_seen FROM lineitem GROUP BY ALL)
   SELECT coalesce(max(option) FILTER (option = 'NF'), arg_min(option, first_seen)) AS option FROM o""")
 def requested_or_first(t):

@@ -377,11 +377,12 @@ HISTORY_MEASURES = {
 }
 
 
-def history_matrix(history: DataFrame, months: int = 18) -> DataFrame:
+def history_matrix(history: DataFrame, months: int = 18, with_place: bool = False) -> DataFrame:
     """Six measures by month in long form, without measures that are all zero.
 
     Values are text because the estimate adjustment may be a label.  Original
-    and published estimates carry their change from the month before.
+    and published estimates carry their change from the month before.  with_place
+    adds back: 1 for the newest month of the history, 2 for the one before it.
     """
     group = _history_group(history)
     by_series = Window.partitionBy(*group)
@@ -402,7 +403,7 @@ def history_matrix(history: DataFrame, months: int = 18) -> DataFrame:
         })
         .filter(F.col("held") - F.col("position") < months)
         .withColumn("m", measures)
-        .select(*group, "year", "month", "position", "m.*")
+        .select(*group, "year", "month", "position", (F.col("held") - F.col("position") + 1).alias("back"), "m.*")
         .withColumn("any_shown", F.max(shown).over(by_measure))
         .withColumn("before", before)
         .filter("any_shown")
@@ -414,6 +415,33 @@ def history_matrix(history: DataFrame, months: int = 18) -> DataFrame:
                 F.col("rowtitle").isin("Orig Est", "Pub Est") & F.col("before").isNotNull() & (number != 0),
                 number - F.col("before"),
             ).alias("change"),
+            *(["back"] if with_place else []),
+        )
+    )
+
+
+def history_by_position(history: DataFrame, months: int = 18) -> DataFrame:
+    """The history table with months as columns, counted back from the newest one.
+
+    m01 is the newest month of a history, m02 the one before it; month_labels names
+    them in that order.  Columns do not depend on the data, so histories of any
+    releases, with their own months each, stand in one table.  Two values for one
+    cell are an error.
+    """
+    matrix = history_matrix(history, months, with_place=True)
+    names = {k: f"m{k:02d}" for k in range(1, months + 1)}
+
+    def cell(k: int, column: str) -> Column:
+        return F.max(F.when(F.col("back") == k, F.col(column)))
+
+    twice = F.count(F.lit(1)) > F.count_distinct("back")
+    # One sort key and value per month, put in order once the group is complete.
+    labels = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("back", "label"))), lambda x: x["label"]), ",")
+    return (
+        matrix.groupBy(*_history_group(matrix), "rowtitle")
+        .agg(
+            F.when(twice, F.raise_error(F.lit("a month occurs twice in a history"))).otherwise(labels).alias("month_labels"),
+            *[cell(k, "value").alias(name) for k, name in names.items()],
         )
     )
 
@@ -427,8 +455,11 @@ def history_labels(year: int) -> list[str]:
 def history_table(matrix: DataFrame, labels: list[str]) -> DataFrame:
     """The same table with months as columns; the months are given, not searched for.
 
-    Two values for one cell are an error.
+    A month of the matrix that is not among them is an error, as are two values for
+    one cell.  history_by_position needs no months.
     """
+    unknown = F.raise_error(F.concat(F.lit("a history has a month that no column was given for: "), F.col("label")))
+    matrix = matrix.withColumn("label", F.when(F.col("label").isin(labels), F.col("label")).otherwise(unknown))
     twice = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("a month occurs twice in a history")).cast("string"))
     return (
         matrix.groupBy(*_history_group(matrix), "rowtitle")

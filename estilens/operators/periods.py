@@ -225,19 +225,25 @@ def viewed(needed: DataFrame) -> DataFrame:
     return needed.select(*PERIOD, VIEW).distinct()
 
 
-def as_read(facts: DataFrame, needed: DataFrame) -> DataFrame:
+def held_periods(facts: DataFrame) -> DataFrame:
+    """The periods that each vintage holds: a table to write beside an archive."""
+    return facts.select("vintage", *PERIOD).distinct()
+
+
+def as_read(facts: DataFrame, needed: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """Facts as the releases read them: a row for each view its vintage belongs to.
 
     facts carries a vintage column (a partition column on disk, so vintages that
     no release needs are pruned).  In a view of two vintages a month and closing
     that both hold is taken from the newer one.  The tables of views and of the
-    periods that vintages hold follow the calendar.
+    periods that vintages hold follow the calendar.  With held (held_periods, kept
+    beside the facts) the facts are read once; without it their keys are read before.
     """
     views = needed.select(VIEW, "rank", "vintage").distinct()
     rows = facts.join(views, "vintage")
     two = views.filter("rank > 0").select(VIEW, F.col("rank").alias("older"))
     newer = views.filter("rank = 0").join(two, VIEW).select(VIEW, "vintage", F.col("older").alias("rank"))
-    taken = facts.select("vintage", *PERIOD).distinct().join(newer, "vintage").select(VIEW, "rank", *PERIOD)
+    taken = (held_periods(facts) if held is None else held).join(newer, "vintage").select(VIEW, "rank", *PERIOD)
     return rows.join(taken, [VIEW, "rank", *PERIOD], "left_anti").drop("rank", "vintage")
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from estilens.keys import AREA_SERIES, PERIOD, SELECTION, VIEW
+from estilens.keys import AREA_SERIES, PERIOD, VIEW
 from estilens.operators import catalog, detail, estimates, models, periods, sample, whatif
 from estilens.operators import history as sample_histories
 from estilens.plans.stages import run_root, staged
@@ -103,13 +107,58 @@ def review(tables: ReviewTables, releases: list[tuple[str, str, str]], k: int =
     return {name: rows.drop(VIEW) for name, rows in result.items()}
 
 
-def write_review(result: dict[str, DataFrame], root: str) -> None:
-    """Write every table of a review as Parquet, split by release where it has one."""
+# The columns that hold the release, as results name them.
+_RELEASE_COLUMNS = (("sel_year", "sel_month", "sel_closing"), ("cur_year", "cur_month", "cur_closing"), PERIOD)
+_MANIFEST = "_manifest"
+
+
+def _release_columns(rows: DataFrame) -> tuple[str, ...]:
+    return next(columns for columns in _RELEASE_COLUMNS if set(columns) <= set(rows.columns))
+
+
+def write_review(result: dict[str, DataFrame], root: str, releases: list[tuple[str, str, str]]) -> str:
+    """Write every table of a review below root and return the name of the run.
+
+    A run writes folders of its own (<table>/run=<name>, split by release), and at the
+    end one file in the manifest that says which releases it holds.  Readers follow
+    the manifest, so a run that dies changes nothing for them, can be repeated, and a
+    later run of a release replaces exactly that release in all tables at once.
+    """
+    run = uuid.uuid4().hex
     for name, rows in result.items():
-        writer = rows.write
-        if set(SELECTION) <= set(rows.columns):
-            writer = writer.partitionBy("year", "month")
-        writer.parquet(f"{root}/{name}")
+        # With a letter in front, so that readers take it for text.
+        release = F.concat_ws("_", F.lit("r"), *[F.col(c) for c in _release_columns(rows)])
+        rows.withColumn("release", release).write.partitionBy("release").parquet(f"{root}/{name}/run={run}")
+    spark = next(iter(result.values())).sparkSession
+    schemas = F.create_map(*[F.lit(x) for name, rows in result.items() for x in (name, rows.schema.json())])
+    written = release_table(spark, releases).withColumns({"run": F.lit(run), "written": F.current_timestamp(), "schemas": schemas})
+    written.coalesce(1).write.mode("append").parquet(f"{root}/{_MANIFEST}")
+    return run
+
+
+def current_runs(spark: SparkSession, root: str, table: str) -> list[tuple[str, str, list[str]]]:
+    """(run, schema, releases) for the runs that hold a table, by the manifest: of
+    several runs of a release the last one counts."""
+    rows = spark.read.parquet(f"{root}/{_MANIFEST}")
+    last = rows.groupBy(*PERIOD).agg(F.max_by(F.struct("run", F.col("schemas")[table].alias("schema")), F.struct("written", "run")).alias("m"))
+    release = F.concat_ws("_", F.lit("r"), *PERIOD)
+    held = last.filter("m.schema IS NOT NULL").groupBy("m.run", "m.schema").agg(F.sort_array(F.collect_list(release)).alias("releases"))
+    return [tuple(r) for r in held.orderBy("run").collect()]  # a row per run, a name per release
+
+
+def read_review(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table of the written review: every release from its last complete run.
+
+    Runs and releases are chosen by constants, so other partitions are not read.
+    """
+    parts = []
+    for run, schema, releases in current_runs(spark, root, name):
+        stored = StructType([*StructType.fromJson(json.loads(schema)).fields, StructField("release", StringType())])
+        rows = spark.read.schema(stored).parquet(f"{root}/{name}/run={run}")
+        parts.append(rows.filter(F.col("release").isin(*releases)).drop("release"))
+    if not parts:
+        raise ValueError(f"no complete run holds {name}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def release_table(spark: SparkSession, releases: list[tuple[str, str, str]]) -> DataFrame:

@@ -10,7 +10,7 @@ from checks.tables import DerivedTables
 from estilens.keys import PERIOD
 from estilens.operators import detail, estimates, sample
 from estilens.operators import periods
-from estilens.plans.review import ReviewTables, of_series, review, write_review
+from estilens.plans.review import ReviewTables, of_series, read_review, review, write_review
 from estilens.plans.stages import run_root, stage_root, staged
 from estilens.sources import readers, schemas
 
@@ -83,7 +83,7 @@ def test_review_of_one_series_equals_the_review_of_all(spark, tmp_path):
     tables = ReviewTables(t.estimates, t.sample, t.structure, t.small_domain, t.third_gen)
     asked = [("2000", "06", "2")]
     everything = review(tables, asked, k=2, stage=True)
-    write_review(everything, str(tmp_path / "out"))
+    write_review(everything, str(tmp_path / "out"), asked)
     key = everything["sample_detail_by_ui"].select("state_fips_code", "area_fips_code", "series_code").first()
     single = review(of_series(tables, *key), asked, k=2)
     for name in ("sample_summary", "sample_detail_by_ui", "estimate_comparison", "series_history"):
@@ -91,7 +91,10 @@ def test_review_of_one_series_equals_the_review_of_all(spark, tmp_path):
             (F.col("state_fips_code") == key[0]) & (F.col("area_fips_code") == key[1]) & (F.col("series_code") == key[2]))
         rows = sorted(map(str, single[name].collect()))
         assert rows and rows == sorted(map(str, whole.select(*single[name].columns).collect())), name
-    assert {p.name for p in (tmp_path / "out").iterdir()} == set(everything)
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {*everything, "_manifest"}
+    for name in ("sample_summary", "series_history"):
+        again = read_review(spark, str(tmp_path / "out"), name)
+        assert again.schema == everything[name].schema and sorted(map(str, again.collect())) == sorted(map(str, everything[name].collect())), name
 
 
 def test_stages_are_written_under_the_stage_root(spark):
