@@ -12,7 +12,7 @@ from checks import sql as S
 from checks.tables import LAST_YEAR, DerivedTables
 from estilens.functions import codes as C
 from estilens.functions.sizes import size_bracket, size_gap
-from estilens.keys import PERIOD, SELECTION, SERIES, UNIT_GROUP
+from estilens.keys import PERIOD, SELECTION, SERIES, UNIT_GROUP, VIEW
 from estilens.operators import basic, catalog, detail, estimates, history, intervals, models, navigation, periods, ranks, sample, whatif
 from estilens.sources import readers
 
@@ -446,6 +446,76 @@ def release_history(t):
     return estimates.series_history(t.estimates, releases=t.periods)
 
 
+# --- releases of several vintages that hold other values for the same months -------
+
+def restated(columns: str, table: str, release: str = "sel_year, sel_month, sel_closing"):
+    def register(build):
+        QUERIES[build.__name__] = build
+        ORACLES[build.__name__] = S.restated(columns, table, release)
+        return build
+    return register
+
+
+@restated("*", "release_history")
+def restated_history(t):
+    """Each release's history by its own vintages."""
+    return estimates.series_history(t.viewed_estimates, releases=periods.viewed(t.release_vintages))
+
+
+@restated(f"{S.SEL}, upper_tolerance, lower_tolerance", "tolerated", S.PER)
+def restated_tolerance(t):
+    rows = periods.on_periods(estimates.inherit_tolerance(t.viewed_estimates), periods.viewed(t.release_vintages))
+    return rows.select(*SELECTION, "upper_tolerance", "lower_tolerance")
+
+
+@restated(_PANEL, "panel")
+def restated_panel(t):
+    raw = estimates.adjustment_decomposition(estimates.inherit_tolerance(t.viewed_estimates))
+    requests = periods.release_requests(periods.viewed(t.release_vintages))
+    return estimates.period_panel(raw, t.structure, requests).select(*_columns(_PANEL))
+
+
+@restated(_INFO, "info")
+def restated_info(t):
+    return t.viewed_info.select(*_columns(_INFO))
+
+
+@restated("*", "comparison")
+def restated_comparison(t):
+    return estimates.estimate_comparison(t.viewed_info).drop("crossed", VIEW)
+
+
+@restated("*", "detail", S.PER)
+def restated_detail(t):
+    return t.viewed_detail.drop(VIEW)
+
+
+@restated("*", "sample_history", "cur_year, cur_month, cur_closing")
+def restated_sample_history(t):
+    return history.sample_history(t.viewed_weighted, t.viewed_detail)
+
+
+@query(f"""
+  SELECT {S.K4}, {S.PER}, n / (n + 1) + CASE WHEN main = 'current' THEN 0 ELSE 1 END AS weight_y1
+  FROM fx_estimates JOIN (SELECT {S.PER}, vintage AS main FROM release_vintages WHERE rank = 0) USING ({S.PER}) WHERE data_type_code = '01'""")
+def model_vintages(t):
+    """Model rows of each release, from the archive or the current table."""
+    return models.of_vintage(t.model_versions, t.release_vintages).select(*SERIES, *PERIOD, "weight_y1")
+
+
+def vintage_partitions(t):
+    """The same estimates from one scan of a table with a folder per vintage, its periods kept beside it."""
+    path = f"{t.root}/restated_estimates"
+    t.restated_estimates.write.mode("overwrite").partitionBy("vintage").parquet(path)
+    periods.held_periods(t.restated_estimates).write.mode("overwrite").parquet(f"{path}_periods")
+    facts = readers.read_vintage_partitions(t.spark, path, t.restated_estimates.schema)
+    held = t.spark.read.parquet(f"{path}_periods")
+    return periods.as_read(facts, t.release_vintages, held).select("view", *SERIES, *PERIOD, "published_estimate_value")
+
+
+QUERIES["vintage_partitions"], ORACLES["vintage_partitions"] = vintage_partitions, ORACLES["vintage"]
+
+
 # --- sample ------------------------------------------------------------------
 
 _WEIGHTED = f"{S.SEL}, report_id, a_typ_flag, cont_tot_dwnwght, wgt, wpm, wcm, wotm"

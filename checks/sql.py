@@ -466,9 +466,10 @@ CTES["report_lines"] = """
   FROM lineitem"""
 
 
-def query(body: str) -> str:
+def query(body: str, tables: dict[str, str] | None = None) -> str:
     """The body with every table expression it needs, in definition order."""
-    names = list(CTES)
+    tables = CTES if tables is None else tables
+    names = list(tables)
     needed: set[str] = set()
     pending = [body]
     while pending:
@@ -476,14 +477,59 @@ def query(body: str) -> str:
         for name in names:
             if name not in needed and _mentions(text, name):
                 needed.add(name)
-                pending.append(CTES[name])
-    ctes = [f"{name} AS MATERIALIZED ({CTES[name]})" for name in names if name in needed]
+                pending.append(tables[name])
+    ctes = [f"{name} AS MATERIALIZED ({tables[name]})" for name in names if name in needed]
     own = body.strip()
     if own.startswith("WITH "):
         return ",\n".join(["WITH " + ctes[0], *ctes[1:], own[5:]]) if ctes else own
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + own
 
 
+# --- several vintages with other values ------------------------------------------
+#
+# Facts of a view are series of their own here, told apart by a mark behind the series
+# code, so that every definition above holds for each view by itself.  At the end only
+# the rows of a release's own view count.
+
+_OWN = "split_part({0}series_code, '|', 2)"
+_RESTATED = {
+    "fx_sample_given": CTES["fx_sample"],
+    "fx_given": CTES["fx_estimates"].replace("fx_sample", "fx_sample_given"),
+    "vintaged": CTES["vintaged"].replace("fx_estimates", "fx_given"),
+    "periods": CTES["periods"].replace("fx_estimates", "fx_given"),
+    "reference_periods": CTES["reference_periods"],
+    "release_vintages": CTES["release_vintages"],
+    "release_views": f"SELECT DISTINCT {PER}, view FROM release_vintages",
+    "views": "SELECT DISTINCT view, rank, vintage FROM release_vintages",
+}
+_NEXT = "CASE WHEN bmrk_year = '2000' THEN 'current' ELSE (bmrk_year::INT + 1)::VARCHAR END"
+for _name, _base, _later, _which in (
+    ("fx_estimates", "fx_given", "published_estimate_value + 1000 AS published_estimate_value, upper_tolerance + 0.5 AS upper_tolerance", "data_type_code = '01'"),
+    ("fx_sample", "fx_sample_given", "2 * cm_value + 1000 AS cm_value", "true"),
+):
+    _in = "CASE WHEN bmrk_year = '2001' THEN 'current' ELSE bmrk_year END"
+    _RESTATED[f"{_name}_stored"] = f"""
+  SELECT *, {_in} AS vintage FROM {_base} UNION ALL BY NAME
+  SELECT * REPLACE ({_later}), {_NEXT} AS vintage FROM {_base} WHERE {_which} AND bmrk_year <> '2001'"""
+    _RESTATED[f"{_name}_newer"] = f"SELECT DISTINCT view, {PER} FROM {_name}_stored JOIN views USING (vintage) WHERE rank = 0"
+    _RESTATED[_name] = f"""
+  SELECT * EXCLUDE (vintage, view, rank) REPLACE (series_code || '|' || view AS series_code)
+  FROM {_name}_stored JOIN views USING (vintage) WHERE rank = 0 OR (view, {PER}) NOT IN (FROM {_name}_newer)"""
+_RESTATED["marked"] = "SELECT g.* REPLACE (series_code || '|' || view AS series_code) FROM fx_given g, (SELECT DISTINCT view FROM views)"
+_RESTATED["series_rows"] = CTES["series_rows"].replace("fx_estimates", "marked")
+RESTATED = {**_RESTATED, **{name: text for name, text in CTES.items() if name not in _RESTATED}}
+RESTATED["current"] = f"SELECT d.*, view FROM detail d JOIN release_views v USING ({PER}) WHERE {_OWN.format('d.')} = view"
+RESTATED["viewed_reports"] = f"SELECT *, {_OWN.format('')} AS view, max(estimate_type_code) OVER (PARTITION BY {K4}, year, month) AS newest FROM reports"
+
+
+def restated(columns: str, table: str, release: str = "sel_year, sel_month, sel_closing") -> str:
+    """Rows of a table that belong to their release's own view."""
+    left = [c.strip() for c in release.split(",")]
+    same = " AND ".join(f"t.{c} = v.{p}" for c, p in zip(left, ("year", "month", "estimate_type_code")))
+    return query(f"""SELECT {columns} FROM (
+    SELECT t.* REPLACE (split_part(t.series_code, '|', 1) AS series_code) FROM {table} t JOIN release_views v ON {same} AND {_OWN.format('t.')} = v.view)""", RESTATED)
+
+
 def _mentions(text: str, name: str) -> bool:
     words = text.replace("(", " ( ").replace(")", " ) ").split()
     return any(w == name and i and words[i - 1].upper() in ("FROM", "JOIN") for i, w in enumerate(words))

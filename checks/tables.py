@@ -205,8 +205,32 @@ class DerivedTables:
         """All-employee rows stand in two vintages, with another value in the newer one."""
         rows = self.vintaged_estimates.filter((F.col("data_type_code") == "01") & (F.col("vintage") != P.CURRENT))
         later = rows.withColumn("bmrk_year", (F.col("bmrk_year").cast("bigint") + 1).cast("string")).drop("vintage")
-        return self.vintaged_estimates.unionByName(
-            self._vintaged(later).withColumn("published_estimate_value", F.col("published_estimate_value") + 1000))
+        restated = {"published_estimate_value": F.col("published_estimate_value") + 1000, "upper_tolerance": F.col("upper_tolerance") + 0.5}
+        return self.vintaged_estimates.unionByName(self._vintaged(later).withColumns(restated))
+
+    @cached_property
+    def restated_sample(self) -> DataFrame:
+        """Reports stand in two vintages, with another employment in the newer one."""
+        rows = self._vintaged(self.sample)
+        later = rows.filter(F.col("vintage") != P.CURRENT).drop("vintage")
+        later = later.withColumn("bmrk_year", (F.col("bmrk_year").cast("bigint") + 1).cast("string"))
+        return rows.unionByName(self._vintaged(later).withColumn("cm_value", 2 * F.col("cm_value") + 1000))
+
+    @cached_property
+    def viewed_estimates(self) -> DataFrame:
+        return P.as_read(self.restated_estimates, self.release_vintages)
+
+    @cached_property
+    def viewed_weighted(self) -> DataFrame:
+        return P.as_read(weighted_sample(self.restated_sample), self.release_vintages)
+
+    @cached_property
+    def viewed_detail(self) -> DataFrame:
+        return sample_detail(self.viewed_weighted, P.viewed(self.release_vintages))
+
+    @cached_property
+    def viewed_info(self) -> DataFrame:
+        return E.review_estimates(self.viewed_estimates, self.structure, P.viewed(self.release_vintages))
 
     @cached_property
     def release_vintages(self) -> DataFrame:
@@ -249,6 +273,13 @@ class DerivedTables:
             n.cast("double").alias("bdf_y1"),
         )
 
+    @cached_property
+    def model_versions(self) -> DataFrame:
+        """The small domain model as it is, and as the one archive has it."""
+        rows = self.small_domain
+        archive = rows.withColumn("weight_y1", F.col("weight_y1") + 1)
+        return rows.withColumn("vintage", F.lit(P.CURRENT)).unionByName(archive.withColumn("vintage", F.lit("archive")))
+
     @cached_property
     def third_gen(self) -> DataFrame:
         c, p, n = F.col("c"), F.col("p"), F.col("n")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from estilens.functions import comments
 from estilens.functions import numbers as N
 from estilens.keys import ALL_EMPLOYEES, AREA_SERIES, PERIOD, SELECTION, SERIES
+from estilens.operators.periods import CURRENT
 
 # Names shown for the third-generation rows, and their columns
 # (link, weight).  The combined row has weight one.
@@ -87,3 +88,14 @@ def third_gen_model(model: DataFrame, info: DataFrame) -> DataFrame:
         .select(*SELECTION, rows.alias("r"), "beta", "y2_m")
         .select(*SELECTION, "r.*", "beta", "y2_m")
     )
+
+
+def of_vintage(models: DataFrame, needed: DataFrame) -> DataFrame:
+    """The rows of a model table that each release reads: of the current one where its
+    estimates are the current ones, else of the archive (there is one).
+
+    needed is the result of periods.vintages_needed; models has the column vintage.
+    """
+    archived = F.when(F.col("vintage") == CURRENT, CURRENT).otherwise("archive")
+    chosen = needed.filter("rank = 0").select(*PERIOD, archived.alias("vintage"))
+    return models.join(chosen, [*PERIOD, "vintage"], "left_semi").drop("vintage")

@@ -67,8 +67,7 @@ def review(tables: ReviewTables, releases: list[tuple[str, str, str]], k: int =
         periods.require_held(needed.join(held, "vintage", "left").withColumn("held", F.coalesce("in_sample", F.lit(False))))
         requested = periods.viewed(needed)
         all_estimates, matched = periods.as_read(all_estimates, needed), periods.as_read(matched, needed)
-        archived = F.when(F.col("vintage") == periods.CURRENT, periods.CURRENT).otherwise("archive")
-        model_of = needed.filter("rank = 0").select(*PERIOD, archived.alias("vintage"))
+        model_of = needed
 
     recent = periods.near_months(all_estimates, releases, year_ago=True)
     info = keep(estimates.review_estimates(recent, tables.structure, requested), "info")
@@ -85,7 +84,7 @@ def review(tables: ReviewTables, releases: list[tuple[str, str, str]], k: int =
     past = sample_histories.sample_history(weighted, reports)
 
     def models_of(rows: DataFrame) -> DataFrame:
-        return rows if model_of is None else rows.join(model_of, [*PERIOD, "vintage"], "left_semi").drop("vintage")
+        return rows if model_of is None else models.of_vintage(rows, model_of)
 
     result = {
         "series_info": estimates.series_info(info, link_base),
