@@ -690,6 +690,22 @@ def sample_history(t):
     return t.past
 
 
+@query(f"""
+  SELECT {S.SEL.replace('estimate_type_code', 'estimate_type_code AS closing')}, report, string_agg(view, ';' ORDER BY view) AS views
+  FROM viewed_reports WHERE estimate_type_code = newest AND newest <> '4' GROUP BY {S.SEL}, report""")
+def history_store(t):
+    """What histories are made of, each row once: the views that show it."""
+    rows = history.history_store(t.vintaged_weighted, t.release_vintages)
+    return rows.select(*SERIES, "year", "month", F.right("valid_from", F.lit(1)).alias("closing"), "report", F.array_join("views", ";").alias("views"))
+
+
+@restated("*", "sample_history", "cur_year, cur_month, cur_closing")
+def restated_sample_history_stored(t):
+    weighted = sample.weighted_sample(t.restated_sample)
+    subjects = history.history_subjects(weighted, t.release_vintages)
+    return history.unfold_history(history.history_store(weighted, t.release_vintages), subjects)
+
+
 def _plain(rows):
     return rows.withColumns({c: F.col(c).cast("double") for c in ("pm", "cm", "otm", "wotm")})
 

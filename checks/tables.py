@@ -15,7 +15,7 @@ from estilens.operators import estimates as E
 from estilens.operators import periods as P
 from estilens.operators.catalog import series_structure
 from estilens.operators.detail import sample_detail, ui_rollup
-from estilens.operators.history import sample_history
+from estilens.operators.history import history_store, history_subjects, unfold_history
 from estilens.operators.sample import published_values, sample_summary, weighted_sample
 from estilens.plans.stages import run_root
 
@@ -257,11 +257,16 @@ class DerivedTables:
     def summary(self) -> DataFrame:
         return sample_summary(self.weighted, published_values(self.info))
 
+    @cached_property
+    def vintaged_weighted(self) -> DataFrame:
+        return self._vintaged(self.weighted)
+
     @cached_property
     def past(self) -> DataFrame:
         """History of all reports, looked at from each release in its vintages."""
-        weighted = P.as_read(self._vintaged(self.weighted), self.release_vintages)
-        return sample_history(weighted, sample_detail(weighted, P.viewed(self.release_vintages)))
+        weighted = self.vintaged_weighted
+        subjects = history_subjects(weighted, self.release_vintages)
+        return unfold_history(history_store(weighted, self.release_vintages), subjects)
 
     @cached_property
     def small_domain(self) -> DataFrame:

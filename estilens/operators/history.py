@@ -6,13 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estilens.functions import months as M
-from estilens.keys import SERIES, keyed
+from estilens.functions.sizes import size_bracket
+from estilens.keys import PERIOD, SERIES, VIEW, keyed
+from estilens.operators import periods as P
 from estilens.operators.detail import report_columns
 
 # The release a history is looked at from.
 CURRENT = ("cur_year", "cur_month", "cur_closing")
 
 
+def _subjects(reports: DataFrame) -> DataFrame:
+    """What a history is looked up for: report rows of a release, with their flags there."""
+    c = F.col
+    return reports.select(
+        *keyed(reports, *SERIES), c("year").alias("cur_year"), c("month").alias("cur_month"),
+        c("estimate_type_code").alias("cur_closing"), "report", c("is_knr").alias("cm_knr"), c("flag").alias("cm_flag"),
+    )
+
+
+def _history_columns() -> list[Column]:
+    codes = F.array_join(F.array_compact(F.array("cm_comment_1", "cm_comment_2")), ",")
+    return [F.col("version"), *[value.alias(name) for name, value in report_columns().items()], codes.alias("cmcc")]
+
+
 def sample_history(weighted: DataFrame, detail: DataFrame) -> DataFrame:
     """All months of the reports in detail up to their release, at each month's newest closing.
 
@@ -29,27 +45,60 @@ def sample_history(weighted: DataFrame, detail: DataFrame) -> DataFrame:
         .filter(F.col("estimate_type_code").isin("1", "2", "3"))
     )
     c = F.col
-    codes = F.array_join(F.array_compact(F.array("cm_comment_1", "cm_comment_2")), ",")
-    current = detail.select(
-        *[k for k in keys if k in detail.columns],
-        c("year").alias("cur_year"), c("month").alias("cur_month"),
-        c("estimate_type_code").alias("cur_closing"),
-        "report", c("is_knr").alias("cm_knr"), c("flag").alias("cm_flag"),
-    )
     released = M.release_code(c("year"), c("month"), c("estimate_type_code"))
     return (
         weighted.join(newest, [*month, "estimate_type_code"], "left_semi")
-        .select(
-            *month, "version",
-            *[value.alias(name) for name, value in report_columns().items()],
-            codes.alias("cmcc"), released.alias("released"),
-        )
-        .join(current, [*keys, "report"])
+        .select(*month, *_history_columns(), released.alias("released"))
+        .join(_subjects(detail), [*keys, "report"])
         .filter(c("released") <= M.release_code(c("cur_year"), c("cur_month"), c("cur_closing")))
         .drop("released", *keyed(weighted))
     )
 
 
+def history_store(weighted: DataFrame, needed: DataFrame) -> DataFrame:
+    """The rows that histories consist of, each stored once whatever the number of releases.
+
+    weighted has a vintage column, needed says which vintages releases read.  A row has
+    the views in which its closing is the newest of its month (a vintage is in three at
+    most) and valid_from, the release from which on histories show it.  Views and newest
+    closings are found on the table of series and periods, which has no reports; the
+    sample itself is read once more, is not multiplied, and meets that table once.
+    """
+    keys = [*SERIES, *PERIOD]
+    months = weighted.select("vintage", *keys).distinct()
+    newest = F.max("estimate_type_code").over(Window.partitionBy(VIEW, *SERIES, "year", "month"))
+    shown = (
+        P.as_read(months, needed, keep_vintage=True).withColumn("newest", newest)
+        .filter((F.col("estimate_type_code") == F.col("newest")) & (F.col("newest") < "4"))
+        .groupBy("vintage", *keys).agg(F.sort_array(F.collect_set(VIEW)).alias("views"))
+    )
+    released = M.release_code(F.col("year"), F.col("month"), F.col("estimate_type_code"))
+    return weighted.join(shown, ["vintage", *keys]).select(
+        *SERIES, "year", "month", *_history_columns(), "views", released.alias("valid_from"))
+
+
+def history_subjects(weighted: DataFrame, needed: DataFrame) -> DataFrame:
+    """The reports of every release, in the release's vintages: what sample_detail would
+    show of them, without looking back."""
+    views = needed.select(VIEW, "rank", "vintage", *PERIOD)
+    # A period that both vintages of its view hold is read from the newer one.
+    held = weighted.select("vintage", *PERIOD).distinct().join(views, ["vintage", *PERIOD])
+    first = held.groupBy(VIEW, *PERIOD).agg(F.min_by("vintage", "rank").alias("vintage"))
+    columns = report_columns()
+    rows = weighted.join(first, ["vintage", *PERIOD]).select(
+        VIEW, *SERIES, *PERIOD, *[columns[c].alias(c) for c in ("report", "is_knr", "flag", "pm", "cm")])
+    return rows.filter(size_bracket(F.col("pm")).isNotNull() & size_bracket(F.col("cm")).isNotNull())
+
+
+def unfold_history(store: DataFrame, reports: DataFrame) -> DataFrame:
+    """The history of each report row (of sample_detail or history_subjects, with its
+    view) out of the stored rows: those of its view that are valid at its release."""
+    subjects = _subjects(reports)
+    rows = store.withColumn(VIEW, F.explode("views")).drop("views")
+    at = M.release_code(F.col("cur_year"), F.col("cur_month"), F.col("cur_closing"))
+    return rows.join(subjects, [VIEW, *SERIES, "report"]).filter(F.col("valid_from") <= at).drop("valid_from", VIEW)
+
+
 def history_colour(flag: Column, downweight: Column) -> Column:
     return (
         F.when(flag == "X", "black")

@@ -230,7 +230,7 @@ def held_periods(facts: DataFrame) -> DataFrame:
     return facts.select("vintage", *PERIOD).distinct()
 
 
-def as_read(facts: DataFrame, needed: DataFrame, held: DataFrame | None = None) -> DataFrame:
+def as_read(facts: DataFrame, needed: DataFrame, held: DataFrame | None = None, keep_vintage: bool = False) -> DataFrame:
     """Facts as the releases read them: a row for each view its vintage belongs to.
 
     facts carries a vintage column (a partition column on disk, so vintages that
@@ -244,7 +244,7 @@ def as_read(facts: DataFrame, needed: DataFrame, held: DataFrame | None = None)
     two = views.filter("rank > 0").select(VIEW, F.col("rank").alias("older"))
     newer = views.filter("rank = 0").join(two, VIEW).select(VIEW, "vintage", F.col("older").alias("rank"))
     taken = (held_periods(facts) if held is None else held).join(newer, "vintage").select(VIEW, "rank", *PERIOD)
-    return rows.join(taken, [VIEW, "rank", *PERIOD], "left_anti").drop("rank", "vintage")
+    return rows.join(taken, [VIEW, "rank", *PERIOD], "left_anti").drop("rank", *([] if keep_vintage else ["vintage"]))
 
 
 def _highest_closing(year: Column, month: Column, newest: Column) -> Column:
