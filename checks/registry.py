@@ -695,8 +695,7 @@ def sample_history(t):
   FROM viewed_reports WHERE estimate_type_code = newest AND newest <> '4' GROUP BY {S.SEL}, report""")
 def history_store(t):
     """What histories are made of, each row once: the views that show it."""
-    rows = history.history_store(t.vintaged_weighted, t.release_vintages)
-    return rows.select(*SERIES, "year", "month", F.right("valid_from", F.lit(1)).alias("closing"), "report", F.array_join("views", ";").alias("views"))
+    return t.history_rows.select(*SERIES, "year", "month", F.right("valid_from", F.lit(1)).alias("closing"), "report", F.array_join("views", ";").alias("views"))
 
 
 @restated("*", "sample_history", "cur_year, cur_month, cur_closing")

@@ -261,12 +261,15 @@ class DerivedTables:
     def vintaged_weighted(self) -> DataFrame:
         return self._vintaged(self.weighted)
 
+    @cached_property
+    def history_rows(self) -> DataFrame:
+        """The rows that sample histories consist of, stored once."""
+        return history_store(self.vintaged_weighted, self.release_vintages)
+
     @cached_property
     def past(self) -> DataFrame:
         """History of all reports, looked at from each release in its vintages."""
-        weighted = self.vintaged_weighted
-        subjects = history_subjects(weighted, self.release_vintages)
-        return unfold_history(history_store(weighted, self.release_vintages), subjects)
+        return unfold_history(self.history_rows, history_subjects(self.vintaged_weighted, self.release_vintages))
 
     @cached_property
     def small_domain(self) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,14 +45,14 @@ def of_series(tables: ReviewTables, state: str, area: str, series: str) -> Revie
 
 
 def review(tables: ReviewTables, releases: list[tuple[str, str, str]], k: int = 31, link_base: str = "",
-           stage: bool = False) -> dict[str, DataFrame]:
+           stage: bool = False, jobs: int = 3) -> dict[str, DataFrame]:
     """Every table of the review page for the given (year, month, closing) releases.
 
     Histories have one part per release and end with it.  With stage, the tables
-    that several others build on (estimate info, sample summary, report detail and
-    unit rollup) are written once to a folder of this run below the shared one,
-    instead of being computed again for each of them; that is the setting for
-    full-size runs.
+    that several others build on (estimate info, series history, sample summary, report
+    detail and unit rollup) are written once to a folder of this run below the shared
+    one, instead of being computed again for each of them, those that do not need each
+    other at the same time; that is the setting for full-size runs and for pages.
     """
     spark = tables.estimates.sparkSession
     root = run_root(spark) if stage else None
@@ -70,17 +72,19 @@ def review(tables: ReviewTables, releases: list[tuple[str, str, str]], k: int =
         model_of = needed
 
     recent = periods.near_months(all_estimates, releases, year_ago=True)
-    info = keep(estimates.review_estimates(recent, tables.structure, requested), "info")
-    published = sample.published_values(info)
     weighted = sample.weighted_sample(matched)
     recent_sample = periods.near_months(weighted, releases)
     needed_sample = periods.on_periods(recent_sample, periods.detail_sources(requested))
-
-    summary = periods.on_periods(sample.sample_summary(needed_sample, published), requested)
-    summary = keep(summary, "summary")
-    reports = keep(detail.sample_detail(recent_sample, requested, link_base), "detail")
-    units = keep(detail.ui_rollup(reports, link_base), "units")
-    history = estimates.series_history(all_estimates, releases=requested)
+    info, reports, history = together([
+        lambda: keep(estimates.review_estimates(recent, tables.structure, requested), "info"),
+        lambda: keep(detail.sample_detail(recent_sample, requested, link_base), "detail"),
+        lambda: keep(estimates.series_history(all_estimates, releases=requested), "history"),
+    ], jobs)
+    published = sample.published_values(info)
+    summary, units = together([
+        lambda: keep(periods.on_periods(sample.sample_summary(needed_sample, published), requested), "summary"),
+        lambda: keep(detail.ui_rollup(reports, link_base), "units"),
+    ], jobs)
     past = sample_histories.sample_history(weighted, reports)
 
     def models_of(rows: DataFrame) -> DataFrame:
@@ -124,10 +128,13 @@ def write_review(result: dict[str, DataFrame], root: str, releases: list[tuple[s
     later run of a release replaces exactly that release in all tables at once.
     """
     run = uuid.uuid4().hex
-    for name, rows in result.items():
+
+    def write(name: str, rows: DataFrame) -> None:
         # With a letter in front, so that readers take it for text.
         release = F.concat_ws("_", F.lit("r"), *[F.col(c) for c in _release_columns(rows)])
         rows.withColumn("release", release).write.partitionBy("release").parquet(f"{root}/{name}/run={run}")
+
+    for_each_table(result, write)
     spark = next(iter(result.values())).sparkSession
     schemas = F.create_map(*[F.lit(x) for name, rows in result.items() for x in (name, rows.schema.json())])
     written = release_table(spark, releases).withColumns({"run": F.lit(run), "written": F.current_timestamp(), "schemas": schemas})
@@ -160,6 +167,23 @@ def read_review(spark: SparkSession, root: str, name: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def together(actions: list[Callable], jobs: int) -> list:
+    """The results of some actions, of which so many run at a time.
+
+    Each runs in a thread of its own, so that its jobs are planned and scheduled beside
+    those of the others; under a fair scheduler (spark.scheduler.mode) they share the
+    executors.
+    """
+    with ThreadPoolExecutor(max(jobs, 1)) as pool:
+        return [f.result() for f in [pool.submit(action) for action in actions]]
+
+
+def for_each_table(result: dict[str, DataFrame], action: Callable[[str, DataFrame], object], jobs: int = 8) -> dict:
+    """What an action gives for every table of a review, several of them at a time."""
+    names = list(result)
+    return dict(zip(names, together([partial(action, name, result[name]) for name in names], jobs)))
+
+
 def release_table(spark: SparkSession, releases: list[tuple[str, str, str]]) -> DataFrame:
     """The releases as a small table for the operators."""
     return spark.createDataFrame(releases, ", ".join(f"{c} string" for c in PERIOD))

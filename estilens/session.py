@@ -16,6 +16,9 @@ SETTINGS = {
     # HotSpot does not compile methods above 8000 bytes of bytecode; without this
     # limit Spark would run such generated stages in the interpreter.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Call sites of column expressions are looked up and sent to the JVM one by one
+    # otherwise, which takes longer than a small review itself.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
 }
 
