@@ -6,10 +6,12 @@ equal values get equal pseudonyms in all documents, different values different o
 and the holder of the key can go back.  Separators, lengths, prefixes, capital
 letters and check digits keep their form, so what was valid stays valid.
 
-Kinds: e-mail addresses (the name before the sign, by letters and digits), payment
-cards (13 to 19 digits, Luhn), IBANs (mod 97), phone numbers (international or
-North American form), social security numbers, IPv4 addresses, dates (year first,
-or day and month before the year).
+Kinds: e-mail addresses (the whole name before the sign, letters of any alphabet within
+their own), payment cards (13 to 19 digits, Luhn), IBANs (mod 97), phone numbers
+(international form, whose country code stays, or North American form), social security
+numbers, IPv4 addresses, dates (year first, or day and month before the year).  Not
+covered: national numbers of other countries, IPv6 addresses, dates with month names,
+host names beyond ASCII.
 
 One pass over each row, without a shuffle.  Defined results: a null text stays null
 and has no findings; repeated rows get equal results; a value that fails its check
@@ -22,6 +24,7 @@ clash.
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import re
 
@@ -50,7 +53,50 @@ PATTERNS = {
 _PHONE_DIGITS = {"1": 10, "7": 10, "33": 9, "34": 9, "41": 9, "45": 8, "47": 8, "48": 9, "61": 9, "86": 11, "91": 10}
 #: Kinds whose match may take in what stands behind it.
 _SHORTER = ("iban", "card", "phone")
-_NAME_BEFORE = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?\Z")
+#: Country codes of two digits; those of one are 1 and 7, all others have three.
+_COUNTRIES = frozenset(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
+#: Letters of other alphabets are exchanged within blocks of so many code points.
+_BLOCK = 64
+
+
+def _country(digits: str) -> str:
+    return digits[:1] if digits[0] in "17" else digits[:2] if digits[:2] in _COUNTRIES else digits[:3]
+
+
+def _name_start(text: str, at: int, least: int) -> int:
+    """Where the name before an @ begins, at least so far on: letters and digits of any
+    alphabet, and ._%+- inside; at itself if there is none."""
+    begin = at
+    while begin > least and (text[begin - 1].isalnum() or text[begin - 1] in "._%+-"):
+        begin -= 1
+    if begin < at and text[at - 1] == ".":
+        return at
+    while begin < at and not text[begin].isalnum():
+        begin += 1
+    return begin
+
+
+def _folded(c: str) -> str:
+    """A letter without its case, where it has just one other form."""
+    return c.lower() if len(c.lower()) == 1 and c.lower().upper() == c else c
+
+
+@functools.cache
+def _alphabet(block: int, cased: bool) -> str:
+    """The letters and digits of a block that have a capital form, or that have none."""
+    chars = [chr(c) for c in range(block, block + _BLOCK) if chr(c).isalnum()]
+    return "".join(c for c in chars if c == _folded(c) and (len(c.upper()) == 1 and c.upper() != c and _folded(c.upper()) == c) is cased)
+
+
+def _letters_like(c: str) -> tuple[str, str]:
+    """The characters a letter or digit may become, and the name of that set."""
+    if c.isascii():
+        return (_ALNUM[:10], "d") if c.isdigit() else (_ALNUM[10:], "l")
+    block = ord(c) // _BLOCK * _BLOCK
+    cased = len(c.upper()) == 1 and c.upper() != c and _folded(c.upper()) == c
+    return _alphabet(block, cased), f"({block:x}{'c' if cased else ''})"
 
 
 class Feistel:
@@ -107,16 +153,15 @@ class Pseudonyms:
 
     def _letters(self, text: str, name: str, back: bool) -> str:
         """Letters and digits anew, each keeping its class and case."""
-        sizes = [10 if c.isdigit() else 26 for c in text]
+        sets = [_letters_like(_folded(c)) for c in text]
         value, n = 0, 1
-        for c, size in zip(text, sizes):
-            value, n = value * size + (int(c) if size == 10 else ord(c.lower()) - 97), n * size
-        value = self.feistel.permute(value, n, name + "/" + "".join("d" if s == 10 else "l" for s in sizes), back)
+        for c, (chars, _) in zip(text, sets):
+            value, n = value * len(chars) + chars.index(_folded(c)), n * len(chars)
+        value = self.feistel.permute(value, n, name + "/" + "".join(tag for _, tag in sets), back)
         out = []
-        for c, size in zip(reversed(text), reversed(sizes)):
-            value, place = divmod(value, size)
-            new = str(place) if size == 10 else chr(97 + place)
-            out.append(new.upper() if c.isupper() else new)
+        for c, (chars, _) in zip(reversed(text), reversed(sets)):
+            value, place = divmod(value, len(chars))
+            out.append(chars[place].upper() if c != _folded(c) else chars[place])
         return "".join(reversed(out))
 
     def replace(self, kind: str, found: str, back: bool = False) -> str | None:
@@ -124,11 +169,11 @@ class Pseudonyms:
         return getattr(self, f"_{kind}")(found, back)
 
     def _email(self, found: str, back: bool) -> str:
-        name, _, host = found.partition("@")
+        name, _, host = found.rpartition("@")
         # Capital letters are another spelling of the same address.
-        plain = "".join(c for c in name if c.isalnum())
-        new = iter(self._letters(plain.lower(), "email@" + host.lower(), back))
-        return "".join((next(new).upper() if c.isupper() else next(new)) if c.isalnum() else c for c in name) + "@" + host
+        plain = "".join(_folded(c) for c in name if c.isalnum())
+        new = iter(self._letters(plain, "email@" + host.lower(), back))
+        return "".join((next(new).upper() if c != _folded(c) else next(new)) if c.isalnum() else c for c in name) + "@" + host
 
     def _card(self, found: str, back: bool) -> str | None:
         digits = re.sub(r"\D", "", found)
@@ -157,9 +202,9 @@ class Pseudonyms:
 
     def _phone(self, found: str, back: bool) -> str | None:
         digits = re.sub(r"\D", "", found)
-        # Of an international number the country's first digit stays.
-        keep = 1 if found[0] == "+" or len(digits) == 11 else 0
-        if not 7 <= len(digits) - keep <= 14:
+        # The country's code stays, and with it what it says about length and form.
+        keep = len(_country(digits)) if found[0] == "+" else 1 if len(digits) == 11 else 0
+        if not (8 if keep else 7) <= len(digits) <= (15 if keep else 14):
             return None
         national = digits[keep:]
         return _refill(found, digits[:keep] + self._digits(national, "phone" + (digits[:keep] or "1"), back))
@@ -208,38 +253,41 @@ class Pseudonyms:
             ends.sort(key=lambda e: not usual(e))
         return ends
 
-    def _matches(self, kind: str, text: str):
-        """Places of a kind; of those that may be too long the part that is valid."""
-        at = 0
+    def _next(self, kind: str, text: str, at: int) -> tuple[int, int, str] | None:
+        """The first valid match from a place on: begin, end, kind."""
         while match := PATTERNS[kind].search(text, at):
             begin, end = match.span()
-            if kind in _SHORTER:
-                end = next((e for e in self._ends(kind, text, begin, end) if self.replace(kind, text[begin:e]) is not None), None)
+            if kind == "email":
+                begin = _name_start(text, match.start(), at)
+                if begin < match.start():
+                    return begin, end, kind
+            elif kind in _SHORTER:
+                # Of a match that may be too long the part that is valid.
+                for shorter in self._ends(kind, text, begin, end):
+                    if self.replace(kind, text[begin:shorter]) is not None:
+                        return begin, shorter, kind
+            elif self.replace(kind, text[begin:end]) is not None:
+                return begin, end, kind
             # Where nothing is valid, one may begin further on.
-            at = end or begin + 1
-            if end:
-                yield begin, end
+            at = match.start() + 1
+        return None
 
     def text(self, text: str, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
-        """The text with pseudonyms, and what was replaced (begin, end, kind)."""
-        found = []
-        for order, kind in enumerate(KINDS):
-            for begin, end in self._matches(kind, text):
-                if kind == "email":
-                    name = _NAME_BEFORE.search(text, max(0, begin - 64), begin)
-                    if not name:
-                        continue
-                    begin = name.start()
-                found.append((begin, order, end, kind))
+        """The text with pseudonyms, and what was replaced (begin, end, kind).
+
+        Of all kinds the one that begins first is taken; the others are looked for
+        again behind it, where they reached into it.
+        """
+        ahead = {kind: self._next(kind, text, 0) for kind in KINDS}
         out, spans, at = [], [], 0
-        for begin, _, end, kind in sorted(found):
-            if begin < at:
-                continue
-            new = self.replace(kind, text[begin:end], back)
-            if new is not None:
-                out += [text[at:begin], new]
-                spans.append((begin, end, kind))
-                at = end
+        while found := min((x for x in ahead.values() if x), key=lambda x: (x[0], KINDS.index(x[2])), default=None):
+            begin, end, kind = found
+            out += [text[at:begin], self.replace(kind, text[begin:end], back)]
+            spans.append(found)
+            at = end
+            for other, x in ahead.items():
+                if x and x[0] < at:
+                    ahead[other] = self._next(other, text, at)
         return "".join([*out, text[at:]]), spans
 
 

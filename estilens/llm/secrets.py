@@ -13,7 +13,9 @@ many copies of a blob spread over the partitions.  Places of findings come from
 the lengths of the matches and of the pieces between them, summed over a window
 per blob and rule.
 
-Defined results: a null text is the empty blob; it has no findings; a path that
+Defined results: a private key counts from its first line through its last one (with up
+to eight hyphens in headers between), and where there is no last line through the lines
+of 16 and more key characters behind the first; a null text is the empty blob; it has no findings; a path that
 occurs several times, also with the same text, is reported each time; null paths
 are paths like others; an empty table or ledger is allowed.  The input's columns
 are picked by name, others are not read, so they cannot clash.
@@ -49,7 +51,8 @@ RULES = (
     Rule("access", 1, "AKIA[A-Z0-9]+", 20),
     Rule("hex", 1, "[0-9a-f]{24,}"),  # the same as runs of any length, of which shorter ones are dropped
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"),
-    Rule("pem", 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # A whole key; where its last line is missing, the head and the lines of key material behind it.
+    Rule("pem", 2, r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,8}-----END [A-Z ]*PRIVATE KEY-----|\r?\n[A-Za-z0-9+/=\r\n]{16,}|)"),
     Rule("forge", 1, "gh[oprsu]_[A-Za-z0-9]{36,}"),
 )
 BASE = ("assign", "access", "hex")

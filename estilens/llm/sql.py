@@ -122,7 +122,8 @@ FROM own LEFT JOIN above USING (d)"""
 _BEFORE = """(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?"""
 _SECRETS = (
     ("assign", _BEFORE + "[A-Za-z0-9+/_.=-]+"), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"),
-    ("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]*"), ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]*"), 
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,8}-----END [A-Z ]*PRIVATE KEY-----|\\r?\\n[A-Za-z0-9+/=\\r\\n]{16,}|)"),
     ("forge", "gh[oprsu]_[A-Za-z0-9]{36,}"),
 )
 _SEARCH = " UNION ALL ".join(

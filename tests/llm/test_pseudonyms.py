@@ -1,6 +1,7 @@
 """Pseudonyms: permutations, formats, links and the way back."""
 
 import datetime
+import random
 import re
 
 import pytest
@@ -72,3 +73,56 @@ def test_documents(frame, edge_rows):
     assert texts[1] is None and texts[4] == dict(edge_rows)[4] and texts[21].split()[1][:-1] in texts[20]
     assert {r["doc_id"]: r["n_found"] for r in got}[21] == 1
     assert pseudonyms.pseudonymise(frame(rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["josé", "Müller.jürgen", "ИВАН.petrov-9", "straße", "李.wei", "a" * 100, "İpek_Şen", "ﬁ.x", "x+tag"])
+def test_whole_names_of_any_alphabet(name):
+    names = Pseudonyms(b"key")
+    text = f"mail {name}@firma.de, {name}@firma.de"
+    new, spans = names.text(text)
+    assert [text[a:b] for a, b, _ in spans] == [f"{name}@firma.de"] * 2
+    got = new.split()[1].removesuffix("@firma.de,")
+    assert new.split()[2] == f"{got}@firma.de" and len(got) == len(name) and got != name
+    assert [(c.isalnum(), c.isupper() and c != pseudonyms._folded(c)) for c in got] == [(c.isalnum(), c.isupper() and c != pseudonyms._folded(c)) for c in name]
+    assert names.text(new, back=True)[0] == text
+    if len(name) > 10:
+        assert sum(a == b for a, b in zip(got, name)) < len(name) // 2
+
+
+def test_spellings_of_a_name_stay_linked():
+    names = Pseudonyms(b"key")
+    assert names.replace("email", "JÜRGEN@x.de").lower() == names.replace("email", "jürgen@x.de")
+
+
+@pytest.mark.parametrize("number, country", [("+44 20 7946 0958", "+44"), ("+1 743 555 3824", "+1"), ("+354 555 1234", "+354"), ("+7 495 123 4567", "+7"), ("+998 71 123 4567", "+998")])
+def test_country_codes_stay(number, country):
+    names = Pseudonyms(b"key")
+    new, spans = names.text(f"call {number}.")
+    assert spans == [(5, 5 + len(number), "phone")] and new.startswith(f"call {country} ") and new != f"call {number}."
+    assert [len(x) for x in new.split()] == [len(x) for x in f"call {number}.".split()]
+    assert names.text(new, back=True)[0] == f"call {number}."
+
+
+def test_the_finder_leaves_no_valid_number():
+    """All substrings of random texts against the checks."""
+    rng = random.Random(9)
+    names = Pseudonyms(b"key")
+    cards = ["4111111111111111", "378282246310005", "5555 5555 5555 4444", "6011-1111-1111-1117"]
+    ibans = ["GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00"]
+    seen = 0
+    for _ in range(150):
+        parts = [rng.choice([*cards, *ibans, "12", "x", "4111 1111", "+1 (843) 555-7672", "2021-03-04", str(rng.randrange(10**rng.randrange(1, 17)))]) for _ in range(4)]
+        text = rng.choice([" ", ", ", " x "]).join(parts)
+        covered = [False] * len(text)
+        for a, b, _ in names.text(text)[1]:
+            covered[a:b] = [True] * (b - a)
+        for a in range(len(text)):
+            for b in range(a + 13, min(a + 40, len(text)) + 1):
+                whole = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
+                s = text[a:b]
+                card = re.fullmatch(r"\d(?:[ -]?\d){12,18}", s) and names.replace("card", s)
+                iban = re.fullmatch(r"[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", s) and names.replace("iban", s)
+                if whole and (card or iban):
+                    seen += 1
+                    assert any(covered[a:b]), (text, s)
+    assert seen > 100

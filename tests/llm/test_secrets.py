@@ -57,6 +57,21 @@ def test_redaction(frame, edge_rows):
     assert texts[1] == (None, None) and texts[4][0] == dict(edge_rows)[4]
 
 
+def test_whole_private_keys_are_redacted(frame):
+    body = "\n".join(["MIIEpAIBAAKCAQEA" + "Ab3/+" * 9] * 25)
+    head, last = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0A1B2C\n\n"
+    rows = [
+        (1, f"a\n{head}\n{body}\n{last}\nb"), (2, f"a {head}\r\n{headers}{body}\r\n{last} b"), (3, f"a\n{head}\n{body}=="),
+        (4, f"{head}\n{body}\n{last}{head}\n{body}\n{last}"), (5, f"a {head} b\nwords - of prose\n{head}\nshort"),
+        (6, f"{head}\n" * 3000), (7, (head + " x ") * 2000 + last),
+    ]
+    texts = {r["doc_id"]: r["text"] for r in secrets.redact(frame(rows)).collect()}
+    assert texts[1] == "a\n[SECRET]\nb" and texts[2] == "a [SECRET] b" and texts[3] == "a\n[SECRET]" and texts[4] == "[SECRET]"
+    assert texts[5] == "a [SECRET] b\nwords - of prose\n[SECRET]\nshort"
+    assert texts[6] == "[SECRET]\n" * 3000 and "BEGIN" not in texts[7]
+
+
 def test_plan_is_native(frame, edge_rows):
     plan = secrets.report(frame(edge_rows))._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
