@@ -2,7 +2,11 @@
 
 The words of every document stream through the automaton, which keeps the longest
 suffix that some test item contains.  Where it is as long as a window, the words
-it covers are hit.  Documents are read once and never move between machines.
+it covers are hit.  Documents do not move between machines.  An automaton holds the
+items of at most about SHARD_WORDS words and is built in a task; with more items there
+are several, and one at a time is built, sent out and streamed over the documents, so
+that neither the driver nor a task ever holds more than one.  Their hits, which have no
+texts, are then united by text.
 
 Defined results: a null or empty text has no words and no hits; an item without
 words is ignored; items with equal texts are all reported; a null item id is
@@ -13,14 +17,16 @@ not read, so their names cannot clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from estilens.llm.common import staged
+
 WINDOW = 13
-#: Words that one automaton may hold; more items are spread over several.
+#: Words that one automaton may hold (an item is never split); more items are spread over several.
 SHARD_WORDS = 2_000_000
 
 #: A-Z become a-z, digits and other letters stay, all other ASCII separates words.
@@ -151,50 +157,43 @@ class Automaton:
         return spans, names
 
 
-def _shards(items: DataFrame, shard_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in parts of bounded size; only one part is on the driver at a time."""
+def _shards(items: DataFrame, shard_words: int) -> list[DataFrame]:
+    """Items in parts of about so many words, as filters on the table."""
     items = items.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text")
     )
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # A word takes two bytes at least, with the space after it.
     n = -(-size // (2 * shard_words)) or 1
-    for k in range(n):
-        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r["item"], words) for r in part.toLocalIterator() if (words := folded_words(r["text"]))]
+    return [items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for begin, end in sorted(a + b):
-        if out and begin <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
-        else:
-            out.append((begin, end))
-    return out
+def _build(part: DataFrame, window: int) -> bytes | None:
+    """The automaton of a part, built in one task; nothing if no item has a word."""
 
+    def build(table):
+        import pyarrow as pa
+
+        items = [(r["item"], words) for r in table.to_pylist() if (words := folded_words(r["text"]))]
+        return pa.table({"parts": pa.array([pickle.dumps(vars(Automaton(items, window)))] if items else [], pa.binary())})
+
+    row = part.groupBy().applyInArrow(build, "parts binary").first()
+    return bytes(row["parts"]) if row else None
 
-def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """docs(doc_id, text), items(item_id, text) -> per document n_words, the hit
-    spans in words (array of begin, end) and the names of items with occurring windows."""
-    spark = docs.sparkSession
-    shards = [spark.sparkContext.broadcast(vars(Automaton(part, window))) for part in _shards(items, shard_words) if part]
-    kind = docs.schema["doc_id"].dataType.simpleString()
+
+def _hits(docs: DataFrame, automata: list, key: str) -> DataFrame:
+    """docs(key, text) -> key, n_words, spans, items by one automaton (broadcast bytes), or none."""
+    kind = docs.schema[key].dataType.simpleString()
 
     def find(batches):
         import pyarrow as pa
 
-        automata = [Automaton.of(b.value) for b in shards]
+        known = [Automaton.of(pickle.loads(b.value)) for b in automata]
         for batch in batches:
             sizes, spans, names = [], [], []
             for text in batch.column(1):
                 words = folded_words(text.as_py())
-                where: list[tuple[int, int]] = []
-                which: set[str] = set()
-                for automaton in automata:
-                    more, found = automaton.hits(words)
-                    where = _merged(where, more) if where and more else where or more
-                    which |= found
+                where, which = known[0].hits(words) if known else ([], set())
                 sizes.append(len(words))
                 spans.append([{"begin": a, "end": b} for a, b in where])
                 names.append(sorted(which))
@@ -204,12 +203,69 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shar
                     pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
                     pa.array(names, pa.list_(pa.string())),
                 ],
-                ["doc_id", "n_words", "spans", "items"],
+                [key, "n_words", "spans", "items"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        find, f"doc_id {kind}, n_words bigint, spans array<struct<begin:bigint,end:bigint>>, items array<string>"
-    )
+    return docs.select(key, "text").mapInArrow(find, f"{key} {kind}, n_words bigint, {_FOUND}")
+
+
+_FOUND = "spans array<struct<begin:bigint,end:bigint>>, items array<string>"
+
+
+def _merge_hits(hits: DataFrame) -> DataFrame:
+    """Hits of several automata as one row per text: spans united, names in order."""
+    span = "struct<begin:bigint,end:bigint>"
+
+    def add(merged, x):
+        last = F.get(merged, F.size(merged) - 1)
+        wider = F.struct(last["begin"].alias("begin"), F.greatest(last["end"], x["end"]).alias("end")).cast(span)
+        joined = F.concat(F.slice(merged, F.lit(1), F.size(merged) - 1), F.array(wider))
+        return F.when(x["begin"] <= last["end"], joined).otherwise(F.concat(merged, F.array(x)))
+
+    # As many spans as a text has words, as many names as there are items.
+    both = hits.groupBy("key").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return both.select("key", F.aggregate("s", F.array().cast(f"array<{span}>"), add).alias("spans"), "items")
+
+
+def _text_key(text) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def _found_by_text(docs: DataFrame, parts: list[DataFrame], window: int) -> DataFrame:
+    """(key, spans, items) of every text with hits, one automaton at a time: a pass over
+    the documents for each part, whose hits are written before the next one is built."""
+    spark, found = docs.sparkSession, None
+    for part in parts:
+        automaton = _build(part, window)
+        if automaton is None:
+            continue
+        sent = spark.sparkContext.broadcast(automaton)
+        hits = _hits(docs.select(_text_key(F.col("text")).alias("key"), "text"), [sent], "key").filter(F.size("spans") > 0)
+        hits = staged(hits.drop("n_words").dropDuplicates(["key"]), "benchmark-hits")
+        sent.unpersist()
+        found = hits if found is None else found.union(hits)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], f"key string, {_FOUND}")
+    return staged(_merge_hits(found), "benchmark-found")
+
+
+def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """docs(doc_id, text), items(item_id, text) -> per document n_words, the hit
+    spans in words (array of begin, end) and the names of items with occurring windows.
+
+    Items of up to shard_words words are one automaton, and one pass is all; more are
+    several, of which one at a time is sent to the tasks.
+    """
+    parts = _shards(items, shard_words)
+    if len(parts) == 1:
+        automaton = _build(parts[0], window)
+        sent = [docs.sparkSession.sparkContext.broadcast(automaton)] if automaton else []
+        return _hits(docs, sent, "doc_id")
+    found = _found_by_text(docs, parts, window)
+    plain = _hits(docs.select(F.struct("doc_id", _text_key(F.col("text")).alias("key")).alias("doc"), "text"), [], "doc")
+    rows = plain.select("doc.*", "n_words").join(found, "key", "left")
+    empty = {"spans": "array<struct<begin:bigint,end:bigint>>", "items": "array<string>"}
+    return rows.select("doc_id", "n_words", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in empty.items()])
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -241,32 +297,43 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, one_i
 
     Keeps all columns of docs, in order; n_chars, if there, follows the new text.
     """
-    spark = docs.sparkSession
-    shards = [spark.sparkContext.broadcast(vars(Automaton(part, window))) for part in _shards(items, shard_words) if part]
-    at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
+    parts = _shards(items, shard_words)
+    names, at = docs.columns, docs.columns.index("text")
+    count = names.index("n_chars") if "n_chars" in names else -1
+    automata, rows = [], docs
+    if len(parts) == 1:
+        if automaton := _build(parts[0], window):
+            automata = [docs.sparkSession.sparkContext.broadcast(automaton)]
+    else:
+        # The spans of several automata meet the texts before anything is cut.
+        found = _found_by_text(docs, parts, window).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+        rows = docs.withColumn("__key", _text_key(F.col("text"))).join(found, "__key", "left").select(*names, "__spans")
 
     def clean(batches):
         import pyarrow as pa
 
-        automata = [Automaton.of(b.value) for b in shards]
+        known = [Automaton.of(pickle.loads(b.value)) for b in automata]
         for batch in batches:
             texts, keep = [], []
-            for text in batch.column(at):
+            for row, text in enumerate(batch.column(at)):
                 text = text.as_py()
                 words = folded_words(text)
-                where: list[tuple[int, int]] = []
-                for automaton in automata:
-                    where = _merged(where, automaton.hits(words)[0])
+                if known:
+                    where = known[0].hits(words)[0]
+                else:
+                    given = batch.column(len(names))[row].as_py() if len(batch.columns) > len(names) else None
+                    where = [(s["begin"], s["end"]) for s in given or []]
                 n_hit = sum(b - a for a, b in where)
                 keep.append(not (n_hit and one_in * n_hit >= len(words)))
                 texts.append(_cut(text, where) if where else text)
-            columns = list(batch.columns)
+            columns = list(batch.columns)[:len(names)]
             new = pa.array(texts, batch.schema.field(at).type)
             if count >= 0:
                 sizes = [len(b) if a is not None and b is not None and a != b else n.as_py()
                          for a, b, n in zip((t.as_py() for t in columns[at]), texts, columns[count])]
                 columns[count] = pa.array(sizes, batch.schema.field(count).type)
             columns[at] = new
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+            out = pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:len(names)]))
+            yield out.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return rows.mapInArrow(clean, docs.schema)

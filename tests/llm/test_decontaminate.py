@@ -60,6 +60,16 @@ def test_items_in_several_automata_give_the_same(spark, frame, edge_rows):
     assert sorted(map(str, one)) == sorted(map(str, many))
 
 
+def test_cleaning_with_several_automata_is_the_same(spark, frame, edge_rows):
+    rows, items = cases(edge_rows)
+    table = spark.createDataFrame([(*x, "?") for x in items if x[1] and len(x[1].split()) >= 13], ITEMS)
+    docs = frame(rows)
+    one, many = (decontaminate.decontaminate(docs, table, shard_words=n) for n in (1_000_000, 40))
+    assert one.schema == many.schema == docs.schema
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+    assert decontaminate.decontaminate(docs.limit(0), table, shard_words=40).count() == 0
+
+
 def test_cleaning(spark, frame, edge_rows):
     rows, items = cases(edge_rows)
     table = spark.createDataFrame([(*x, "?") for x in items if x[1] and len(x[1].split()) >= 13], ITEMS)
