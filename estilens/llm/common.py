@@ -127,8 +127,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(np.add.reduceat(values, first[:-1]) + lengths.astype(np.uint64))
 
 
-def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
-    """A hash of every run of so many words; empty if there are fewer."""
+def window_hashes(words: np.ndarray, length: int, multiplier: np.uint64 = _MIX_1) -> np.ndarray:
+    """A hash of every run of so many words; empty if there are fewer.
+
+    Another multiplier, odd, gives another hash.
+    """
     n = len(words) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -137,5 +140,5 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         for k in range(length):
             out += words[k:k + n] * factor
-            factor = factor * _MIX_1
+            factor = factor * multiplier
     return mix(out)
