@@ -19,7 +19,7 @@ languages.  Prediction reads the text only.
 Defined results: a null text, or one without letters, is "und" with score 0; equal
 texts get equal results; with one language known all other texts are in it, with
 score 1; with none they are "und"; of languages with equal entropies the first by
-name wins; languages that are null or empty are not learned; an empty table gives
+name wins; a null language is not learned, an empty name is one like others; an empty table gives
 an empty result.  Other columns are not read, so they cannot clash.
 """
 
@@ -141,7 +141,7 @@ class Model:
 
 def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS, size: int = SAMPLE_BYTES, total: int = TOTAL_BYTES) -> Model:
     """A model from docs(text, lang): of each language the first texts by hash."""
-    rows = docs.select("text", "lang").filter("text IS NOT NULL AND lang <> ''").withColumn("h", F.xxhash64("text", F.lit(3)))
+    rows = docs.select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.xxhash64("text", F.lit(3)))
     # Hash ranges that hold enough texts, from their counts: a language's rows never meet in one task.
     part = F.shiftrightunsigned("h", 52)
     hashes = rows.select("lang", "h").distinct()

@@ -7,6 +7,9 @@ each occurrence by itself.  A file's license is that of the unit and template wi
 the greatest cosine, if it reaches THRESHOLD.  Files without one inherit from the
 license file in the nearest directory above them (or in their own).
 
+A template that names a version counts only where all its numbers stand in the unit, so
+that one version is not taken for another.
+
 Only units that can reach the threshold are compared, and this loses none: of each
 template the weightiest words are taken until the others together have less than
 THRESHOLD of its length; a unit without any of them has a smaller cosine (Cauchy and
@@ -40,15 +43,28 @@ MOST_WORDS = 5_000
 #: Fixed texts: how works commonly state their license.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 WORD = "[a-z0-9]+"
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying)[^/]*$"
@@ -106,7 +122,10 @@ def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     # Each word's weight and its part in the unit vector of every template.
     sizes = [math.sqrt(sum((tf * weight[w]) ** 2 for w, tf in v.items())) for v in vectors]
     known = [
-        F.struct(F.lit(w).alias("word"), F.lit(weight[w]).alias("idf"), F.array(*[F.lit(v.get(w, 0) * weight[w] / size) for v, size in zip(vectors, sizes)]).alias("parts"))
+        F.struct(
+            F.lit(w).alias("word"), F.lit(weight[w]).alias("idf"), F.array(*[F.lit(v.get(w, 0) * weight[w] / size) for v, size in zip(vectors, sizes)]).alias("parts"),
+            F.array(*[F.lit(int(w.isdigit() and w in v)) for v in vectors]).alias("numbers"),
+        )
         for w in vocabulary
     ]
     known = files.sparkSession.range(1).select(F.inline(F.array(*known))) if known else None
@@ -115,12 +134,15 @@ def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     own = F.col("tf") * F.col("idf")
     rarest = F.col("tf") * F.lit(weight[""] ** 2)
     products = [F.sum(own * F.col("parts")[k]) for k in range(len(templates))]
+    versions = [sum(w.isdigit() for w in v) for v in vectors]
+    numbers = [F.sum(F.col("numbers")[k]) if n else F.lit(0).cast("bigint") for k, n in enumerate(versions)]
     scored = counts.join(F.broadcast(known), "word", "left").groupBy("key", "unit").agg(
-        F.sqrt(F.sum(F.coalesce(own * own, rarest))).alias("length"), F.array(*products).alias("products")
+        F.sqrt(F.sum(F.coalesce(own * own, rarest))).alias("length"), F.array(*products).alias("products"), F.array(*numbers).alias("numbers")
     )
     names = F.array(*[F.lit(name) for name, _ in templates])
+    wanted = F.array(*[F.lit(n).cast("bigint") for n in versions])
     cosines = F.transform("products", lambda x, k: F.struct(
-        (-F.round(x / F.col("length"), 6)).alias("s"), F.col("unit"), F.get(names, k).alias("license")))
+        F.when(F.get("numbers", k) == F.get(wanted, k), -F.round(x / F.col("length"), 6)).alias("s"), F.col("unit"), F.get(names, k).alias("license")))
     # A unit has a product with some template, since it has one of the needed words.
     best = scored.groupBy("key").agg(F.min(F.array_min(F.filter(cosines, lambda x: x["s"] <= -threshold))).alias("b")).filter("b IS NOT NULL")
     how = F.when(F.col("b.unit") == 0, "file").otherwise("header")

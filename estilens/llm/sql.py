@@ -95,11 +95,12 @@ idf AS (SELECT word, ln((1 + n) / (1 + coalesce(df, 0))::DOUBLE) + 1 AS idf FROM
 lengths AS (
   SELECT d, unit, sqrt(sum(coalesce(tf * idf * tf * idf, tf * (ln(1 + n) + 1) * (ln(1 + n) + 1)))) AS length
   FROM words LEFT JOIN idf USING (word), total GROUP BY d, unit
-), sizes AS (SELECT t, sqrt(sum(tf * idf * tf * idf)) AS size FROM templates JOIN idf USING (word) GROUP BY t),
+), sizes AS (SELECT t, sqrt(sum(tf * idf * tf * idf)) AS size, count(*) FILTER (regexp_full_match(word, '[0-9]+')) AS numbers FROM templates JOIN idf USING (word) GROUP BY t),
 scored AS (
   SELECT d, unit, license, round(product / length, 6) AS similarity FROM (
     SELECT w.d, w.unit, t.t, t.license, sum(w.tf * idf * t.tf * idf / size) AS product
-    FROM words w JOIN templates t USING (word) JOIN idf USING (word) JOIN sizes s ON s.t = t.t GROUP BY ALL
+    FROM words w JOIN templates t USING (word) JOIN idf USING (word) JOIN sizes s ON s.t = t.t GROUP BY w.d, w.unit, t.t, t.license, s.numbers
+    HAVING count(*) FILTER (regexp_full_match(word, '[0-9]+')) = s.numbers
   ) JOIN lengths USING (d, unit)
 ), best AS (
   SELECT d, license, similarity, CASE unit WHEN 0 THEN 'file' ELSE 'header' END AS how FROM scored WHERE similarity >= 0.6

@@ -33,7 +33,8 @@ def brute(rows):
                 size = math.sqrt(sum((c * idf[w]) ** 2 for w, c in v.items()))
                 product = sum(c * idf[w] * v[w] * idf[w] for w, c in tf.items() if w in v)
                 similarity = round(product / size / length, 6) if length else 0
-                if similarity >= licenses.THRESHOLD:
+                versions = {w for w in v if w.isdigit()}
+                if similarity >= licenses.THRESHOLD and versions <= set(tf):
                     best = min(best or (9,), (-similarity, unit, name))
         out.append((best[2], -best[0], "file" if best[1] == 0 else "header") if best else (None, None, None))
     return out
@@ -57,6 +58,22 @@ def test_cosines_equal_brute_force(spark, edge_rows):
         assert got[0] == row[0] and got[2] == row[2] and (row[1] is None or abs(got[1] - row[1]) < 2e-6)
 
 
+def test_versions_are_told_apart(spark):
+    said = {
+        "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+        "GPL-3.0": "you can modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "AGPL-3.0": "licensed under the GNU Affero General Public License, version 3",
+        "BSD-2-Clause": "Licensed under the BSD 2-Clause License", "BSD-3-Clause": "Licensed under the BSD 3-Clause License",
+        "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.", "ISC": "Permission to use, copy, modify and distribute this software for any purpose with or without fee is hereby granted",
+        # Versions that no template has.
+        "Apache-1.1": "Licensed under the Apache License, Version 1.1.", "CC-BY-3.0": "Licensed under CC BY 3.0.", "MPL-1.1": "terms of the Mozilla Public License, v. 1.1.",
+    }
+    rows = [(f"{name}/{k}.c", f"int {k}\n{text}\nend") for k, (name, text) in enumerate(said.items())] + [(f"x/{k}.c", prose(random.Random(k), 30)) for k in range(40)]
+    got = {r["path"].split("/")[0]: r["license"] for r in licenses.license_scan(files_of(spark, rows)).collect() if r["path"][0] != "x"}
+    assert got == {name: None if name in ("Apache-1.1", "CC-BY-3.0", "MPL-1.1") else name for name in said}
+
+
 def test_nearest_directory_gives_its_license(spark):
     rows = [
         ("a/LICENSE", GPL), ("a/x.c", "int"), ("a/b/y.c", "int"), ("a/b/c/COPYING", MIT), ("a/b/c/z.c", "int"), ("a/b/c/d/e/z.c", "int"),
