@@ -121,7 +121,7 @@ def audit(a: DataFrame, b: DataFrame, places: DataFrame, range_bytes: int = RANG
     missing_a, missing_b)."""
     a, b = staged(leaves(a, places), "leaves-a"), staged(leaves(b, places), "leaves-b")
     levels = levels_for(a, b, range_bytes=range_bytes, fan=fan)
-    tree_a, tree_b = staged(trees(a, levels, range_bytes, fan), "tree-a"), staged(trees(b, levels, range_bytes, fan), "tree-b")
+    tree_a, tree_b = (staged(trees(r, levels, range_bytes, fan), name, by="level") for r, name in ((a, "tree-a"), (b, "tree-b")))
 
     def at(level: int, under: DataFrame | None) -> DataFrame:
         """Nodes of a level that differ, below those that differ above."""
