@@ -11,9 +11,10 @@ from pyspark.sql.types import _parse_datatype_string
 from checks import sql as S
 from checks.tables import LAST_YEAR, DerivedTables
 from estilens.functions import codes as C
-from estilens.functions.sizes import size_bracket, size_gap
+from estilens.functions.sizes import SIZE_BRACKETS, size_bracket, size_gap
 from estilens.keys import PERIOD, SELECTION, SERIES, UNIT_GROUP, VIEW
 from estilens.operators import basic, catalog, detail, estimates, history, intervals, models, navigation, periods, ranks, sample, whatif
+from estilens.plans.review import read_review, write_review
 from estilens.sources import readers
 
 QUERIES: dict[str, Callable[[DerivedTables], DataFrame]] = {}
@@ -557,6 +558,15 @@ def sample_summary(t):
     return t.summary
 
 
+@query("SELECT * FROM summary")
+def review_sink(t):
+    """The summaries of all releases, written twice by the sink and read back."""
+    root, releases = f"{t.root}/review", [tuple(r) for r in t.periods.select(*PERIOD).collect()]
+    for _ in range(2):
+        write_review({"sample_summary": t.summary}, root, releases)
+    return read_review(t.spark, root, "sample_summary")
+
+
 @query(f"""SELECT {S.SEL}, round_even(trunc(wcm) / nullif(trunc(wpm), 0), 4) AS link FROM (
   SELECT *, row_number() OVER (PARTITION BY {S.SEL} ORDER BY row_order) AS i FROM summary) WHERE i = 1""")
 def sample_link(t):
@@ -607,6 +617,15 @@ def size_gaps_by_table(t):
     return intervals.sizes_by_table(rows, _brackets(t)).drop("pm", "cm", "selsize")
 
 
+@query(f"""SELECT {S.SEL}, report_id, {S.size('pm_value')} AS pm_size, {S.size('cm_value')} AS cm_size,
+  greatest(greatest({S.size('pm_value')}, {S.size('cm_value')}) - selection_size::BIGINT, 0) AS szgap FROM fx_sample""")
+def size_gaps_literal(t):
+    """The usual brackets as a literal table."""
+    rows = t.sample.select(*SELECTION, "report_id", F.col("pm_value").alias("pm"), F.col("cm_value").alias("cm"), F.col("selection_size").alias("selsize"))
+    brackets = t.spark.createDataFrame(SIZE_BRACKETS, "size bigint, low bigint, high bigint")
+    return intervals.sizes_by_table(rows, brackets).drop("pm", "cm", "selsize")
+
+
 _PLACE = f"""row_number() OVER (PARTITION BY {S.SEL} ORDER BY flag NULLS FIRST, abs(wotm) DESC NULLS FIRST, reptstate NULLS FIRST,
   ui NULLS FIRST, report NULLS FIRST, is_knr) AS row_index"""
 
@@ -885,6 +904,15 @@ def csv_rejects(t):
     return rejects.select(fields[0].cast("bigint").alias("o_orderkey"), why.alias("why"))
 
 
+@query("SELECT (o_custkey % 500)::VARCHAR AS code, max(o_orderpriority) AS name FROM orders GROUP BY 1")
+def csv_lookup(t):
+    """A lookup from a CSV file that names most codes many times."""
+    path = f"{t.root}/lookup_csv"
+    rows = t.read("orders").select((F.col("o_custkey") % 500).cast("string").alias("code"), F.col("o_orderpriority").alias("name"))
+    rows.write.mode("overwrite").csv(path, header=True)
+    return readers.read_lookup(t.spark, path, rows.schema, "code", "name")
+
+
 @query("""SELECT option, row_number() OVER (ORDER BY first_key) AS place FROM (
   SELECT o_orderpriority || '/' || (o_custkey % 10) AS option, min(o_orderkey) AS first_key FROM orders GROUP BY ALL)""")
 def options_in_file_order(t):

@@ -56,8 +56,8 @@ def _sums() -> list[Column]:
 _SUMS = ("pm_sum", "cm_sum", "wpm_whole", "wpm_fraction", "wcm_whole", "wcm_fraction")
 
 
-def _labelled(weighted: DataFrame, labels: Column) -> DataFrame:
-    """Reports, units and sums per selection and label; a row counts under each of its labels.
+def _labelled(weighted: DataFrame, label: Column) -> DataFrame:
+    """Reports, units and sums per selection and label (explode() where a row counts under several).
 
     The sample moves once, by selection and report, so that a large selection stays
     spread out.  A report's sums and its units, one as a rule, come together where its
@@ -68,9 +68,9 @@ def _labelled(weighted: DataFrame, labels: Column) -> DataFrame:
     keys = keyed(weighted, *SELECTION)
     # Null reports and units count as one more value each.
     reports = (
-        weighted.select(*keys, "report_id", "selected_ui_number", "pm_value", "cm_value", "wpm", "wcm", labels.alias("labels"))
+        weighted.select(*keys, "report_id", "selected_ui_number", "pm_value", "cm_value", "wpm", "wcm", "a_typ_flag")
         .repartition(*keys, "report_id")
-        .withColumn("label", F.explode("labels"))
+        .withColumn("label", label)
         .groupBy(*keys, "label", "report_id")
         .agg(*_sums(), F.collect_set(F.struct("selected_ui_number")).alias("units"))
     )
@@ -110,18 +110,18 @@ def _direction() -> Column:
 
 def flag_summary(weighted: DataFrame) -> DataFrame:
     """Reports, units, sums and weighted sums per flag of each selection."""
-    return _summary(weighted, F.array("a_typ_flag"))
+    return _summary(weighted, F.col("a_typ_flag"))
 
 
 def sign_summary(weighted: DataFrame) -> DataFrame:
     """The same measures for A and T rows by direction of change."""
-    return _summary(weighted.filter(F.col("a_typ_flag").isin("A", "T")), F.array(_direction()))
+    return _summary(weighted.filter(F.col("a_typ_flag").isin("A", "T")), _direction())
 
 
-def _summary(weighted: DataFrame, labels: Column) -> DataFrame:
+def _summary(weighted: DataFrame, label: Column) -> DataFrame:
     keys = keyed(weighted, *SELECTION)
     return (
-        _labelled(weighted, labels).withColumnRenamed("label", "a_typ_flag")
+        _labelled(weighted, label).withColumnRenamed("label", "a_typ_flag")
         .withColumns(_shown(F.col("a_typ_flag")))
         .select(*_summary_columns([*keys, "a_typ_flag"]))
     )
@@ -206,7 +206,7 @@ def sample_summary(weighted: DataFrame, published: DataFrame) -> DataFrame:
 
     flag = mark(0, F.col("a_typ_flag"))
     labelled = (
-        _labelled(weighted, F.when(used, F.array(flag, mark(1, _direction()))).otherwise(F.array(flag)))
+        _labelled(weighted, F.explode(F.when(used, F.array(flag, mark(1, _direction()))).otherwise(F.array(flag))))
         .withColumns({"by_sign": F.col("label.by_sign"), "label": F.col("label.label")})
         .withColumns(_shown(F.col("label")))
     )
