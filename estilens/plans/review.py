@@ -132,7 +132,8 @@ def write_review(result: dict[str, DataFrame], root: str, releases: list[tuple[s
     def write(name: str, rows: DataFrame) -> None:
         # With a letter in front, so that readers take it for text.
         release = F.concat_ws("_", F.lit("r"), *[F.col(c) for c in _release_columns(rows)])
-        rows.withColumn("release", release).write.partitionBy("release").parquet(f"{root}/{name}/run={run}")
+        # Few files per release; a large release is split over several tasks.
+        rows.withColumn("release", release).hint("rebalance", "release").write.partitionBy("release").parquet(f"{root}/{name}/run={run}")
 
     for_each_table(result, write)
     spark = next(iter(result.values())).sparkSession
