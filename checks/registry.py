@@ -493,7 +493,7 @@ def restated_detail(t):
 
 @restated("*", "sample_history", "cur_year, cur_month, cur_closing")
 def restated_sample_history(t):
-    return history.sample_history(t.viewed_weighted, t.viewed_detail)
+    return history.sample_history(t.viewed_weighted, t.viewed_detail, t.viewed_newest)
 
 
 @query(f"""
@@ -644,7 +644,8 @@ def rollup_order(t):
   SELECT {S.SEL}, {', '.join(UNIT_GROUP)}, {_PLACE} FROM (
     SELECT *, {_PLACE.replace('row_index', 'i')} FROM rollup) WHERE i <= 3 OR flag = 'X' OR flag <> origflag""")
 def shortlist_order(t):
-    return detail.numbered(detail.review_shortlist(t.units, k=3), t.root).select(*SELECTION, *UNIT_GROUP, "row_index")
+    shortlist = t.written(detail.review_shortlist(t.stored_units, k=3), "shortlist")  # dealing out by ranges reads it twice
+    return detail.numbered(shortlist, t.root).select(*SELECTION, *UNIT_GROUP, "row_index")
 
 
 @query("SELECT * FROM rollup")
@@ -719,8 +720,8 @@ def history_store(t):
 @restated("*", "sample_history", "cur_year, cur_month, cur_closing")
 def restated_sample_history_stored(t):
     weighted = sample.weighted_sample(t.restated_sample)
-    subjects = history.history_subjects(weighted, t.release_vintages)
-    return history.unfold_history(history.history_store(weighted, t.release_vintages), subjects)
+    store = history.history_store(weighted, t.release_vintages, t.months_shown(weighted))
+    return history.unfold_history(store, t.subjects(weighted))
 
 
 def _plain(rows):
@@ -729,12 +730,12 @@ def _plain(rows):
 
 @query("SELECT * FROM history_summary")
 def history_rollup(t):
-    return _plain(history.history_rollup(t.past, "summary"))
+    return _plain(history.history_rollup(t.viewed_past, "summary")).drop(VIEW)
 
 
 @query("SELECT * FROM history_detail")
 def history_rollup_reports(t):
-    return _plain(history.history_rollup(t.past, "detail"))
+    return _plain(history.history_rollup(t.viewed_past, "detail")).drop(VIEW)
 
 
 @query(f"""SELECT {S.history_keys('summary')}, is_knr, year, month, report,
@@ -746,12 +747,12 @@ def history_members(t):
 
 @query("SELECT * FROM segments_summary")
 def month_segments(t):
-    return history.month_segments(history.history_rollup(t.past, "summary"), "summary")
+    return history.month_segments(history.history_rollup(t.viewed_past, "summary"), "summary").drop(VIEW)
 
 
 @query("SELECT * FROM segments_detail")
 def month_segments_reports(t):
-    return history.month_segments(history.history_rollup(t.past, "detail"), "detail")
+    return history.month_segments(history.history_rollup(t.viewed_past, "detail"), "detail").drop(VIEW)
 
 
 # --- what-if -----------------------------------------------------------------
@@ -779,7 +780,7 @@ _MOVES = ", ".join(
     (est - pm1) / pm1 * 100 AS n_recalc_otm_pct, (est - py1) / py1 * 100 AS n_recalc_oty_pct FROM e""")
 def what_if_reflag(t):
     """Every changed flag is proposed to go back to the original one."""
-    rows = t.detail
+    rows = t.stored_detail
     changes = rows.filter(F.col("flag") != F.col("origflag")).select(
         *SELECTION, *detail.REPORT_KEY, F.col("origflag").alias("new_flag"))
     return whatif.what_if_reflag(rows, changes, estimate_inputs(t))
@@ -793,9 +794,10 @@ def what_if_reflag(t):
   FROM inputs i LEFT JOIN d USING ({S.SEL})""")
 def what_if_units(t):
     """All reports of every unit row with several reports are proposed to be unused."""
-    units = t.units.filter("is_summed").select(*SELECTION, *UNIT_GROUP, F.lit("X").alias("new_flag"))
-    changes = whatif.unit_changes(t.detail, units)
-    return whatif.what_if_reflag(t.detail, changes, estimate_inputs(t)).select(*SELECTION, *whatif.TOTALS, "changed_reports")
+    rows = t.stored_detail
+    units = detail.ui_rollup(rows).filter("is_summed").select(*SELECTION, *UNIT_GROUP, F.lit("X").alias("new_flag"))
+    changes = whatif.unit_changes(rows, units)
+    return whatif.what_if_reflag(rows, changes, estimate_inputs(t)).select(*SELECTION, *whatif.TOTALS, "changed_reports")
 
 
 # --- models ------------------------------------------------------------------

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estilens.functions import months as M
-from estilens.keys import AREA_SERIES, PERIOD, SERIES
+from estilens.keys import AREA_SERIES, PERIOD, SERIES, VIEW
 from estilens.operators import estimates as E
 from estilens.operators import periods as P
 from estilens.operators.catalog import series_structure
 from estilens.operators.detail import sample_detail, ui_rollup
-from estilens.operators.history import history_store, history_subjects, unfold_history
+from estilens.operators.history import history_store, history_subjects, newest_closings, periods_read, shown_months, unfold_history
 from estilens.operators.sample import published_values, sample_summary, weighted_sample
-from estilens.plans.stages import run_root
+from estilens.plans.stages import run_root, staged
 
 BENCHMARK_YEAR = "2000"
 # The last year of the test tables.
@@ -53,8 +53,20 @@ class DerivedTables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def written(self, rows: DataFrame, name: str) -> DataFrame:
+        """A table that several steps read, written once where there is a shared folder."""
+        try:
+            root = self.root
+        except ValueError:
+            return rows
+        return staged(rows, name, root)
+
     @cached_property
     def sample(self) -> DataFrame:
+        """The reports, added up once: every later step reads them from there."""
+        return self.written(self._reports(), "sample")
+
+    def _reports(self) -> DataFrame:
         c = F.col
         closing = F.when(
             (c("l_linenumber") == 7) & (F.year("l_shipdate") < 2000), "4"
@@ -222,7 +234,12 @@ class DerivedTables:
 
     @cached_property
     def viewed_weighted(self) -> DataFrame:
-        return P.as_read(weighted_sample(self.restated_sample), self.release_vintages)
+        taken = self.written(P.taken_periods(P.held_periods(self.restated_sample), self.release_vintages), "taken")
+        return P.as_read(weighted_sample(self.restated_sample), self.release_vintages, taken=taken)
+
+    @cached_property
+    def viewed_newest(self) -> DataFrame:
+        return self.written(newest_closings(self.viewed_weighted), "newest")
 
     @cached_property
     def viewed_detail(self) -> DataFrame:
@@ -234,7 +251,8 @@ class DerivedTables:
 
     @cached_property
     def release_vintages(self) -> DataFrame:
-        return P.vintages_needed(self.periods, self.vintaged_estimates.select("vintage"))
+        """A few rows per release; written, so that Spark knows how few before it plans a join with them."""
+        return self.written(P.vintages_needed(self.periods, self.vintaged_estimates.select("vintage")), "vintages")
 
     @cached_property
     def panel(self) -> DataFrame:
@@ -253,6 +271,15 @@ class DerivedTables:
     def units(self) -> DataFrame:
         return ui_rollup(self.detail)
 
+    @cached_property
+    def stored_detail(self) -> DataFrame:
+        """Detail for queries that read it several times: reports look back once."""
+        return self.written(self.detail, "detail")
+
+    @cached_property
+    def stored_units(self) -> DataFrame:
+        return self.written(self.units, "units")
+
     @cached_property
     def summary(self) -> DataFrame:
         return sample_summary(self.weighted, published_values(self.info))
@@ -264,12 +291,28 @@ class DerivedTables:
     @cached_property
     def history_rows(self) -> DataFrame:
         """The rows that sample histories consist of, stored once."""
-        return history_store(self.vintaged_weighted, self.release_vintages)
+        return history_store(self.vintaged_weighted, self.release_vintages, self.months_shown(self.vintaged_weighted))
+
+    def months_shown(self, weighted: DataFrame) -> DataFrame:
+        return self.written(shown_months(weighted, self.release_vintages), "shown")
 
     @cached_property
     def past(self) -> DataFrame:
         """History of all reports, looked at from each release in its vintages."""
-        return unfold_history(self.history_rows, history_subjects(self.vintaged_weighted, self.release_vintages))
+        return self.viewed_past.drop(VIEW)
+
+    @cached_property
+    def viewed_past(self) -> DataFrame:
+        """The same with the view of each release."""
+        return unfold_history(self.history_rows, self.subjects(self.vintaged_weighted), keep_view=True, parts=self.history_parts)
+
+    @cached_property
+    def history_parts(self) -> int:
+        """One for every 50,000 reports, since what a report unfolds to follows the calendar."""
+        return self.sample.count() // 50_000 + 8
+
+    def subjects(self, weighted: DataFrame) -> DataFrame:
+        return history_subjects(weighted, self.release_vintages, self.written(periods_read(weighted, self.release_vintages), "read"))
 
     @cached_property
     def small_domain(self) -> DataFrame:

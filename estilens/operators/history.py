@@ -29,21 +29,27 @@ def _history_columns() -> list[Column]:
     return [F.col("version"), *[value.alias(name) for name, value in report_columns().items()], codes.alias("cmcc")]
 
 
-def sample_history(weighted: DataFrame, detail: DataFrame) -> DataFrame:
+def newest_closings(weighted: DataFrame) -> DataFrame:
+    """The newest closing of each series and month, where it is not the last one.  It has no reports."""
+    return (
+        weighted.groupBy(*keyed(weighted, *SERIES), "year", "month").agg(F.max("estimate_type_code").alias("estimate_type_code"))
+        .filter(F.col("estimate_type_code").isin("1", "2", "3"))
+    )
+
+
+def sample_history(weighted: DataFrame, detail: DataFrame, newest: DataFrame | None = None) -> DataFrame:
     """All months of the reports in detail up to their release, at each month's newest closing.
 
     A report is followed within the view of its release.  Nothing comes from after the release.  The newest closing
     counts closing 4, so months that have reached it drop out.  It comes from an
     aggregate that combines on the map side (one row per series and month) and a
     semi join, which Spark can split where one month is large; no window holds a
-    month's reports.
+    month's reports.  newest is that aggregate (newest_closings), if it is stored: Spark
+    then knows its size and need not move the sample to it.
     """
     keys = keyed(weighted, *SERIES)
     month = [*keys, "year", "month"]
-    newest = (
-        weighted.groupBy(*month).agg(F.max("estimate_type_code").alias("estimate_type_code"))
-        .filter(F.col("estimate_type_code").isin("1", "2", "3"))
-    )
+    newest = newest_closings(weighted) if newest is None else newest
     c = F.col
     released = M.release_code(c("year"), c("month"), c("estimate_type_code"))
     return (
@@ -55,48 +61,71 @@ def sample_history(weighted: DataFrame, detail: DataFrame) -> DataFrame:
     )
 
 
-def history_store(weighted: DataFrame, needed: DataFrame) -> DataFrame:
-    """The rows that histories consist of, each stored once whatever the number of releases.
-
-    weighted has a vintage column, needed says which vintages releases read.  A row has
-    the views in which its closing is the newest of its month (a vintage is in three at
-    most) and valid_from, the release from which on histories show it.  Views and newest
-    closings are found on the table of series and periods, which has no reports; the
-    sample itself is read once more, is not multiplied, and meets that table once.
-    """
+def shown_months(weighted: DataFrame, needed: DataFrame) -> DataFrame:
+    """The series and periods that histories show and the views that show them: those in which
+    their closing is the newest of its month (a vintage is in three at most).  The table has no reports."""
     keys = [*SERIES, *PERIOD]
     months = weighted.select("vintage", *keys).distinct()
     newest = F.max("estimate_type_code").over(Window.partitionBy(VIEW, *SERIES, "year", "month"))
-    shown = (
+    return (
         P.as_read(months, needed, keep_vintage=True).withColumn("newest", newest)
         .filter((F.col("estimate_type_code") == F.col("newest")) & (F.col("newest") < "4"))
         .groupBy("vintage", *keys).agg(F.sort_array(F.collect_set(VIEW)).alias("views"))
     )
+
+
+def history_store(weighted: DataFrame, needed: DataFrame, shown: DataFrame | None = None) -> DataFrame:
+    """The rows that histories consist of, each stored once whatever the number of releases.
+
+    weighted has a vintage column, needed says which vintages releases read.  A row has
+    the views in which its closing is the newest of its month and valid_from, the release
+    from which on histories show it.  Views and newest closings are found on the table of
+    series and periods (shown_months, which may be given as a stored table: Spark then
+    knows its size); the sample itself is read once more, is not multiplied, and meets
+    that table once.
+    """
+    keys = [*SERIES, *PERIOD]
+    shown = shown_months(weighted, needed) if shown is None else shown
     released = M.release_code(F.col("year"), F.col("month"), F.col("estimate_type_code"))
     return weighted.join(shown, ["vintage", *keys]).select(
         *SERIES, "year", "month", *_history_columns(), "views", released.alias("valid_from"))
 
 
-def history_subjects(weighted: DataFrame, needed: DataFrame) -> DataFrame:
-    """The reports of every release, in the release's vintages: what sample_detail would
-    show of them, without looking back."""
+def periods_read(weighted: DataFrame, needed: DataFrame) -> DataFrame:
+    """The vintage each release's own reports are read from."""
     views = needed.select(VIEW, "rank", "vintage", *PERIOD)
     # A period that both vintages of its view hold is read from the newer one.
-    held = weighted.select("vintage", *PERIOD).distinct().join(views, ["vintage", *PERIOD])
-    first = held.groupBy(VIEW, *PERIOD).agg(F.min_by("vintage", "rank").alias("vintage"))
+    held = P.held_periods(weighted).join(views, ["vintage", *PERIOD])
+    return held.groupBy(VIEW, *PERIOD).agg(F.min_by("vintage", "rank").alias("vintage"))
+
+
+def history_subjects(weighted: DataFrame, needed: DataFrame, read: DataFrame | None = None) -> DataFrame:
+    """The reports of every release, in the release's vintages: what sample_detail would
+    show of them, without looking back.  read is periods_read, if it is stored."""
+    first = periods_read(weighted, needed) if read is None else read
     columns = report_columns()
     rows = weighted.join(first, ["vintage", *PERIOD]).select(
         VIEW, *SERIES, *PERIOD, *[columns[c].alias(c) for c in ("report", "is_knr", "flag", "pm", "cm")])
     return rows.filter(size_bracket(F.col("pm")).isNotNull() & size_bracket(F.col("cm")).isNotNull())
 
 
-def unfold_history(store: DataFrame, reports: DataFrame) -> DataFrame:
+def unfold_history(store: DataFrame, reports: DataFrame, keep_view: bool = False, parts: int | None = None) -> DataFrame:
     """The history of each report row (of sample_detail or history_subjects, with its
-    view) out of the stored rows: those of its view that are valid at its release."""
+    view) out of the stored rows: those of its view that are valid at its release.
+
+    The join deals out both sides by view, series and report.  With keep_view histories
+    carry the view, and steps that go on by report (history_rollup and month_segments of
+    "detail") move no unfolded row.  They sort what a part unfolds to, many times what it
+    reads: parts says how many to make, if not as many as Spark would by what it reads.
+    """
+    by = [VIEW, *SERIES, "report"]
     subjects = _subjects(reports)
     rows = store.withColumn(VIEW, F.explode("views")).drop("views")
+    if parts is not None:
+        subjects, rows = subjects.repartition(parts, *by), rows.repartition(parts, *by)
     at = M.release_code(F.col("cur_year"), F.col("cur_month"), F.col("cur_closing"))
-    return rows.join(subjects, [VIEW, *SERIES, "report"]).filter(F.col("valid_from") <= at).drop("valid_from", VIEW)
+    out = rows.join(subjects, by).filter(F.col("valid_from") <= at).drop("valid_from")
+    return out if keep_view else out.drop(VIEW)
 
 
 def history_colour(flag: Column, downweight: Column) -> Column:
@@ -119,9 +148,9 @@ def history_rollup(history: DataFrame, row_type: str) -> DataFrame:
 
     Sums are exact decimals.  Text fields and the colour are those of the first report.  The
     reports behind a row are in history_members, one row each, so a unit may
-    have any number of them.
+    have any number of them.  A view stays with its rows.
     """
-    keys = [*_history_keys(row_type), "is_knr", "year", "month"]
+    keys = [*keyed(history, *_history_keys(row_type)), "is_knr", "year", "month"]
     sums = {
         name: F.sum(F.col(name).cast("decimal(38,3)")).cast("decimal(38,3)")
         for name in ("pm", "cm", "otm", "wotm")
@@ -153,24 +182,27 @@ def month_segments(rollup: DataFrame, row_type: str) -> DataFrame:
 
     Every month between the first and last point of a history gets a row;
     months no segment touches have null points.  Rows with a missing or zero
-    end are no segment.  A point brings the empty months up to the next one with
-    it, so points are computed once; the window holds one history's points.
+    end are no segment.  A month's point brings the empty months up to the next
+    row's prior month with it, so points are computed once; the window holds one
+    history's rows, before each is split into its two ends.
     """
-    keys = _history_keys(row_type)
+    keys = keyed(rollup, *_history_keys(row_type))
     pm, cm = F.col("pm").cast("double"), F.col("cm").cast("double")
     index = M.month_index(F.col("year").try_cast("bigint"), F.col("month").try_cast("bigint"))
+    none = F.lit(None).cast("bigint")
     ends = F.explode(F.array(
-        F.struct((F.col("at") - 1).alias("axis"), pm.alias("value"), F.lit("pm").alias("end")),
-        F.struct(F.col("at").alias("axis"), cm.alias("value"), F.lit("cm").alias("end")),
+        F.struct((F.col("at") - 1).alias("axis"), pm.alias("value"), F.lit("pm").alias("end"), none.alias("following")),
+        F.struct(F.col("at").alias("axis"), cm.alias("value"), F.lit("cm").alias("end"), (F.col("next") - 1).alias("following")),
     ))
     label = F.concat(M.month_name(F.col("month")), F.lit("'"), M.short_year(F.col("year")))
-    following = F.lead("axis").over(Window.partitionBy(*keys).orderBy("axis", "end", "is_knr"))
+    following = F.lead("at").over(Window.partitionBy(*keys).orderBy("at", "is_knr"))
     points = (
         rollup.filter(F.col("month").try_cast("int").between(1, 12) & (pm != 0) & (cm != 0))
         .withColumns({"at": index, "segment": label})
+        .select(*keys, "is_knr", "segment", "colour", "pm", "cm", "at")
+        .withColumn("next", following)
         .select(*keys, "is_knr", "segment", "colour", ends.alias("e"))
-        .select(*keys, "is_knr", "segment", "colour", F.col("e.axis").alias("axis"), F.col("e.value").alias("value"), F.col("e.end").alias("end"))
-        .withColumn("following", following)
+        .select(*keys, "is_knr", "segment", "colour", *[F.col(f"e.{c}").alias(c) for c in ("axis", "value", "end", "following")])
     )
     own = F.col("place") == F.col("axis")
     places = F.when(F.col("following") > F.col("axis") + 1, F.sequence("axis", F.col("following") - 1)).otherwise(F.array("axis"))

@@ -230,7 +230,16 @@ def held_periods(facts: DataFrame) -> DataFrame:
     return facts.select("vintage", *PERIOD).distinct()
 
 
-def as_read(facts: DataFrame, needed: DataFrame, held: DataFrame | None = None, keep_vintage: bool = False) -> DataFrame:
+def taken_periods(held: DataFrame, needed: DataFrame) -> DataFrame:
+    """What a view does not read from its older vintage, since the newer one holds it (held: see held_periods)."""
+    views = needed.select(VIEW, "rank", "vintage").distinct()
+    two = views.filter("rank > 0").select(VIEW, F.col("rank").alias("older"))
+    newer = views.filter("rank = 0").join(two, VIEW).select(VIEW, "vintage", F.col("older").alias("rank"))
+    return held.join(newer, "vintage").select(VIEW, "rank", *PERIOD)
+
+
+def as_read(facts: DataFrame, needed: DataFrame, held: DataFrame | None = None, keep_vintage: bool = False,
+            taken: DataFrame | None = None) -> DataFrame:
     """Facts as the releases read them: a row for each view its vintage belongs to.
 
     facts carries a vintage column (a partition column on disk, so vintages that
@@ -238,12 +247,13 @@ def as_read(facts: DataFrame, needed: DataFrame, held: DataFrame | None = None,
     that both hold is taken from the newer one.  The tables of views and of the
     periods that vintages hold follow the calendar.  With held (held_periods, kept
     beside the facts) the facts are read once; without it their keys are read before.
+    With taken (taken_periods, stored) Spark knows the size of what the facts meet and
+    need not move them.
     """
     views = needed.select(VIEW, "rank", "vintage").distinct()
     rows = facts.join(views, "vintage")
-    two = views.filter("rank > 0").select(VIEW, F.col("rank").alias("older"))
-    newer = views.filter("rank = 0").join(two, VIEW).select(VIEW, "vintage", F.col("older").alias("rank"))
-    taken = (held_periods(facts) if held is None else held).join(newer, "vintage").select(VIEW, "rank", *PERIOD)
+    if taken is None:
+        taken = taken_periods(held_periods(facts) if held is None else held, needed)
     return rows.join(taken, [VIEW, "rank", *PERIOD], "left_anti").drop("rank", *([] if keep_vintage else ["vintage"]))
 
 
