@@ -12,7 +12,7 @@ from checks import sql as S
 from checks.tables import LAST_YEAR, DerivedTables
 from estilens.functions import codes as C
 from estilens.functions.sizes import SIZE_BRACKETS, size_bracket, size_gap
-from estilens.keys import PERIOD, SELECTION, SERIES, UNIT_GROUP, VIEW
+from estilens.keys import PART, PERIOD, SELECTION, SERIES, UNIT_GROUP, VIEW
 from estilens.operators import basic, catalog, detail, estimates, history, intervals, models, navigation, periods, ranks, sample, whatif
 from estilens.plans.review import read_review, write_review
 from estilens.sources import readers
@@ -730,12 +730,12 @@ def _plain(rows):
 
 @query("SELECT * FROM history_summary")
 def history_rollup(t):
-    return _plain(history.history_rollup(t.viewed_past, "summary")).drop(VIEW)
+    return _plain(history.history_rollup(t.viewed_past, "summary")).drop(VIEW, PART)
 
 
 @query("SELECT * FROM history_detail")
 def history_rollup_reports(t):
-    return _plain(history.history_rollup(t.viewed_past, "detail")).drop(VIEW)
+    return _plain(history.history_rollup(t.viewed_past, "detail")).drop(VIEW, PART)
 
 
 @query(f"""SELECT {S.history_keys('summary')}, is_knr, year, month, report,
@@ -747,12 +747,12 @@ def history_members(t):
 
 @query("SELECT * FROM segments_summary")
 def month_segments(t):
-    return history.month_segments(history.history_rollup(t.viewed_past, "summary"), "summary").drop(VIEW)
+    return history.month_segments(history.history_rollup(t.viewed_past, "summary"), "summary").drop(VIEW, PART)
 
 
 @query("SELECT * FROM segments_detail")
 def month_segments_reports(t):
-    return history.month_segments(history.history_rollup(t.viewed_past, "detail"), "detail").drop(VIEW)
+    return history.month_segments(history.history_rollup(t.viewed_past, "detail"), "detail").drop(VIEW, PART)
 
 
 # --- what-if -----------------------------------------------------------------

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estilens.functions import months as M
-from estilens.keys import AREA_SERIES, PERIOD, SERIES, VIEW
+from estilens.keys import AREA_SERIES, PART, PERIOD, SERIES, VIEW
 from estilens.operators import estimates as E
 from estilens.operators import periods as P
 from estilens.operators.catalog import series_structure
 from estilens.operators.detail import sample_detail, ui_rollup
-from estilens.operators.history import history_store, history_subjects, newest_closings, periods_read, shown_months, unfold_history
+from estilens.operators.history import (
+    history_slots, history_store, history_subjects, newest_closings, periods_read, shown_months, unfold_history,
+)
 from estilens.operators.sample import published_values, sample_summary, weighted_sample
 from estilens.plans.stages import run_root, staged
 
@@ -299,12 +301,14 @@ class DerivedTables:
     @cached_property
     def past(self) -> DataFrame:
         """History of all reports, looked at from each release in its vintages."""
-        return self.viewed_past.drop(VIEW)
+        return self.viewed_past.drop(VIEW, PART)
 
     @cached_property
     def viewed_past(self) -> DataFrame:
-        """The same with the view of each release."""
-        return unfold_history(self.history_rows, self.subjects(self.vintaged_weighted), keep_view=True, parts=self.history_parts)
+        """The same with the view of each release and the part they are dealt out to."""
+        subjects = self.subjects(self.vintaged_weighted)
+        slots = self.written(history_slots(subjects, self.history_parts), "slots")
+        return unfold_history(self.history_rows, subjects, keep_view=True, parts=self.history_parts, slots=slots)
 
     @cached_property
     def history_parts(self) -> int:

@@ -16,10 +16,14 @@ REQUEST = ("sel_year", "sel_month", "sel_closing", "this_closing")
 # periods.as_read).  A requested release has one view, so it is no key of results.
 VIEW = "view"
 
+# Set on unfolded histories that are dealt out by series (see history.unfold_history): the
+# part a row is in, which its view, series and report decide, so it is no key of results.
+PART = "part"
+
 
 def keyed(rows, *columns: str) -> list[str]:
-    """The columns, after the view if the rows have one."""
-    return [*([VIEW] if VIEW in rows.columns else []), *columns]
+    """The columns, after the view and the part if the rows have them."""
+    return [*[c for c in (VIEW, PART) if c in rows.columns], *columns]
 
 
 ALL_EMPLOYEES = "01"

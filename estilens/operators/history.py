@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from estilens.functions import months as M
 from estilens.functions.sizes import size_bracket
-from estilens.keys import PERIOD, SERIES, VIEW, keyed
+from estilens.keys import PART, PERIOD, SERIES, VIEW, keyed
 from estilens.operators import periods as P
 from estilens.operators.detail import report_columns
 
@@ -109,7 +109,34 @@ def history_subjects(weighted: DataFrame, needed: DataFrame, read: DataFrame | N
     return rows.filter(size_bracket(F.col("pm")).isNotNull() & size_bracket(F.col("cm")).isNotNull())
 
 
-def unfold_history(store: DataFrame, reports: DataFrame, keep_view: bool = False, parts: int | None = None) -> DataFrame:
+def _slot(parts: int) -> Column:
+    return F.pmod(F.xxhash64(VIEW, *SERIES), F.lit(parts)).alias("slot")
+
+
+def history_slots(reports: DataFrame, parts: int) -> DataFrame:
+    """How to deal histories out in parts of about as many reports each, the reports of a series in as few as hold them.
+
+    A view and series has a slot, one of as many as there are parts; a row here says how many
+    reports the slot has and how many the slots before.  The table has no reports and at most parts rows.
+    """
+    counts = reports.groupBy(_slot(parts)).agg(F.count(F.lit(1)).alias("held"))
+    before = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    ends = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return counts.select(
+        "slot", "held", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"), F.sum("held").over(ends).alias("total"))
+
+
+def _in_parts(rows: DataFrame, slots: DataFrame, parts: int) -> DataFrame:
+    """Rows dealt out by their slot and, inside it, by report.  Rows of slots without reports have no history."""
+    place = F.col("before") + F.pmod(F.xxhash64("report"), F.col("held"))
+    part = F.floor(place * parts / F.col("total")).cast("int")
+    met = rows.withColumn("slot", _slot(parts)).join(F.broadcast(slots), "slot")  # at most parts rows
+    return met.withColumn(PART, part).drop(*slots.columns).repartitionById(parts, F.col(PART))
+
+
+def unfold_history(
+    store: DataFrame, reports: DataFrame, keep_view: bool = False, parts: int | None = None, slots: DataFrame | None = None,
+) -> DataFrame:
     """The history of each report row (of sample_detail or history_subjects, with its
     view) out of the stored rows: those of its view that are valid at its release.
 
@@ -117,15 +144,19 @@ def unfold_history(store: DataFrame, reports: DataFrame, keep_view: bool = False
     carry the view, and steps that go on by report (history_rollup and month_segments of
     "detail") move no unfolded row.  They sort what a part unfolds to, many times what it
     reads: parts says how many to make, if not as many as Spark would by what it reads.
+    With slots (history_slots of the reports and parts) a part has the reports of few
+    series, so that units add up there before they move; kept rows carry their part too.
     """
-    by = [VIEW, *SERIES, "report"]
+    by = ["report", VIEW, *SERIES]
     subjects = _subjects(reports)
     rows = store.withColumn(VIEW, F.explode("views")).drop("views")
-    if parts is not None:
+    if slots is not None:
+        subjects, rows, by = _in_parts(subjects, slots, parts), _in_parts(rows, slots, parts), [*by, PART]
+    elif parts is not None:
         subjects, rows = subjects.repartition(parts, *by), rows.repartition(parts, *by)
     at = M.release_code(F.col("cur_year"), F.col("cur_month"), F.col("cur_closing"))
     out = rows.join(subjects, by).filter(F.col("valid_from") <= at).drop("valid_from")
-    return out if keep_view else out.drop(VIEW)
+    return out if keep_view else out.drop(VIEW, PART)
 
 
 def history_colour(flag: Column, downweight: Column) -> Column:
@@ -148,9 +179,13 @@ def history_rollup(history: DataFrame, row_type: str) -> DataFrame:
 
     Sums are exact decimals.  Text fields and the colour are those of the first report.  The
     reports behind a row are in history_members, one row each, so a unit may
-    have any number of them.  A view stays with its rows.
+    have any number of them.  A view stays with its rows.  Where rows are dealt out by
+    series, units add up in their part first and then move once, by their history.
+
+    Texts make Spark sort what it adds up; a hash before the keys decides most comparisons.
     """
-    keys = [*keyed(history, *_history_keys(row_type)), "is_knr", "year", "month"]
+    subject = keyed(history, *_history_keys(row_type))
+    keys = [*subject, "is_knr", "year", "month"]
     sums = {
         name: F.sum(F.col(name).cast("decimal(38,3)")).cast("decimal(38,3)")
         for name in ("pm", "cm", "otm", "wotm")
@@ -159,15 +194,16 @@ def history_rollup(history: DataFrame, row_type: str) -> DataFrame:
     first = F.min(F.struct(F.col("report").alias("first_report"),
                            *[F.col(t).cast("string").alias(t) for t in texts],
                            history_colour(F.col("flag"), F.col("dwght")).alias("colour")))
-    return (
-        history.groupBy(*keys)
-        .agg(
-            first.alias("f"),
-            *[value.alias(name) for name, value in sums.items()],
-            F.count(F.lit(1)).alias("report_rows"),
-        )
-        .select(*keys, "f.*", *sums, "report_rows")
+    added = history.groupBy(F.xxhash64(*keys).alias("spread"), *keys).agg(
+        first.alias("f"),
+        *[value.alias(name) for name, value in sums.items()],
+        F.count(F.lit(1)).alias("report_rows"),
     )
+    if row_type == "summary" and PART in keys:
+        subject, keys = ([c for c in columns if c != PART] for columns in (subject, keys))
+        added = added.repartition(*subject).groupBy(F.xxhash64(*keys).alias("spread"), *keys).agg(
+            F.min("f").alias("f"), *[F.sum(name).alias(name) for name in sums], F.sum("report_rows").alias("report_rows"))
+    return added.select(*keys, "f.*", *sums, "report_rows")
 
 
 def history_members(history: DataFrame, row_type: str) -> DataFrame:
@@ -195,7 +231,7 @@ def month_segments(rollup: DataFrame, row_type: str) -> DataFrame:
         F.struct(F.col("at").alias("axis"), cm.alias("value"), F.lit("cm").alias("end"), (F.col("next") - 1).alias("following")),
     ))
     label = F.concat(M.month_name(F.col("month")), F.lit("'"), M.short_year(F.col("year")))
-    following = F.lead("at").over(Window.partitionBy(*keys).orderBy("at", "is_knr"))
+    following = F.lead("at").over(Window.partitionBy(F.xxhash64(*keys), *keys).orderBy("at", "is_knr"))
     points = (
         rollup.filter(F.col("month").try_cast("int").between(1, 12) & (pm != 0) & (cm != 0))
         .withColumns({"at": index, "segment": label})

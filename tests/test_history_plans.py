@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import QUERIES
 from checks.tables import DerivedTables
-from estilens.keys import SERIES, VIEW
+from estilens.keys import PART, SERIES, VIEW
 from estilens.operators import history
 
 STORED = f"""{', '.join(f'{c} string' for c in SERIES)}, year string, month string, version string, reptstate string, ui string, reptw string,
@@ -64,3 +64,43 @@ def test_next_of_a_month_with_two_marks(spark):
     rows = [(*at, k, "2000", m, 5.0, 7.0, "red") for k, m in ((False, "01"), (True, "01"), (False, "05"))]
     out = history.month_segments(spark.createDataFrame(rows, columns), "detail").filter(F.col("segment").isNull())
     assert sorted((r.axis_year, r.axis_month) for r in out.collect()) == [("2000", "02"), ("2000", "03")]
+
+
+@pytest.fixture
+def many(spark):
+    """Stored rows and reports of 40 series with 25 reports each, in two months."""
+    series = [("01", "00000", f"{n:08d}", "01") for n in range(40)]
+    store = [(*key, *stored("2000", month, f"r{r}")[4:]) for key in series for r in range(25) for month in ("01", "06")]
+    reports = [("2000", *key, "2000", "06", "1", f"r{r}", False, "A") for key in series for r in range(25)]
+    return spark.createDataFrame(store, STORED), spark.createDataFrame(reports, REPORTS)
+
+
+def test_units_add_up_in_their_part(many):
+    """Reports of a series are in few parts of even size, so few rows per unit move; results don't depend on it."""
+    store, reports = many
+    dealt = history.unfold_history(store, reports, keep_view=True, parts=8, slots=history.history_slots(reports, 8))
+    held = dealt.groupBy(F.spark_partition_id().alias("at")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("series_code").alias("series")).collect()
+    assert len(held) > 4 and max(r.n for r in held) <= 2 * 2000 / 8
+    assert sum(r.series for r in held) <= 3 * 40
+    plain = history.unfold_history(store, reports, keep_view=True, parts=8)
+    for row_type in ("summary", "detail"):
+        was = history.history_rollup(plain, row_type)
+        now = history.history_rollup(dealt, row_type).drop(PART)
+        assert was.columns == now.columns and sorted(map(str, was.collect())) == sorted(map(str, now.collect()))
+        was, now = (history.month_segments(x, row_type) for x in (was, history.history_rollup(dealt, row_type)))
+        assert sorted(map(str, was.collect())) == sorted(map(str, now.drop(PART).collect()))
+
+
+def test_dealt_steps_move_rows_once(spark, many):
+    """By report nothing moves after the join; by unit what a part added up does, once."""
+    store, reports = many
+    slots = spark.createDataFrame(history.history_slots(reports, 8).collect())
+    dealt = history.unfold_history(store, reports, keep_view=True, parts=8, slots=slots)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for row_type, moves in (("detail", 0), ("summary", 1)):
+            out = history.month_segments(history.history_rollup(dealt, row_type), row_type)
+            plan = out._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+            assert plan.split("SortMergeJoin")[0].count("Exchange") == moves
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
