@@ -147,7 +147,8 @@ def unfold_history(
     With slots (history_slots of the reports and parts) a part has the reports of few
     series, so that units add up there before they move; kept rows carry their part too.
     """
-    by = ["report", VIEW, *SERIES]
+    found_by = [VIEW, *SERIES, "report"]
+    by = ["report", VIEW, *SERIES]  # reports differ soonest, which makes the sort of the join cheap
     subjects = _subjects(reports)
     rows = store.withColumn(VIEW, F.explode("views")).drop("views")
     if slots is not None:
@@ -156,6 +157,7 @@ def unfold_history(
         subjects, rows = subjects.repartition(parts, *by), rows.repartition(parts, *by)
     at = M.release_code(F.col("cur_year"), F.col("cur_month"), F.col("cur_closing"))
     out = rows.join(subjects, by).filter(F.col("valid_from") <= at).drop("valid_from")
+    out = out.select(*found_by, *[c for c in out.columns if c not in found_by])
     return out if keep_view else out.drop(VIEW, PART)
 
 
