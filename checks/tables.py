@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estilens.functions import months as M
-from estilens.keys import AREA_SERIES, PART, PERIOD, SERIES, VIEW
+from estilens.keys import AREA_SERIES, PART, PERIOD, SELECTION, SERIES, UNIT_GROUP, VIEW
 from estilens.operators import estimates as E
 from estilens.operators import periods as P
 from estilens.operators.catalog import series_structure
@@ -73,6 +73,11 @@ class DerivedTables:
         closing = F.when(
             (c("l_linenumber") == 7) & (F.year("l_shipdate") < 2000), "4"
         ).otherwise(((c("l_linenumber") - 1) % 3 + 1).cast("string"))
+
+        def flag_place(returnflag):
+            """Where a return flag stands among the two that matter: numbers keep the order of the texts and add up by hash."""
+            return F.when(returnflag < "A", 0).when(returnflag == "A", 1).when(returnflag < "R", 2).when(returnflag == "R", 3).when(returnflag > "R", 4)
+
         year = F.year("l_shipdate").cast("string")
         lines = self.read("lineitem").join(
             self.read("supplier"), c("l_suppkey") == c("s_suppkey")
@@ -82,7 +87,7 @@ class DerivedTables:
             year.alias("year"), F.lpad(F.month("l_shipdate").cast("string"), 2, "0").alias("month"),
             closing.alias("estimate_type_code"), c("l_suppkey").alias("supp"),
         ).agg(
-            F.max("l_returnflag").alias("rf_max"), F.min("l_returnflag").alias("rf_min"),
+            F.max(flag_place(c("l_returnflag"))).alias("rf_max"), F.min(flag_place(c("l_returnflag"))).alias("rf_min"),
             F.count(F.lit(1)).alias("lines"),
             F.sum("l_quantity").cast("bigint").alias("pm_value"),
             F.sum(F.floor(c("l_extendedprice") / 2000)).alias("cm_value"),
@@ -93,9 +98,9 @@ class DerivedTables:
             F.max("l_partkey").alias("part_max"), F.min("l_partkey").alias("part_min"),
         )
 
-        def flag(returnflag):
+        def flag(place):
             unused = F.when(c("lines") > 1, "U").otherwise("X")
-            return F.when(returnflag == "R", "T").when(returnflag == "A", "A").otherwise(unused)
+            return F.when(place == 3, "T").when(place == 1, "A").otherwise(unused)
 
         state = F.lpad(c("nation").cast("string"), 2, "0")
         return g.select(
@@ -275,12 +280,13 @@ class DerivedTables:
 
     @cached_property
     def stored_detail(self) -> DataFrame:
-        """Detail for queries that read it several times: reports look back once."""
-        return self.written(self.detail, "detail")
+        """Detail for queries that read it several times: reports look back once.  Without links, which none of them shows."""
+        return self.written(self.detail.drop("history_url", "ui_url", "report_url"), "detail")
 
     @cached_property
     def stored_units(self) -> DataFrame:
-        return self.written(self.units, "units")
+        """Units as far as the order of a shortlist depends on them."""
+        return self.written(self.units.select(*SELECTION, *UNIT_GROUP, "report", "wotm", "origflag"), "units")
 
     @cached_property
     def summary(self) -> DataFrame:

@@ -86,7 +86,8 @@ def sample_detail(weighted: DataFrame, periods: DataFrame | None = None, link_ba
     for name in REPORT_KEY:
         complete &= F.col(name).isNotNull()
     rows = rows.withColumn("spread", F.when(~complete, F.col("hash")))
-    in_order = Window.partitionBy(*keyed(weighted, *SERIES), *REPORT_KEY, "spread").orderBy("code")
+    group = [*keyed(weighted, *SERIES), *REPORT_KEY, "spread"]
+    in_order = Window.partitionBy(F.xxhash64(*group), *group).orderBy("code")  # a hash decides most comparisons of the sort
     rows = rows.withColumns({
         "before": prior_release_value(F.struct("flag", "dwght"), in_order),
         "earlier": earlier_release_value(F.struct("flag"), in_order),
@@ -140,7 +141,9 @@ def ui_rollup(detail: DataFrame, link_base: str = "") -> DataFrame:
     blank, missing = F.lit(""), F.lit(None)
     texts = ("report", "reptw", "pm_flag", "origflag", "prior_flag")
     numbers = ("selsize", "weight", "pm_dwght", "origdwght", "dwght", "drr")
-    groups = detail.groupBy(*SELECTION, *UNIT_GROUP).agg(
+    keys = [*SELECTION, *UNIT_GROUP]
+    # Texts make Spark sort what it adds up; a hash before the keys decides most comparisons.
+    groups = detail.groupBy(F.xxhash64(*keys).alias("spread"), *keys).agg(
         F.count(F.lit(1)).alias("detail_count"),
         *[N.sum_or_zero(F.col(c)).alias(c) for c in ("pm", "cm", "wpm", "wcm", "otm", "wotm")],
         *[C.merged_code_lists(F.col(c)).alias(c) for c in ("pmcc", "cmcc")],
@@ -162,7 +165,7 @@ def ui_rollup(detail: DataFrame, link_base: str = "") -> DataFrame:
             "row_type": row_type,
         })
         .withColumns({"history_url": _history_link(F.col("row_type")), **_unit_links(link_base)})
-        .drop("naics_min", "naics_max")
+        .drop("spread", "naics_min", "naics_max")
     )
 
 

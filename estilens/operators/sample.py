@@ -71,7 +71,7 @@ def _labelled(weighted: DataFrame, label: Column) -> DataFrame:
         weighted.select(*keys, "report_id", "selected_ui_number", "pm_value", "cm_value", "wpm", "wcm", "a_typ_flag")
         .repartition(*keys, "report_id")
         .withColumn("label", label)
-        .groupBy(*keys, "label", "report_id")
+        .groupBy(F.xxhash64(*keys, "label", "report_id").alias("spread"), *keys, "label", "report_id")  # sets are sorted, by the hash first
         .agg(*_sums(), F.collect_set(F.struct("selected_ui_number")).alias("units"))
     )
     first = F.col("place") == 0

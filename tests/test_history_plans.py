@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from checks.registry import QUERIES
 from checks.tables import DerivedTables
 from estilens.keys import PART, SERIES, VIEW
-from estilens.operators import history
+from estilens.operators import detail, history
+from estilens.operators.sample import flag_summary
 
 STORED = f"""{', '.join(f'{c} string' for c in SERIES)}, year string, month string, version string, reptstate string, ui string, reptw string,
   report string, naics string, selsize bigint, weight double, origdwght double, dwght double, drr double, pm bigint, cm bigint, origflag string,
@@ -83,6 +84,7 @@ def test_units_add_up_in_their_part(many):
     assert len(held) > 4 and max(r.n for r in held) <= 2 * 2000 / 8
     assert sum(r.series for r in held) <= 3 * 40
     plain = history.unfold_history(store, reports, keep_view=True, parts=8)
+    assert plain.columns[:7] == [VIEW, *SERIES, "report", "year"] and plain.columns == [c for c in dealt.columns if c != PART]
     for row_type in ("summary", "detail"):
         was = history.history_rollup(plain, row_type)
         now = history.history_rollup(dealt, row_type).drop(PART)
@@ -104,3 +106,38 @@ def test_dealt_steps_move_rows_once(spark, many):
             assert plan.split("SortMergeJoin")[0].count("Exchange") == moves
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def _physical(rows):
+    return rows._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+
+
+def test_lines_add_up_by_hash(spark):
+    assert "SortAggregate" not in _physical(DerivedTables(spark, "/root/testdata/sf0.001")._reports())
+
+
+@pytest.mark.parametrize("highest, lowest", [("R", "A"), ("S", "B"), ("A", "A"), ("N", "A"), ("Z", "R"), ("R", "R"), ("r", "Aa"), ("A", None)])
+def test_flags_follow_the_order_of_texts(spark, tmp_path, highest, lowest):
+    line = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    rows = spark.createDataFrame([(1, 1, 1, 1, 1.0, 4000.0, 0.1, 0.1, f, "F", None) for f in (highest, lowest, None)], line)
+    rows.withColumn("l_shipdate", F.lit("1995-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 1)], "s_suppkey bigint, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    shown = DerivedTables(spark, str(tmp_path))._reports().select("a_typ_flag", "original_a_typ_flag").collect()
+    assert [tuple(r) for r in shown] == [tuple({"R": "T", "A": "A"}.get(f, "U") for f in (highest, lowest or highest))]
+
+
+def test_sorts_begin_with_a_hash(spark):
+    """Keys of a selection begin alike, so a sort by them compares whole keys nearly every time."""
+    tables = DerivedTables(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        for rows in (detail.sample_detail(tables.weighted), detail.ui_rollup(tables.stored_detail), flag_summary(tables.weighted)):
+            assert "xxhash64(state_fips_code" in _physical(rows)
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_stored_tables_hold_what_is_read_from_them(spark):
+    tables = DerivedTables(spark, "/root/testdata/sf0.001")
+    assert not any(c.endswith("_url") for c in [*tables.stored_detail.columns, *tables.stored_units.columns])
+    assert "pmcc" in tables.stored_detail.columns and "pmcc" not in tables.stored_units.columns
