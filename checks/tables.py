@@ -70,27 +70,25 @@ class DerivedTables:
 
     def _reports(self) -> DataFrame:
         c = F.col
-        closing = F.when(
-            (c("l_linenumber") == 7) & (F.year("l_shipdate") < 2000), "4"
-        ).otherwise(((c("l_linenumber") - 1) % 3 + 1).cast("string"))
+        closing = F.when((c("l_linenumber") == 7) & (F.year("l_shipdate") < 2000), 4).otherwise((c("l_linenumber") - 1) % 3 + 1)
 
         def flag_place(returnflag):
             """Where a return flag stands among the two that matter: numbers keep the order of the texts and add up by hash."""
             return F.when(returnflag < "A", 0).when(returnflag == "A", 1).when(returnflag < "R", 2).when(returnflag == "R", 3).when(returnflag > "R", 4)
 
-        year = F.year("l_shipdate").cast("string")
-        lines = self.read("lineitem").join(
-            self.read("supplier"), c("l_suppkey") == c("s_suppkey")
+        lines = self.read("lineitem")
+        spread = self.parts(lines, 400_000)
+        lines = lines.join(self.read("supplier"), c("l_suppkey") == c("s_suppkey")).select(
+            c("s_nationkey").alias("nation"), c("l_linestatus").alias("status"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"),
+            closing.alias("closing"), c("l_suppkey").alias("supp"), flag_place(c("l_returnflag")).alias("place"), "l_quantity",
+            F.floor(c("l_extendedprice") / 2000).alias("price"), "l_tax", "l_discount", "l_partkey",
         )
-        g = lines.groupBy(
-            c("s_nationkey").alias("nation"), c("l_linestatus").alias("status"),
-            year.alias("year"), F.lpad(F.month("l_shipdate").cast("string"), 2, "0").alias("month"),
-            closing.alias("estimate_type_code"), c("l_suppkey").alias("supp"),
-        ).agg(
-            F.max(flag_place(c("l_returnflag"))).alias("rf_max"), F.min(flag_place(c("l_returnflag"))).alias("rf_min"),
+        # A report has few lines: they move as they are, by numbers, in parts that follow their count.
+        g = lines.repartition(spread, "supp", "year", "month").groupBy("nation", "status", "year", "month", "closing", "supp").agg(
+            F.max("place").alias("rf_max"), F.min("place").alias("rf_min"),
             F.count(F.lit(1)).alias("lines"),
             F.sum("l_quantity").cast("bigint").alias("pm_value"),
-            F.sum(F.floor(c("l_extendedprice") / 2000)).alias("cm_value"),
+            F.sum("price").alias("cm_value"),
             (1 + F.max("l_tax")).alias("sample_weight"),
             (1 - F.max("l_discount") / 2).alias("diff_resp_rate"),
             F.min("l_discount").alias("cont_tot_dwnwght"),
@@ -103,7 +101,8 @@ class DerivedTables:
             return F.when(place == 3, "T").when(place == 1, "A").otherwise(unused)
 
         state = F.lpad(c("nation").cast("string"), 2, "0")
-        return g.select(
+        texts = {"year": c("year").cast("string"), "month": F.lpad(c("month").cast("string"), 2, "0"), "estimate_type_code": c("closing").cast("string")}
+        return g.withColumns(texts).select(
             state.alias("state_fips_code"),
             F.when(c("nation") % 3 == 0, (40000 + c("nation")).cast("string"))
             .otherwise("00000").alias("area_fips_code"),
@@ -128,6 +127,15 @@ class DerivedTables:
             _pick(c("part_max"), "93", "12", None, None).alias("cm_comment_2"),
         )
 
+    def parts(self, rows: DataFrame, held: int) -> int:
+        """How many parts of about so many rows a table read from files makes: what a task holds doesn't grow with the table."""
+        return rows.count() // held + 8
+
+    @cached_property
+    def months(self) -> DataFrame:
+        """The series, periods and benchmark years of the reports, found once: calendars, vintages and newest closings follow from them."""
+        return self.written(self.sample.select(*SERIES, *PERIOD, "bmrk_year").distinct(), "months")
+
     @cached_property
     def weighted(self) -> DataFrame:
         return weighted_sample(self.sample)
@@ -209,7 +217,7 @@ class DerivedTables:
     @cached_property
     def periods(self) -> DataFrame:
         """Every release with closing 1 to 3."""
-        return self.estimates.select(*PERIOD).filter(F.col("estimate_type_code") != "4").distinct()
+        return self.months.select(*PERIOD).filter(F.col("estimate_type_code") != "4").distinct()
 
     def _vintaged(self, rows: DataFrame) -> DataFrame:
         """Each benchmark year is an archive, the last one the current files."""
@@ -227,30 +235,47 @@ class DerivedTables:
         restated = {"published_estimate_value": F.col("published_estimate_value") + 1000, "upper_tolerance": F.col("upper_tolerance") + 0.5}
         return self.vintaged_estimates.unionByName(self._vintaged(later).withColumns(restated))
 
+    def _in_two_vintages(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows by their vintage, and those of archives once more in the vintage after it."""
+        rows = self._vintaged(rows)
+        later = rows.filter(F.col("vintage") != P.CURRENT).drop("vintage")
+        return rows, self._vintaged(later.withColumn("bmrk_year", (F.col("bmrk_year").cast("bigint") + 1).cast("string")))
+
     @cached_property
     def restated_sample(self) -> DataFrame:
         """Reports stand in two vintages, with another employment in the newer one."""
-        rows = self._vintaged(self.sample)
-        later = rows.filter(F.col("vintage") != P.CURRENT).drop("vintage")
-        later = later.withColumn("bmrk_year", (F.col("bmrk_year").cast("bigint") + 1).cast("string"))
-        return rows.unionByName(self._vintaged(later).withColumn("cm_value", 2 * F.col("cm_value") + 1000))
+        rows, later = self._in_two_vintages(self.sample)
+        return rows.unionByName(later.withColumn("cm_value", 2 * F.col("cm_value") + 1000))
+
+    @cached_property
+    def vintaged_months(self) -> DataFrame:
+        return self._vintaged(self.months)
+
+    @cached_property
+    def restated_months(self) -> DataFrame:
+        """The series and periods of restated_sample."""
+        rows, later = self._in_two_vintages(self.months)
+        return rows.unionByName(later)
 
     @cached_property
     def viewed_estimates(self) -> DataFrame:
         return P.as_read(self.restated_estimates, self.release_vintages)
 
+    @cached_property
+    def viewed_taken(self) -> DataFrame:
+        return self.written(P.taken_periods(P.held_periods(self.restated_months), self.release_vintages), "taken")
+
     @cached_property
     def viewed_weighted(self) -> DataFrame:
-        taken = self.written(P.taken_periods(P.held_periods(self.restated_sample), self.release_vintages), "taken")
-        return P.as_read(weighted_sample(self.restated_sample), self.release_vintages, taken=taken)
+        return P.as_read(weighted_sample(self.restated_sample), self.release_vintages, taken=self.viewed_taken)
 
     @cached_property
     def viewed_newest(self) -> DataFrame:
-        return self.written(newest_closings(self.viewed_weighted), "newest")
+        return self.written(newest_closings(P.as_read(self.restated_months, self.release_vintages, taken=self.viewed_taken)), "newest")
 
     @cached_property
     def viewed_detail(self) -> DataFrame:
-        return sample_detail(self.viewed_weighted, P.viewed(self.release_vintages))
+        return sample_detail(self.viewed_weighted, P.viewed(self.release_vintages), parts=self.parts(self.sample, 100_000))
 
     @cached_property
     def viewed_info(self) -> DataFrame:
@@ -259,7 +284,7 @@ class DerivedTables:
     @cached_property
     def release_vintages(self) -> DataFrame:
         """A few rows per release; written, so that Spark knows how few before it plans a join with them."""
-        return self.written(P.vintages_needed(self.periods, self.vintaged_estimates.select("vintage")), "vintages")
+        return self.written(P.vintages_needed(self.periods, self.vintaged_months.select("vintage")), "vintages")
 
     @cached_property
     def panel(self) -> DataFrame:

@@ -60,7 +60,7 @@ def _unit_links(base: str) -> dict[str, Column]:
     }
 
 
-def sample_detail(weighted: DataFrame, periods: DataFrame | None = None, link_base: str = "") -> DataFrame:
+def sample_detail(weighted: DataFrame, periods: DataFrame | None = None, link_base: str = "", parts: int | None = None) -> DataFrame:
     """One row per report with its prior-month and prior-closing state.
 
     Weighted values are shown whatever the flag.  With periods, only those
@@ -70,23 +70,29 @@ def sample_detail(weighted: DataFrame, periods: DataFrame | None = None, link_ba
     the release before is a fixed distance away (see prior_release_value).  A
     report has one row per release, so these groups follow the calendar, not the
     data.  A row with an incomplete report key has no counterpart; such rows are
-    spread out by a hash instead of meeting in one group of nulls.
+    spread out by a hash instead of meeting in one group of nulls.  What follows from
+    a row alone is added after the move.  parts says how many to make of the rows, if
+    not as many as Spark would: with parts of a known size no sort outgrows its memory.
     """
     if periods is not None:
         weighted = P.on_periods(weighted, P.detail_sources(periods))
+    columns = report_columns()
+    added = {name: columns.pop(name) for name in ("otm", "wpm", "wcm")}
     rows = weighted.select(
         *keyed(weighted, *SELECTION),
-        *[value.alias(name) for name, value in report_columns().items()],
+        *[value.alias(name) for name, value in columns.items()], "wgt",
         C.joined_codes(F.col("pm_comment_1"), F.col("pm_comment_2")).alias("pmcc"),
         C.joined_codes(F.col("cm_comment_1"), F.col("cm_comment_2")).alias("cmcc"),
-        *[value.alias(name) for name, value in look_back_distances().items()],
         F.xxhash64("report_id", "pm_value", "cm_value", "sample_weight", *PERIOD).alias("hash"),
     )
     complete = F.lit(True)
     for name in REPORT_KEY:
         complete &= F.col(name).isNotNull()
-    rows = rows.withColumn("spread", F.when(~complete, F.col("hash")))
+    rows = rows.withColumn("spread", F.when(~complete, F.col("hash"))).drop("hash")
     group = [*keyed(weighted, *SERIES), *REPORT_KEY, "spread"]
+    rows = rows.repartition(*([parts] if parts else []), *group).withColumns({"pm_value": F.col("pm"), "cm_value": F.col("cm")})
+    rows = rows.withColumns({
+        **look_back_distances(), **added, "pm_size": size_bracket(F.col("pm")), "cm_size": size_bracket(F.col("cm"))}).drop("pm_value", "cm_value", "wgt")
     in_order = Window.partitionBy(F.xxhash64(*group), *group).orderBy("code")  # a hash decides most comparisons of the sort
     rows = rows.withColumns({
         "before": prior_release_value(F.struct("flag", "dwght"), in_order),
@@ -100,8 +106,6 @@ def sample_detail(weighted: DataFrame, periods: DataFrame | None = None, link_ba
             "pm_flag": F.when(known, F.col("before.flag")),
             "pm_dwght": F.when(known, F.col("before.dwght")),
             "prior_flag": F.when(known, F.col("earlier.flag")),
-            "pm_size": size_bracket(F.col("pm")),
-            "cm_size": size_bracket(F.col("cm")),
         })
         .filter(F.col("pm_size").isNotNull() & F.col("cm_size").isNotNull())
         .withColumn("szgap", size_gap(F.col("pm_size"), F.col("cm_size"), F.col("selsize")))

@@ -141,3 +141,40 @@ def test_stored_tables_hold_what_is_read_from_them(spark):
     tables = DerivedTables(spark, "/root/testdata/sf0.001")
     assert not any(c.endswith("_url") for c in [*tables.stored_detail.columns, *tables.stored_units.columns])
     assert "pmcc" in tables.stored_detail.columns and "pmcc" not in tables.stored_units.columns
+
+
+def test_detail_moves_only_what_does_not_follow_from_a_row(spark):
+    """Rows move once, in the parts asked for; sums, sizes, distances and the hash of the sort are added after that."""
+    tables = DerivedTables(spark, "/root/testdata/sf0.001")
+    stored = tables.sample  # written before the setting is changed
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        rows = detail.sample_detail(tables.weighted, parts=5)
+        assert rows.rdd.getNumPartitions() == 5 and stored.inputFiles()
+        after, before = _physical(rows).split("Exchange", 1)
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "Exchange" not in before and "xxhash64(state_fips_code" in after
+    for name in ("otm", "wpm", "wcm", "code", "pm_distance", "prior_distance", "pm_size", "cm_size"):
+        assert f" AS {name}#" in after and f" AS {name}#" not in before.replace(" AS wpm#", "", 1).replace(" AS wcm#", "", 1), name
+
+
+def test_parts_of_detail_follow_the_reports(spark):
+    tables = DerivedTables(spark, "/root/testdata/sf0.001")
+    whole = sorted(map(str, detail.sample_detail(tables.weighted).collect()))
+    assert whole == sorted(map(str, detail.sample_detail(tables.weighted, parts=3).collect()))
+    assert f", {tables.parts(tables.sample, 100_000)}), REPARTITION_BY_NUM" in _physical(tables.viewed_detail)
+    assert tables.parts(tables.sample, 100) == tables.sample.count() // 100 + 8
+
+
+def test_calendars_come_from_the_months_of_the_sample(spark):
+    """Periods, vintages and newest closings are found on the months, not on the reports."""
+    tables = DerivedTables(spark, "/root/testdata/sf0.001")
+    for rows in (tables.periods, tables.vintaged_months, tables.restated_months):
+        assert all("/months-" in f for f in rows.inputFiles())
+    of_reports = tables.restated_sample.select(*tables.restated_months.columns).distinct()
+    assert sorted(map(str, of_reports.collect())) == sorted(map(str, tables.restated_months.collect()))
+    assert sorted(map(tuple, tables.periods.collect())) == sorted(
+        map(tuple, tables.estimates.select("year", "month", "estimate_type_code").filter("estimate_type_code <> '4'").distinct().collect()))
