@@ -720,8 +720,8 @@ def history_store(t):
 @restated("*", "sample_history", "cur_year, cur_month, cur_closing")
 def restated_sample_history_stored(t):
     weighted = sample.weighted_sample(t.restated_sample)
-    store = history.history_store(weighted, t.release_vintages, t.months_shown(weighted))
-    return history.unfold_history(store, t.subjects(weighted))
+    store = history.history_store(weighted, t.release_vintages, t.months_shown(t.restated_months))
+    return history.unfold_history(store, t.subjects(weighted, t.restated_months), parts=t.history_parts)
 
 
 def _plain(rows):

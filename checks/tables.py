@@ -324,10 +324,10 @@ class DerivedTables:
     @cached_property
     def history_rows(self) -> DataFrame:
         """The rows that sample histories consist of, stored once."""
-        return history_store(self.vintaged_weighted, self.release_vintages, self.months_shown(self.vintaged_weighted))
+        return history_store(self.vintaged_weighted, self.release_vintages, self.months_shown(self.vintaged_months))
 
-    def months_shown(self, weighted: DataFrame) -> DataFrame:
-        return self.written(shown_months(weighted, self.release_vintages), "shown")
+    def months_shown(self, months: DataFrame) -> DataFrame:
+        return self.written(shown_months(months, self.release_vintages), "shown")
 
     @cached_property
     def past(self) -> DataFrame:
@@ -336,18 +336,18 @@ class DerivedTables:
 
     @cached_property
     def viewed_past(self) -> DataFrame:
-        """The same with the view of each release and the part they are dealt out to."""
-        subjects = self.subjects(self.vintaged_weighted)
+        """The same with the view of each release and the part they are dealt out to, by series."""
+        subjects = self.subjects(self.vintaged_weighted, self.vintaged_months)
         slots = self.written(history_slots(subjects, self.history_parts), "slots")
         return unfold_history(self.history_rows, subjects, keep_view=True, parts=self.history_parts, slots=slots)
 
     @cached_property
     def history_parts(self) -> int:
         """One for every 50,000 reports, since what a report unfolds to follows the calendar."""
-        return self.sample.count() // 50_000 + 8
+        return self.parts(self.sample, 50_000)
 
-    def subjects(self, weighted: DataFrame) -> DataFrame:
-        return history_subjects(weighted, self.release_vintages, self.written(periods_read(weighted, self.release_vintages), "read"))
+    def subjects(self, weighted: DataFrame, months: DataFrame) -> DataFrame:
+        return history_subjects(weighted, self.release_vintages, self.written(periods_read(months, self.release_vintages), "read"))
 
     @cached_property
     def small_domain(self) -> DataFrame:

@@ -149,14 +149,14 @@ def unfold_history(
     """
     found_by = [VIEW, *SERIES, "report"]
     by = ["report", VIEW, *SERIES]  # reports differ soonest, which makes the sort of the join cheap
-    subjects = _subjects(reports)
+    # A number for the release, since the join compares every two rows it matches.
+    subjects = _subjects(reports).withColumn("at", M.release_code(F.col("cur_year"), F.col("cur_month"), F.col("cur_closing")))
     rows = store.withColumn(VIEW, F.explode("views")).drop("views")
     if slots is not None:
         subjects, rows, by = _in_parts(subjects, slots, parts), _in_parts(rows, slots, parts), [*by, PART]
     elif parts is not None:
         subjects, rows = subjects.repartition(parts, *by), rows.repartition(parts, *by)
-    at = M.release_code(F.col("cur_year"), F.col("cur_month"), F.col("cur_closing"))
-    out = rows.join(subjects, by).filter(F.col("valid_from") <= at).drop("valid_from")
+    out = rows.join(subjects, by).filter(F.col("valid_from") <= F.col("at")).drop("valid_from", "at")
     out = out.select(*found_by, *[c for c in out.columns if c not in found_by])
     return out if keep_view else out.drop(VIEW, PART)
 

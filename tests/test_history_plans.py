@@ -178,3 +178,9 @@ def test_calendars_come_from_the_months_of_the_sample(spark):
     assert sorted(map(str, of_reports.collect())) == sorted(map(str, tables.restated_months.collect()))
     assert sorted(map(tuple, tables.periods.collect())) == sorted(
         map(tuple, tables.estimates.select("year", "month", "estimate_type_code").filter("estimate_type_code <> '4'").distinct().collect()))
+
+
+def test_the_join_of_histories_compares_numbers(spark, past):
+    """Every two rows of a report are compared, so nothing is parsed there."""
+    condition = _physical(past).split("Join", 1)[1].split("\n")[0]
+    assert "valid_from" in condition and "cast(" not in condition
