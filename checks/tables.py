@@ -332,7 +332,7 @@ class DerivedTables:
     @cached_property
     def past(self) -> DataFrame:
         """History of all reports, looked at from each release in its vintages."""
-        return self.viewed_past.drop(VIEW, PART)
+        return unfold_history(self.history_rows, self.subjects(self.vintaged_weighted, self.vintaged_months), parts=self.history_parts)
 
     @cached_property
     def viewed_past(self) -> DataFrame:

@@ -184,3 +184,10 @@ def test_the_join_of_histories_compares_numbers(spark, past):
     """Every two rows of a report are compared, so nothing is parsed there."""
     condition = _physical(past).split("Join", 1)[1].split("\n")[0]
     assert "valid_from" in condition and "cast(" not in condition
+
+
+def test_histories_by_report_need_no_slots(spark):
+    tables = DerivedTables(spark, "/root/testdata/sf0.001")
+    plain, dealt = tables.past, tables.viewed_past.drop(VIEW, PART)
+    assert not any("/slots-" in f for f in plain.inputFiles())
+    assert plain.columns == dealt.columns and sorted(map(str, plain.collect())) == sorted(map(str, dealt.collect()))
